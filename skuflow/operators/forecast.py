@@ -8,6 +8,7 @@ from skuflow.functions import fixed_values as fv
 from skuflow.functions.scalar import half_up, number_text, one_value
 from skuflow.operators.features import rolling_mean
 from skuflow.operators.profile import mape, recent_stats, rmse
+from skuflow.operators.row_index import with_row_index
 
 ROLLING_MEAN_LABEL = "Rolling Mean (fallback)"
 MODEL_LABEL = "Gradient Boosting"
@@ -83,33 +84,15 @@ def cv_folds(features: DataFrame, folds: int = 3) -> DataFrame:
 
 
 def cv_folds_by_row(features: DataFrame, folds: int = 3) -> DataFrame:
-    """The same folds cut over rows ordered by (sku_id, period) instead of months.
-
-    The row number is a running total of rows per SKU plus the place inside the SKU, so the only
-    window over the whole table sees one row per bucket of SKUs.
-    """
-    counts = features.groupBy("sku_id").agg(F.count("*").alias("rows"))
-    bucket = F.substring("sku_id", 1, 6)
-    in_bucket = counts.withColumn("bucket", bucket)
-    totals = in_bucket.groupBy("bucket").agg(F.sum("rows").alias("bucket_rows"))
-    prior = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bucket_start = totals.select("bucket", F.coalesce(F.sum("bucket_rows").over(prior), F.lit(0)).alias("bucket_start"))
-    inside = Window.partitionBy("bucket").orderBy("sku_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = in_bucket.withColumn("inside", F.coalesce(F.sum("rows").over(inside), F.lit(0))).join(
-        bucket_start, "bucket"
-    ).select("sku_id", (F.col("bucket_start") + F.col("inside")).alias("sku_start"))
-    place = F.row_number().over(Window.partitionBy("sku_id").orderBy("period")) - 1
-    numbered = features.withColumn("place", place).join(starts, "sku_id").withColumn(
-        "row_index", F.col("sku_start") + F.col("place")
-    )
+    """The same folds cut over rows ordered by (sku_id, period) instead of months."""
+    numbered = with_row_index(features, ["sku_id", "period"])
     total = one_value(features, F.count("*"))
     size = F.floor(total / (folds + 1))
     start = total - (F.lit(folds + 1) - F.col("fold")) * size
     part = F.when(F.col("row_index") < start, "train").when(F.col("row_index") < start + size, "test")
     return (
         numbered.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
-        .withColumn("part", part).where(F.col("part").isNotNull())
-        .drop("sku_start", "place", "row_index")
+        .withColumn("part", part).where(F.col("part").isNotNull()).drop("row_index")
     )
 
 
