@@ -6,20 +6,21 @@ are months, whatever the size of the table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from skuflow.functions import fixed_values as fv
 from skuflow.functions.scalar import abc_weight, high_season
 
-_BY_SKU = Window.partitionBy("sku_id").orderBy("period")
+def _by_sku() -> WindowSpec:
+    return Window.partitionBy("sku_id").orderBy("period")
 
 
-def _prior(rows: int) -> Window:
-    return _BY_SKU.rowsBetween(-rows, -1)
+def _prior(rows: int) -> WindowSpec:
+    return _by_sku().rowsBetween(-rows, -1)
 
 
 def lag_units(rows: int) -> Column:
-    return F.lag("net_units", rows).over(_BY_SKU)
+    return F.lag("net_units", rows).over(_by_sku())
 
 
 def rolling_mean(rows: int) -> Column:
