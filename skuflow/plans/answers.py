@@ -157,13 +157,14 @@ def _reorder_answers(asked: DataFrame, stock: DataFrame, rop: DataFrame, headlin
 
 
 def _supplier_answers(asked: DataFrame, terms: DataFrame, directory: DataFrame, offers: DataFrame) -> DataFrame:
-    # Without a SKU the first suppliers of the directory stand under the empty code.
+    # Without a SKU the first suppliers of the directory stand under the empty code, as one text.
     listed = listed_suppliers(directory).select(F.lit("").alias("sku_id"), "supplier_id").join(
         terms.select("supplier_id", "supplier_name", "lead_time_days", "on_time_rate_pct"), "supplier_id", "left"
     )
-    texts = supplier_text(terms, directory, offers.unionByName(listed))
-    rows = _with_text(_of(asked, "supplier"), texts)
-    return _answered(rows, F.coalesce("supplier_text", F.lit("No supplier mapping found for the specified SKU.")))
+    first_text = supplier_text(terms, directory, listed).select("supplier_text").scalar()
+    rows = _with_text(_of(asked, "supplier"), supplier_text(terms, directory, offers))
+    text = F.when(F.col("target_sku") == "", first_text).otherwise(F.col("supplier_text"))
+    return _answered(rows, F.coalesce(text, F.lit("No supplier mapping found for the specified SKU.")))
 
 
 def _anomaly_answers(asked: DataFrame, demand: DataFrame, asked_demand: DataFrame, sku: Column) -> DataFrame:
