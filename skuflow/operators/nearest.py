@@ -146,8 +146,11 @@ def squared_distance_scorer(digits: int = 6, match: bool = False) -> Scorer:
     return prepare
 
 
-def cosine_scorer(digits: int = 6) -> Scorer:
-    """Minus the dot product of sparse unit vectors ``tokens`` / ``weights``; rows sharing no token do not match."""
+def cosine_scorer(digits: int = 6, match: bool = False) -> Scorer:
+    """Minus the dot product of sparse unit vectors ``tokens`` / ``weights``; rows sharing no token do not match.
+
+    With ``match`` only equal ``group`` values match.
+    """
 
     def prepare(queries: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
         counts = [len(tokens) for tokens in queries["tokens"]]
@@ -172,6 +175,8 @@ def cosine_scorer(digits: int = 6) -> Scorer:
                     if hit is not None:
                         total[hit[0], place] += hit[1] * weight
                         shared[hit[0], place] = True
+            if match:
+                shared &= queries["group"].to_numpy()[:, None] == rows["group"].to_numpy()[None, :]
             return np.where(shared, -_half_up(total, digits), np.inf)
 
         return score
