@@ -69,12 +69,15 @@ def cv_folds(features: DataFrame, folds: int = 3) -> DataFrame:
     A fold's test slice has ``n // (folds + 1)`` months and its training part is all months before it.
     """
     months = features.select("period").distinct()
-    # Ranks over the distinct months only: the window sees one row per month of history.
-    ranked = months.select("period", (F.dense_rank().over(Window.orderBy("period")) - 1).alias("month_index"))
-    total = one_value(features, F.count_distinct("period"))
-    size = F.floor(total / (folds + 1))
-    plan = ranked.select("period", "month_index", F.explode(F.sequence(F.lit(1), F.lit(folds))).alias("fold"))
-    start = total - (F.lit(folds + 1) - F.col("fold")) * size
+    # Windows over the distinct months only: they see one row per month of history.
+    ranked = months.select(
+        "period",
+        (F.dense_rank().over(Window.orderBy("period")) - 1).alias("month_index"),
+        F.count("*").over(Window.partitionBy(F.lit(0))).alias("months"),
+    )
+    plan = ranked.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
+    size = F.floor(F.col("months") / (folds + 1))
+    start = F.col("months") - (F.lit(folds + 1) - F.col("fold")) * size
     part = (
         F.when(F.col("month_index") < start, "train")
         .when(F.col("month_index") < start + size, "test")

@@ -15,11 +15,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from skuflow.session import compute_partitions
+
 QUERY_BLOCK_ROWS = 8192
 QUERY_BLOCK_BYTES = 64 << 20
 CORPUS_BLOCK_ROWS = 65536
 CORPUS_BLOCK_BYTES = 128 << 20
 _MATRIX_CELLS = 4_000_000
+_COMPUTE_BOUND_QUERIES = 256
 
 # Builds, from a block of queries, the function that scores a block of corpus rows: a matrix
 # (queries × rows) of distances, where infinity marks rows that do not match.
@@ -57,17 +60,20 @@ def _block_candidates(queries: pd.DataFrame, score: Callable, corpus: pd.DataFra
 
 def best_matches(
     queries: DataFrame, corpus: DataFrame, scorer: Scorer, k: int, query_bytes: Column, corpus_bytes: Column,
-    block_rows: int = QUERY_BLOCK_ROWS,
+    block_rows: int = QUERY_BLOCK_ROWS, spread: bool = False,
 ) -> DataFrame:
     """(query_id, match_id, distance, rank): the ``k`` smallest distances, lower match id first on ties.
 
     ``queries`` needs ``query_id`` and ``corpus`` needs ``match_id``; ``*_bytes`` give the size of a row.
-    An empty corpus gives no rows.
+    An empty corpus gives no rows. With ``spread`` the corpus is dealt out to more tasks when many queries
+    make each of its rows expensive.
     """
     id_types = {"query_id": dict(queries.dtypes)["query_id"], "match_id": dict(corpus.dtypes)["match_id"]}
     schema = f"query_id {id_types['query_id']}, match_id {id_types['match_id']}, distance double"
     rows, size = queries.agg(F.count("*"), F.coalesce(F.sum(query_bytes.cast("long")), F.lit(0))).first()
     query_blocks = max(1, math.ceil(rows / block_rows), math.ceil(size / QUERY_BLOCK_BYTES))
+    if rows >= _COMPUTE_BOUND_QUERIES and spread:
+        corpus = corpus.repartition(compute_partitions(corpus.sparkSession), "match_id")
     if query_blocks == 1:
         candidates = _against_broadcast(queries, corpus, scorer, k, schema)
     else:

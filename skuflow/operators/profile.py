@@ -68,10 +68,9 @@ def top_series(demand: DataFrame, count: int = 5) -> DataFrame:
 
 def distinct_counts(demand: DataFrame) -> DataFrame:
     """Number of SKUs and channels, by distinct groups so that no task holds a set of all keys."""
-    skus = demand.select(F.lit("sku_id").alias("column"), F.col("sku_id").alias("value"))
-    channels = demand.select(F.lit("channel").alias("column"), F.col("channel").alias("value"))
+    named = F.array(*[F.struct(F.lit(name).alias("column"), F.col(name).alias("value")) for name in ("sku_id", "channel")])
     return (
-        skus.unionByName(channels).where(F.col("value").isNotNull()).distinct()
+        demand.select(F.inline(named)).where(F.col("value").isNotNull()).distinct()
         .groupBy("column").agg(F.count("*").alias("distinct_values"))
     )
 

@@ -21,13 +21,13 @@ DEMAND_MEASURES = ("units_sold", "units_returned", "net_units", "revenue")
 def period_sku_grid(demand: DataFrame) -> DataFrame:
     """Every SKU with every month from the first to the last of the table, measures where known.
 
-    Months come from two scalar subqueries and a sequence per SKU; no table is crossed with another.
+    Months come from a scalar subquery and a sequence per SKU; no table is crossed with another.
     """
-    first, last = one_value(demand, F.min("period")), one_value(demand, F.max("period"))
+    span = one_value(demand, F.sequence(F.min("period"), F.max("period"), F.expr("interval 1 month")))
     skus = demand.groupBy("sku_id").agg(
         F.min_by("product_name", "period").alias("product_name"), F.min_by("abc_class", "period").alias("abc_class")
     )
-    grid = skus.withColumn("period", F.explode(F.sequence(first, last, F.expr("interval 1 month"))))
+    grid = skus.withColumn("period", F.explode(span))
     measures = demand.select("sku_id", "period", "units_sold", "units_returned", "net_units")
     return grid.join(measures, ["sku_id", "period"], "left")
 

@@ -12,10 +12,18 @@ CHUNK_ORDER = ["source", "page", "chunk_index"]
 
 
 def chunks_of(pages: DataFrame, mode: str = "fixed") -> DataFrame:
-    """Clean chunks of pages with their collection; one row per chunk id."""
+    """Clean chunks of pages with their collection; one row per chunk id.
+
+    Chunk ids repeat only where (source, page) repeats. A read of these two columns finds such pages, and
+    only their texts are shuffled to pick the first chunk per id; all others go straight through.
+    """
     split = {"fixed": chunk_fixed, "boundary": chunk_boundary}[mode]
-    chunks = first_per_chunk_id(split(clean_pages(pages)), CHUNK_ORDER)
-    return chunks.withColumn("collection", collection_of(F.col("doc_type")))
+    clean = clean_pages(pages)
+    repeated = pages.groupBy("source", "page").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
+    keys = ["source", "page"]
+    once = split(clean.join(repeated, keys, "left_anti"))
+    first = first_per_chunk_id(split(clean.join(repeated, keys, "left_semi")), CHUNK_ORDER)
+    return once.unionByName(first).withColumn("collection", collection_of(F.col("doc_type")))
 
 
 def unique_chunks(pages: DataFrame, mode: str = "fixed") -> DataFrame:

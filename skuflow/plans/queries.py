@@ -716,9 +716,8 @@ def _searches(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def q_text_retrieve(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = _chunks(spark, folder)
-    idf = retrieval.inverse_frequency(chunks)
-    return retrieval.text_retrieve(_searches(spark, folder), retrieval.tfidf_rows(chunks, idf), idf)
+    index, idf = retrieval.text_index(_chunks(spark, folder))
+    return retrieval.text_retrieve(_searches(spark, folder), index, idf)
 
 
 def _typed_searches(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from skuflow.session import spread_small
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -136,7 +138,7 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
         F.when(key % 4 == 0, "PO_").when(key % 4 == 1, "catalog_")
         .when(key % 4 == 2, "Purchase_note_").otherwise("misc_")
     )
-    return table(spark, folder, "documents").select(
+    return spread_small(table(spark, folder, "documents").select("doc_id", "text"), "doc_id").select(
         F.concat(prefix, F.format_string("%06d", key), F.lit(".pdf")).alias("source"),
         F.lit(0).alias("page"),
         "text",
