@@ -173,17 +173,18 @@ def cosine_scorer(digits: int = 6, match: bool = False) -> Scorer:
         }
 
         def score(rows: pd.DataFrame) -> np.ndarray:
-            total = np.zeros((len(queries), len(rows)))
-            shared = np.zeros(total.shape, dtype=bool)
-            for place, (tokens, weights) in enumerate(zip(rows["tokens"], rows["weights"])):
+            # One line per row, so that a token's weights are added within one stretch of memory.
+            total = np.zeros((len(rows), len(queries)))
+            for line, tokens, weights in zip(total, rows["tokens"], rows["weights"]):
                 for token, weight in zip(tokens, weights):
                     hit = index.get(token)
                     if hit is not None:
-                        total[hit[0], place] += hit[1] * weight
-                        shared[hit[0], place] = True
+                        line[hit[0]] += hit[1] * weight
+            # Weights are positive, so a total of 0 means that no token is shared.
+            distance = np.where(total > 0, -_half_up(total, digits), np.inf).T
             if match:
-                shared &= queries["group"].to_numpy()[:, None] == rows["group"].to_numpy()[None, :]
-            return np.where(shared, -_half_up(total, digits), np.inf)
+                distance[queries["group"].to_numpy()[:, None] != rows["group"].to_numpy()[None, :]] = np.inf
+            return distance
 
         return score
 
