@@ -118,11 +118,12 @@ def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def histogram(df: DataFrame, value: str, flag: str, bins: int = 40) -> DataFrame:
     """Counts in equal-width bins between the smallest and largest value, split by ``flag``."""
-    bounds = one_value(df, F.struct(F.min(value).alias("low"), F.max(value).alias("high")))
-    width = (bounds["high"] - bounds["low"]) / F.lit(float(bins))
-    place = F.when(width == 0, 0).otherwise(
-        F.least(F.floor((F.col(value) - bounds["low"]) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
-    )
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    if low is None or low == high:
+        place = F.lit(0)
+    else:
+        width = (high - low) / float(bins)
+        place = F.least(F.floor((F.col(value) - low) / width), F.lit(bins - 1))
     return df.groupBy(place.cast("int").alias("bin"), flag).agg(F.count("*").alias("row_count"))
 
 

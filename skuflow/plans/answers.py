@@ -157,8 +157,9 @@ def _reorder_answers(asked: DataFrame, stock: DataFrame, rop: DataFrame, headlin
 
 
 def _supplier_answers(asked: DataFrame, terms: DataFrame, directory: DataFrame, offers: DataFrame) -> DataFrame:
-    # Without a SKU the first suppliers of the directory stand under the empty code, as one text.
-    listed = listed_suppliers(directory).select(F.lit("").alias("sku_id"), "supplier_id").join(
+    # Without a SKU the first suppliers of the directory stand under the empty code, as one text. The code
+    # is cut from a column, because a constant would leave the joins inside without a key.
+    listed = listed_suppliers(directory).select(F.substring("supplier_id", 1, 0).alias("sku_id"), "supplier_id").join(
         terms.select("supplier_id", "supplier_name", "lead_time_days", "on_time_rate_pct"), "supplier_id", "left"
     )
     first_text = supplier_text(terms, directory, listed).select("supplier_text").scalar()
