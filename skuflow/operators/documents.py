@@ -171,11 +171,17 @@ def minhash_signature(chunks: DataFrame, permutations: int = fv.MINHASH_PERMUTAT
 
     @F.pandas_udf("array<long>")
     def signature(hashes: pd.Series) -> pd.Series:
-        return hashes.map(lambda values: _mixed(values.astype(np.uint64), factor, shift).min(axis=0).astype(np.int64))
+        return hashes.map(lambda values: _smallest(values.astype(np.uint64), factor, shift).astype(np.int64))
 
     return chunks.withColumn("signature", signature(shingle_hashes(F.col("text"))))
 
 
+def _smallest(values: np.ndarray, factor: np.ndarray, shift: np.ndarray, block: int = 4096) -> np.ndarray:
+    """Smallest mixed value per hash function; blocks keep the work small for very long texts."""
+    parts = [_mixed(values[at:at + block], factor, shift).min(axis=0) for at in range(0, len(values), block)]
+    return np.minimum.reduce(parts)
+
+
 def _mixed(values: np.ndarray, factor: np.ndarray, shift: np.ndarray) -> np.ndarray:
     mixed = values[:, None] * factor[None, :] + shift[None, :]
     mixed ^= mixed >> np.uint64(29)

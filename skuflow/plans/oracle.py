@@ -584,6 +584,7 @@ FROM fx_inventory""",
     "clean_text": None,
     "doc_type": "SELECT DISTINCT source, doc_type FROM chunks",
     "chunk_documents": "SELECT chunk_id, chunk_index, doc_type, length(text) AS n_chars, md5(text) AS text_md5 FROM chunks",
+    "chunk_id": "SELECT chunk_id, source, page, chunk_index, collection FROM collected",
     "chunk_id_dedup": "SELECT chunk_id, chunk_index, md5(text) AS text_md5 FROM chunks",
     "shingles": "SELECT chunk_id, md5(unnest(shingles)) AS shingle_md5 FROM shingle_sets",
     "near_dup_pairs": """

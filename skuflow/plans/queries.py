@@ -90,10 +90,8 @@ def q_scan_inventory(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def q_scan_supplier_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Terms with their delimited SKU text, written, read and split into one row per SKU."""
-    listed = src.supplier_sku(spark, folder).groupBy("supplier_id").agg(
-        F.array_join(F.sort_array(F.collect_set("sku_id")), "; ").alias("skus_supplied")
-    )
-    rows = src.supplier_terms(spark, folder).join(listed, "supplier_id", "left")
+    lists = src.supplier_sku_lists(spark, folder).drop("list_no")
+    rows = src.supplier_terms(spark, folder).join(lists, "supplier_id", "left")
     read = readers.read_supplier_terms(spark, _csv(spark, rows, "terms"))
     return read.select("supplier_id", "lead_time_days", "min_order_qty", F.explode_outer("sku_list").alias("sku_id"))
 
@@ -309,14 +307,9 @@ def q_supplier_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def q_sku_suppliers(spark: SparkSession, folder: str) -> DataFrame:
-    """The bridge rebuilt from the delimited list of each supplier, then joined to terms."""
-    listed = src.supplier_sku(spark, folder).groupBy("supplier_id").agg(
-        F.array_join(F.sort_array(F.collect_set(F.lower("sku_id"))), "; ").alias("skus_supplied")
-    )
-    terms = src.supplier_terms(spark, folder).join(listed, "supplier_id").withColumn(
-        "sku_list", readers.sku_list(F.col("skus_supplied"))
-    )
-    return suppliers.suppliers_of_skus(suppliers.sku_bridge(terms), terms)
+    """The bridge rebuilt from delimited lists of lower-cased codes, then joined to terms."""
+    lists = src.supplier_sku_lists(spark, folder).withColumn("sku_list", readers.sku_list(F.lower("skus_supplied")))
+    return suppliers.suppliers_of_skus(suppliers.sku_bridge(lists), src.supplier_terms(spark, folder))
 
 
 @query
@@ -647,6 +640,11 @@ def q_chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def q_chunk_id(spark: SparkSession, folder: str) -> DataFrame:
+    return _chunks(spark, folder).select("chunk_id", "source", "page", "chunk_index", "collection")
+
+
 @query
 def q_chunk_boundary(spark: SparkSession, folder: str) -> DataFrame:
     chunks = documents.chunk_boundary(documents.clean_pages(src.pages(spark, folder)))

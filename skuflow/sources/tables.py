@@ -24,7 +24,11 @@ def _abc_class(key: Column) -> Column:
 
 
 def demand_history(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per SKU and month with sales. The fact table is aggregated before it meets ``part``."""
+    """One row per SKU and month with sales.
+
+    The fact table is aggregated before it meets ``part``, and they meet on the SKU code, so that windows
+    and aggregates per SKU find their rows together already.
+    """
     returned = F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0)
     price = F.col("l_extendedprice").cast("decimal(12,2)")
     kept_share = F.lit(1) - F.col("l_discount").cast("decimal(4,2)")
@@ -37,16 +41,15 @@ def demand_history(spark: SparkSession, folder: str) -> DataFrame:
             F.sum(returned).alias("units_returned"),
             F.sum(price * kept_share).cast("double").alias("revenue"),
         )
+        .withColumn("sku_id", sku_code(F.col("l_partkey")))
     )
-    part = table(spark, folder, "part").select("p_partkey", "p_name")
-    return monthly.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+    part = table(spark, folder, "part").select(
         sku_code(F.col("p_partkey")).alias("sku_id"),
-        "period",
         F.col("p_name").alias("product_name"),
         _abc_class(F.col("p_partkey")).alias("abc_class"),
-        "channel",
-        "units_sold",
-        "units_returned",
+    )
+    return monthly.join(part, "sku_id").select(
+        "sku_id", "period", "product_name", "abc_class", "channel", "units_sold", "units_returned",
         F.greatest(F.col("units_sold") - F.col("units_returned"), F.lit(0.0)).alias("net_units"),
         "revenue",
     )
@@ -116,6 +119,21 @@ def supplier_sku(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def supplier_sku_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as delimited lists: a supplier has one list per 50 neighbouring SKU numbers, so none grows long."""
+    sold = (
+        table(spark, folder, "lineitem")
+        .where((F.col("l_linenumber") == 1) & (F.col("l_partkey") % 5 != 0))
+        .select("l_suppkey", "l_partkey").distinct()
+    )
+    code = sku_code(F.col("l_partkey"))
+    return (
+        sold.groupBy("l_suppkey", F.floor(F.col("l_partkey") / 50).alias("list_no"))
+        .agg(F.array_join(F.sort_array(F.collect_list(code)), "; ").alias("skus_supplied"))
+        .select(supplier_code(F.col("l_suppkey")).alias("supplier_id"), "list_no", "skus_supplied")
+    )
+
+
 def purchase_orders(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("po_date"))
     lines = table(spark, folder, "lineitem").select(

@@ -45,3 +45,13 @@ def test_features_share_one_window_shuffle(spark):
     demand = tables.demand_history(spark, SMALL)
     before = plan_of(demand).count("Exchange hashpartitioning")
     assert plan_of(features.sku_features(demand)).count("Exchange hashpartitioning") == before + 1
+
+
+def test_features_add_no_shuffle_to_a_shuffled_join(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        demand = tables.demand_history(spark, SMALL)
+        before = plan_of(demand).count("Exchange hashpartitioning")
+        assert plan_of(features.sku_features(demand)).count("Exchange hashpartitioning") == before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
