@@ -44,6 +44,30 @@ def forecast_fallback(demand: DataFrame, horizon: int = 3) -> DataFrame:
     )
 
 
+def points_from_arrays(forecasts: DataFrame) -> DataFrame:
+    """One row per month ahead from the arrays ``forecast``, ``lower`` and ``upper`` of each SKU."""
+    zipped = F.posexplode(F.arrays_zip("forecast", "lower", "upper"))
+    return forecasts.select("sku_id", "model", zipped.alias("place", "point")).select(
+        "sku_id",
+        (F.col("place") + 1).alias("month_offset"),
+        F.col("point.forecast").alias("forecast"),
+        F.col("point.lower").alias("lower_ci"),
+        F.col("point.upper").alias("upper_ci"),
+        "model",
+    )
+
+
+def arrays_from_points(points: DataFrame) -> DataFrame:
+    """One row per SKU with its horizon and the arrays ``forecast``, ``lower`` and ``upper``."""
+    ordered = F.sort_array(F.collect_list(F.struct("month_offset", "forecast", "lower_ci", "upper_ci")))
+    return points.groupBy("sku_id", "model").agg(ordered.alias("points")).select(
+        "sku_id", "model", F.size("points").alias("horizon"),
+        F.col("points.forecast").alias("forecast"),
+        F.col("points.lower_ci").alias("lower"),
+        F.col("points.upper_ci").alias("upper"),
+    )
+
+
 def forecast_text(points: DataFrame, horizon: int = 3) -> DataFrame:
     """Forecast text of each SKU from its points."""
     line = F.concat(

@@ -605,7 +605,8 @@ WHERE place <= search_k""",
     "format_context": "SELECT query_id, length(context) AS n_chars, md5(context) AS context_md5 FROM typed_contexts",
     "forecast_fallback": "SELECT * FROM points WHERE month_offset <= 3",
     "forecast_all": "SELECT * FROM points",
-    "forecast_points": "SELECT * FROM forecast_texts",
+    "forecast_points": "SELECT * FROM points",
+    "forecast_text": "SELECT * FROM forecast_texts",
     "forecast_bands": f"SELECT sku_id, {r('greatest(0, avg_monthly - 1.64::DOUBLE * std_monthly)', 1)} AS lower_ci, {r('avg_monthly + 1.64::DOUBLE * std_monthly', 1)} AS upper_ci FROM stats",
     "cv_folds": """
 SELECT fold, part, count(*) AS row_count, CAST(min(period) AS VARCHAR) AS first_period, CAST(max(period) AS VARCHAR) AS last_period

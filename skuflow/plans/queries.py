@@ -769,7 +769,13 @@ def q_forecast_all(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def q_forecast_points(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts of the forecasts, one per SKU."""
+    """Forecasts as arrays per SKU, taken apart into one row per month ahead."""
+    points = forecast.forecast_fallback(src.demand_history(spark, folder), horizon=6)
+    return forecast.points_from_arrays(forecast.arrays_from_points(points))
+
+
+@query
+def q_forecast_text(spark: SparkSession, folder: str) -> DataFrame:
     return forecast.forecast_text(forecast.forecast_fallback(src.demand_history(spark, folder)))
 
 
