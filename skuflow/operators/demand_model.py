@@ -34,13 +34,17 @@ def model_input(features: DataFrame) -> DataFrame:
 
 
 def train(features: DataFrame, trees: int = TREES, step: float = 0.05, depth: int = 5, seed: int = 42) -> PipelineModel:
-    """One model for all SKUs."""
+    """One model for all SKUs.
+
+    Training reads its rows several times, so they are written once; the shared folder also lets the
+    booster checkpoint between trees.
+    """
     assembler = VectorAssembler(inputCols=_MODEL_COLUMNS, outputCol="features")
     booster = GBTRegressor(
         featuresCol="features", labelCol="net_units", predictionCol="prediction",
         maxIter=trees, stepSize=step, maxDepth=depth, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed,
     )
-    rows = model_input(features).select("net_units", *_MODEL_COLUMNS)
+    rows = checkpointed(model_input(features).select("net_units", *_MODEL_COLUMNS))
     return Pipeline(stages=[assembler, booster]).fit(rows)
 
 

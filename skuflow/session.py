@@ -26,7 +26,7 @@ def build_session(app_name: str = "skuflow", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def _shared_root(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``, or a temporary one in local mode."""
     context = spark.sparkContext
     root = context.getCheckpointDir()
@@ -43,7 +43,7 @@ def _shared_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{_shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

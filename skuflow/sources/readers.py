@@ -35,12 +35,12 @@ def read_supplier_terms(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("sku_list", sku_list(F.col("skus_supplied")))
 
 
-def read_purchase_orders(spark: SparkSession, path: str) -> DataFrame:
-    return _with_dates(_csv(spark, path, schemas.PURCHASE_ORDERS), "po_date", pattern="yyyy-MM-dd")
+def read_purchase_orders(spark: SparkSession, path: str, date_pattern: str = "yyyy-MM-dd") -> DataFrame:
+    return _with_dates(_csv(spark, path, schemas.PURCHASE_ORDERS), "po_date", pattern=date_pattern)
 
 
-def read_sales_invoices(spark: SparkSession, path: str) -> DataFrame:
-    return _with_dates(_csv(spark, path, schemas.SALES_INVOICES), "invoice_date", pattern="yyyy-MM-dd")
+def read_sales_invoices(spark: SparkSession, path: str, date_pattern: str = "yyyy-MM-dd") -> DataFrame:
+    return _with_dates(_csv(spark, path, schemas.SALES_INVOICES), "invoice_date", pattern=date_pattern)
 
 
 def _with_dates(df: DataFrame, *names: str, pattern: str = "dd-MM-yyyy") -> DataFrame:

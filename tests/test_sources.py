@@ -85,3 +85,25 @@ def test_runs_are_appended(spark, tmp_path):
     rows = spark.read.parquet(path).collect()
     assert sorted(r.metrics["rmse"] for r in rows) == [1.5, 2.5]
     assert rows[0].params == {"trees": "300"}
+
+
+def test_supplier_profile_shows_the_columns_there_are(spark):
+    from skuflow.operators.suppliers import supplier_profile
+
+    directory = spark.createDataFrame(
+        [("S1", "One", "Pune", "MH", "Pipes", 92.0, "30 days net")],
+        "supplier_id string, supplier_name string, city string, state string, category string, on_time_rate_pct double, "
+        "payment_terms string",
+    )
+    terms = spark.createDataFrame(
+        [("S1", 36, 116, 30, 20.0, "2% per week", None), ("S2", 5, 10, 0, 0.0, "none", "new")],
+        "supplier_id string, lead_time_days int, min_order_qty int, credit_days int, advance_pct double, "
+        "penalty_clause string, notes string",
+    )
+    rows = {r.supplier_id: r for r in supplier_profile(terms, directory).collect()}
+    assert rows["S1"].profile_text == (
+        "Supplier: One (S1)\n  City: Pune, MH\n  Category: Pipes\n  On-time rate: 92%\n  Payment terms: 30 days net\n"
+        "  Lead time: 36 days\n  MOQ: 116 units\n  Credit: 30 days\n  Advance: 20%\n  Penalty: 2% per week"
+    )
+    assert (rows["S2"].in_directory, rows["S2"].in_terms) == (False, True)
+    assert rows["S2"].profile_text.startswith("  Lead time: 5 days")
