@@ -6,13 +6,18 @@ import math
 
 from pyspark.sql import Column, functions as F
 
-_SPAN = float(2 ** 53)
+_SPAN = float(2 ** 52)
 
 
 def uniform(seed: int, row_id: Column, purpose: str) -> Column:
-    """A number in the open interval (0, 1)."""
-    bits = F.xxhash64(F.lit(seed), F.lit(purpose), row_id)
-    return (F.shiftrightunsigned(bits, 11).cast("double") + 0.5) / F.lit(_SPAN)
+    """A number in the open interval (0, 1) from an MD5 hash, alike on every engine."""
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), F.lit(purpose), row_id.cast("string")))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(_SPAN)
+
+
+def hash_share(seed: int, *keys: Column) -> Column:
+    """A number in [0, 1) from a fast hash, to pick rows of large tables."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 12).cast("double") / F.lit(_SPAN)
 
 
 def normal(seed: int, row_id: Column, purpose: str, mean: float = 0.0, std: float = 1.0) -> Column:

@@ -697,21 +697,104 @@ SELECT ord, row_number() OVER (ORDER BY ord) AS step,
        (SELECT list(earlier) FROM content_pairs WHERE later = ord) AS before
 FROM (SELECT later AS ord FROM content_pairs UNION SELECT earlier FROM content_pairs)
 """
-_WALK = """
-SELECT chunk_id FROM members WHERE ord = content_ord AND ord NOT IN (
-  SELECT ord FROM walk_nodes WHERE NOT list_contains((SELECT kept FROM walk ORDER BY step DESC LIMIT 1), ord))"""
+_DROPPED = """
+SELECT ord FROM walk_nodes WHERE NOT list_contains((SELECT kept FROM walk ORDER BY step DESC LIMIT 1), ord)"""
 
 
-def _greedy() -> str:
-    body = "SELECT * FROM members JOIN walk_nodes"
+def _greedy(last: str) -> str:
+    """``last`` after a walk; it may use ``members``, ``walk_nodes`` and ``walk``."""
+    body = "SELECT * FROM members JOIN walk_nodes JOIN collected"
     prefix = sql(body).removesuffix(body).replace("WITH ", "WITH RECURSIVE ", 1)
     walk = """, walk AS (
   SELECT CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS kept
   UNION ALL
   SELECT n.step, CASE WHEN n.before IS NOT NULL AND list_has_any(n.before, w.kept) THEN w.kept ELSE list_append(w.kept, n.ord) END
   FROM walk w JOIN walk_nodes n ON n.step = w.step + 1)"""
-    return prefix.rstrip() + walk + _WALK
+    return prefix.rstrip() + walk + last
 
 
+def _within_collections(text: str) -> str:
+    """The duplicate views with contents and pairs inside one collection only."""
+    return (
+        text.replace("FROM shingle_sets\n)", "FROM shingle_sets JOIN (SELECT chunk_id, collection FROM collected) USING (chunk_id)\n)")
+        .replace("array_to_string(list_sort(shingles), '|') AS set_key", "collection || array_to_string(list_sort(shingles), '|') AS set_key, collection")
+        .replace("SELECT ord, size, unnest(shingles)", "SELECT ord, size, collection, unnest(shingles)")
+        .replace("ON a.shingle = b.shingle AND", "ON a.shingle = b.shingle AND a.collection = b.collection AND")
+    )
+
+
+def _share(purpose: str, row: str) -> str:
+    """A draw in (0, 1) from an MD5 hash of seed, purpose and row number."""
+    return f"((CAST('0x' || substring(md5('42/{purpose}/' || {row}), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+
+
+def _noise(purpose: str, row: str, spread: float) -> str:
+    radius, angle = _share(purpose + "/radius", row), _share(purpose + "/angle", row)
+    return f"(1.0::DOUBLE + {spread}::DOUBLE * sqrt(-2.0::DOUBLE * ln({radius})) * cos(2.0::DOUBLE * pi() * {angle}))"
+
+
+def _drawn(source: str, order: str, rows: str) -> str:
+    return f"""
+SELECT * FROM (SELECT row_id, CAST(floor({_share('pick', 'row_id')} * (SELECT count(*) FROM {source})) AS BIGINT) AS row_index
+               FROM (SELECT unnest(range(({rows}))) AS row_id))
+JOIN (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS row_index FROM {source}) USING (row_index)"""
+
+
+ROW = "row_id"
+_MEASURES = ("units_sold", "units_returned", "net_units", "revenue")
+
+
+def _bootstrapped(rows: str) -> str:
+    cells = ", ".join(f"{r(f'abs({m} * {_noise(m, ROW, 0.12)})')} AS {m}" for m in _MEASURES)
+    return f"SELECT row_id, {cells} FROM ({_drawn('fx_demand', 'sku_id, period', rows)})"
+
+
+def _extended(rows: str) -> str:
+    return f"""
+SELECT printf('SYN-%05d', row_id) AS record_id, CAST(period AS VARCHAR) AS period, strftime(period, '%b') AS month,
+       CAST(year(period) AS INT) AS year, sku_id, product_name, abc_class,
+       (SELECT list(DISTINCT channel ORDER BY channel) FROM fx_demand)[CAST(floor({_share('channel', 'row_id')}
+          * (SELECT count(DISTINCT channel) FROM fx_demand)) AS BIGINT) + 1] AS channel,
+       units_sold, units_returned, greatest(units_sold - units_returned, 0) AS net_units, revenue
+FROM (SELECT *, row_number() OVER (ORDER BY period, sku_id) - 1 AS row_id FROM (
+        SELECT sku_id, product_name, abc_class, CAST(unnest(generate_series((SELECT min(period) FROM fx_demand),
+               (SELECT max(period) FROM fx_demand), INTERVAL 1 MONTH)) AS DATE) AS period
+        FROM (SELECT sku_id, arg_min(product_name, period) AS product_name, arg_min(abc_class, period) AS abc_class
+              FROM fx_demand GROUP BY sku_id)))
+JOIN ({_bootstrapped(rows)}) USING (row_id)"""
+
+
+_DEMAND_ROWS = "SELECT count(*) FROM fx_demand"
+_BODIES["bootstrap_demand"] = _bootstrapped(_DEMAND_ROWS)
+_BODIES["extend_demand"] = _extended(_DEMAND_ROWS)
+_BODIES["sink_csv"] = f"SELECT * EXCLUDE (revenue), revenue AS revenue_inr FROM ({_extended('SELECT 2000')})"
+_BODIES["bootstrap_po"] = f"""
+SELECT *, {r('qty_ordered * rate_per_unit', 2)} AS po_value FROM (
+  SELECT printf('SYN-PO-%05d', row_id) AS po_number, CAST(po_date AS VARCHAR) AS po_date, supplier_id, sku_id,
+         {r('greatest(qty_ordered * ' + _noise('quantity', 'row_id', 0.15) + ', 10)')} AS qty_ordered,
+         {r('rate_per_unit * ' + _noise('rate', 'row_id', 0.08), 2)} AS rate_per_unit
+  FROM ({_drawn('fx_po', 'po_number', 'SELECT count(*) FROM fx_po')}))"""
+VIEWS["fx_offers"] = """
+SELECT supplier_id, b.sku_id, lead_time_days, min_order_qty, p_retailprice * 0.8::DOUBLE AS price_low,
+       p_retailprice * 1.2::DOUBLE AS price_high
+FROM fx_bridge b JOIN fx_terms USING (supplier_id) JOIN part ON b.sku_id = printf('SKU-%06d', p_partkey)
+"""
+_BODIES["synthesize_po"] = f"""
+SELECT *, {r('subtotal + gst', 2)} AS total FROM (
+  SELECT *, {r('subtotal * 0.18::DOUBLE', 2)} AS gst FROM (
+    SELECT *, {r('qty * unit_price', 2)} AS subtotal FROM (
+      SELECT printf('PO-%d-%04d', year(day), row_id + 1) AS po_number, supplier_id, sku_id, CAST(day AS VARCHAR) AS po_date,
+             lead_time_days, offset_days, qty, unit_price, CAST(day + CAST(lead_time_days + offset_days AS INT) AS VARCHAR) AS delivery_date
+      FROM (SELECT *, CAST(DATE '2022-01-01' + CAST(floor({_share('day', 'row_id')} * (DATE '2025-05-18' - DATE '2022-01-01' + 1)) AS INT) AS DATE) AS day,
+                   CAST(-5 + floor({_share('offset', 'row_id')} * 16) AS BIGINT) AS offset_days,
+                   min_order_qty + floor({_share('quantity', 'row_id')} * (min_order_qty * 4 - min_order_qty + 1)) AS qty,
+                   {r('price_low + ' + _share('price', 'row_id') + ' * (price_high - price_low)', 2)} AS unit_price
+            FROM ({_drawn('fx_offers', 'supplier_id, sku_id', 'SELECT count(*) FROM fx_po')})))))"""
+
 ORACLE = {name: sql(body) for name, body in _BODIES.items() if body is not None}
-ORACLE["dedup_keep_first"] = _greedy()
+_KEPT = f"""
+SELECT chunk_id FROM members WHERE ord = content_ord AND ord NOT IN ({_DROPPED})"""
+ORACLE["dedup_keep_first"] = _greedy(_KEPT)
+ORACLE["ingest"] = _within_collections(_greedy(f"""
+SELECT chunk_id, collected.collection, doc_type, CAST(1 AS BIGINT) AS version, md5(text) AS text_md5
+FROM collected WHERE chunk_id IN ({_KEPT})"""))

@@ -747,11 +747,21 @@ def q_format_context(spark: SparkSession, folder: str) -> DataFrame:
     return contexts.select("query_id", F.length("context").alias("n_chars"), F.md5("context").alias("context_md5"))
 
 
+def _ingested(spark: SparkSession, folder: str, mode: str) -> DataFrame:
+    path = scratch_path(spark, "collections")
+    ingestion.ingest(spark, src.pages(spark, folder), path, version=1, mode=mode)
+    return spark.read.parquet(path)
+
+
 @query
 def q_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    path = scratch_path(spark, "collections")
-    ingestion.ingest(spark, src.pages(spark, folder), path, version=1)
-    return retrieval.collection_count(spark.read.parquet(path))
+    stored = _ingested(spark, folder, "fixed")
+    return stored.select("chunk_id", "collection", "doc_type", "version", F.md5("text").alias("text_md5"))
+
+
+@query
+def q_ingest_boundary(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.collection_count(_ingested(spark, folder, "boundary"))
 
 
 # Forecasting
