@@ -23,6 +23,7 @@ CORPUS_BLOCK_ROWS = 65536
 CORPUS_BLOCK_BYTES = 128 << 20
 _MATRIX_CELLS = 4_000_000
 _COMPUTE_BOUND_QUERIES = 256
+_TASK_CELLS = 400_000_000
 
 # Builds, from a block of queries, the function that scores a block of corpus rows: a matrix
 # (queries × rows) of distances, where infinity marks rows that do not match.
@@ -72,8 +73,10 @@ def best_matches(
     schema = f"query_id {id_types['query_id']}, match_id {id_types['match_id']}, distance double"
     rows, size = queries.agg(F.count("*"), F.coalesce(F.sum(query_bytes.cast("long")), F.lit(0))).first()
     query_blocks = max(1, math.ceil(rows / block_rows), math.ceil(size / QUERY_BLOCK_BYTES))
-    if rows >= _COMPUTE_BOUND_QUERIES and spread:
-        corpus = corpus.repartition(compute_partitions(corpus.sparkSession), "match_id")
+    if spread and rows >= _COMPUTE_BOUND_QUERIES:
+        cells = rows * corpus.count()
+        parts = max(corpus.sparkSession.sparkContext.defaultParallelism, math.ceil(cells / _TASK_CELLS))
+        corpus = corpus.repartition(min(parts, compute_partitions(corpus.sparkSession)), "match_id")
     if query_blocks == 1:
         candidates = _against_broadcast(queries, corpus, scorer, k, schema)
     else:
@@ -131,27 +134,55 @@ def _half_up(values: np.ndarray, digits: int) -> np.ndarray:
     return np.floor(values * factor + 0.5) / factor
 
 
+def _per_group(queries: pd.DataFrame, match: bool) -> dict[object, np.ndarray]:
+    """Places of the queries of each group; one group of all without ``match``."""
+    if not match:
+        return {None: np.arange(len(queries))}
+    codes, values = pd.factorize(queries["group"])
+    return {value: np.flatnonzero(codes == code) for code, value in enumerate(values)}
+
+
 def squared_distance_scorer(digits: int = 6, match: bool = False) -> Scorer:
     """Squared Euclidean distance of ``embedding``, rounded; with ``match`` only equal ``group`` values match."""
 
     def prepare(queries: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
         points = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
         lengths = (points * points).sum(axis=1)
-        groups = queries["group"].to_numpy() if match else None
+        query_groups = _per_group(queries, match)
+
+        def distances(query_at: np.ndarray, others: np.ndarray) -> np.ndarray:
+            squared = lengths[query_at, None] + (others * others).sum(axis=1)[None, :] - 2.0 * points[query_at] @ others.T
+            return _half_up(np.maximum(squared, 0.0), digits)
 
         def score(rows: pd.DataFrame) -> np.ndarray:
             others = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-            squared = lengths[:, None] + (others * others).sum(axis=1)[None, :] - 2.0 * points @ others.T
-            distance = _half_up(np.maximum(squared, 0.0), digits)
-            if match:
-                distance[groups[:, None] != rows["group"].to_numpy()[None, :]] = np.inf
-            return distance
+            result = np.full((len(queries), len(rows)), np.inf)
+            for value, row_at in _per_group(rows, match).items():
+                query_at = query_groups.get(value)
+                if query_at is not None:
+                    result[np.ix_(query_at, row_at)] = distances(query_at, others[row_at])
+            return result
 
         return score
 
     return prepare
 
 
+def _postings(queries: pd.DataFrame, query_at: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For each token the places and weights of the queries that hold it."""
+    lists = queries["tokens"].to_numpy()[query_at]
+    if len(lists) == 0:
+        return {}
+    codes, tokens = pd.factorize(np.concatenate(lists))
+    owners = np.repeat(query_at, [len(tokens_of_query) for tokens_of_query in lists])
+    weights = np.concatenate(queries["weights"].to_numpy()[query_at])
+    order = np.argsort(codes, kind="stable")
+    ends = np.cumsum(np.bincount(codes, minlength=len(tokens)))
+    starts = ends - np.bincount(codes, minlength=len(tokens))
+    owners, weights = owners[order], weights[order]
+    return {token: (owners[a:b], weights[a:b]) for token, a, b in zip(tokens, starts, ends)}
+
+
 def cosine_scorer(digits: int = 6, match: bool = False) -> Scorer:
     """Minus the dot product of sparse unit vectors ``tokens`` / ``weights``; rows sharing no token do not match.
 
@@ -159,32 +190,20 @@ def cosine_scorer(digits: int = 6, match: bool = False) -> Scorer:
     """
 
     def prepare(queries: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
-        counts = [len(tokens) for tokens in queries["tokens"]]
-        postings = pd.DataFrame(
-            {
-                "token": np.concatenate(queries["tokens"].to_numpy()) if len(queries) else [],
-                "weight": np.concatenate(queries["weights"].to_numpy()) if len(queries) else [],
-                "query": np.repeat(np.arange(len(queries)), counts),
-            }
-        )
-        index = {
-            token: (part["query"].to_numpy(), part["weight"].to_numpy())
-            for token, part in postings.groupby("token", sort=False)
-        }
+        index = {value: _postings(queries, query_at) for value, query_at in _per_group(queries, match).items()}
 
         def score(rows: pd.DataFrame) -> np.ndarray:
             # One line per row, so that a token's weights are added within one stretch of memory.
             total = np.zeros((len(rows), len(queries)))
-            for line, tokens, weights in zip(total, rows["tokens"], rows["weights"]):
+            groups = rows["group"] if match else [None] * len(rows)
+            for line, group, tokens, weights in zip(total, groups, rows["tokens"], rows["weights"]):
+                postings = index.get(group, {})
                 for token, weight in zip(tokens, weights):
-                    hit = index.get(token)
+                    hit = postings.get(token)
                     if hit is not None:
                         line[hit[0]] += hit[1] * weight
             # Weights are positive, so a total of 0 means that no token is shared.
-            distance = np.where(total > 0, -_half_up(total, digits), np.inf).T
-            if match:
-                distance[queries["group"].to_numpy()[:, None] != rows["group"].to_numpy()[None, :]] = np.inf
-            return distance
+            return np.where(total > 0, -_half_up(total, digits), np.inf).T
 
         return score
 

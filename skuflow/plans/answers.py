@@ -85,10 +85,12 @@ def supplier_text(terms: DataFrame, directory: DataFrame, offers: DataFrame) ->
 def answer_queries(
     questions: DataFrame, demand: DataFrame, inventory: DataFrame, terms: DataFrame, directory: DataFrame,
     bridge: DataFrame, chunks: DataFrame, pattern: str = fv.SKU_PATTERN,
+    points: DataFrame | None = None, scored: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, question, intent, sku_id, answer, context_used) for every row of (query_id, question).
 
-    Forecasts are rolling means and anomalies z-scores. A reorder question without SKU is answered with
+    ``points`` are three-month forecasts of a trained model and ``scored`` the months scored by a forest;
+    without them forecasts are rolling means and anomalies z-scores. A reorder question without SKU is answered with
     the number of SKUs to order; ``reorder_scan_lines`` is the list, as a table of its own, because its
     length grows with the inventory. Texts are built only for the SKUs that are asked for.
     """
@@ -105,8 +107,15 @@ def answer_queries(
         return df.join(targets(handler), "sku_id", "left_semi")
 
     sku = F.col("target_sku")
+    points = forecast_fallback(only(demand, "demand")) if points is None else only(points, "demand")
+    if scored is None:
+        of_skus = flagged(zscore_scores(anomaly_features(sku_features(only(demand, "anomaly"))), "per_sku"))
+        everywhere = flagged(zscore_scores(anomaly_features(sku_features(demand))))
+    else:
+        everywhere = flagged(scored)
+        of_skus = only(everywhere, "anomaly")
     answers = [
-        _demand_answers(asked, forecast_text(forecast_fallback(only(demand, "demand"))), sku),
+        _demand_answers(asked, forecast_text(points), sku),
         _reorder_answers(
             asked,
             stock_check(only(inventory, "reorder")).select("sku_id", "stock_text"),
@@ -119,7 +128,7 @@ def answer_queries(
             sku,
         ),
         _supplier_answers(asked, terms, directory, suppliers_of_skus(only(bridge, "supplier"), terms)),
-        _anomaly_answers(asked, demand, only(demand, "anomaly"), sku),
+        _anomaly_answers(asked, everywhere, of_skus, sku),
     ]
     return reduce(DataFrame.unionByName, answers).select(
         "query_id", "question", "intent", "sku_id", "answer", (F.length("context") > 0).alias("context_used")
@@ -168,10 +177,8 @@ def _supplier_answers(asked: DataFrame, terms: DataFrame, directory: DataFrame,
     return _answered(rows, F.coalesce(text, F.lit("No supplier mapping found for the specified SKU.")))
 
 
-def _anomaly_answers(asked: DataFrame, demand: DataFrame, asked_demand: DataFrame, sku: Column) -> DataFrame:
-    per_sku = flagged(zscore_scores(anomaly_features(sku_features(asked_demand)), "per_sku"))
-    everywhere = flagged(zscore_scores(anomaly_features(sku_features(demand))))
-    rows = _with_text(_of(asked, "anomaly"), sku_anomaly_text(per_sku))
+def _anomaly_answers(asked: DataFrame, everywhere: DataFrame, of_skus: DataFrame, sku: Column) -> DataFrame:
+    rows = _with_text(_of(asked, "anomaly"), sku_anomaly_text(of_skus))
     one = F.coalesce("anomaly_text", F.concat(F.lit("No anomalies detected for SKU "), sku, F.lit(".")))
     body = F.when(sku == "", anomaly_scan_text(everywhere)).otherwise(one)
     context = F.when(F.col("context") == fv.NO_DOCUMENTS, "").otherwise(

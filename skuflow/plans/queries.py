@@ -10,7 +10,7 @@ from skuflow.functions import fixed_values as fv
 from skuflow.functions.scalar import abc_weight, half_up, high_season, number_text, signed_text
 from skuflow.operators import anomaly, demand_model, documents, features, forecast, intents, inventory, isolation_forest
 from skuflow.operators import arima, near_duplicates, profile, resample, retrieval, suppliers
-from skuflow.plans import alerts as board, answers, ingest as ingestion
+from skuflow.plans import alerts as board, answers, ingest as ingestion, training
 from skuflow.session import scratch_path
 from skuflow.sources import readers, sinks, tables as src
 
@@ -165,7 +165,7 @@ def q_sink_csv(spark: SparkSession, folder: str) -> DataFrame:
 def q_sink_model(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "forest")
     rows = anomaly.anomaly_features(_features(spark, folder))
-    isolation_forest.save_forest(isolation_forest.fit_forest(rows, ["sku_id", "period"]), path)
+    isolation_forest.save_forest(isolation_forest.train_forest(rows, ["sku_id", "period"]), path)
     nodes = isolation_forest.load_forest(spark, path)
     return nodes.groupBy("tree").agg(
         F.count("*").alias("node_count"), F.max("depth").alias("depth"), F.max("row_count").alias("row_count")
@@ -855,6 +855,15 @@ def q_holdout_eval(spark: SparkSession, folder: str) -> DataFrame:
     return shown(forecast.evaluate(rows), rmse=4, mape=4)
 
 
+@query
+def q_train_models(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole training job; its run table."""
+    path = scratch_path(spark, "training")
+    training.train_models(spark, src.demand_history(spark, folder), path, QUERY_TREES)
+    runs = spark.read.parquet(f"{path}/runs")
+    return runs.select("run", F.explode("metrics").alias("metric", "value"))
+
+
 @query
 def q_forecast_model(spark: SparkSession, folder: str) -> DataFrame:
     demand = src.demand_history(spark, folder)

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skuflow.operators import anomaly, arima, demand_model, features, forecast, isolation_forest
+from skuflow.plans import answers, training
+from skuflow.plans.queries import SKU_IN_TEXT, _chunks
 from skuflow.sources import tables
 from tests.conftest import SMALL
 
@@ -62,6 +64,14 @@ def test_forest_save_and_load(spark, points, tmp_path):
     assert sorted(map(tuple, isolation_forest.load_forest(spark, path).collect())) == sorted(map(tuple, nodes.collect()))
 
 
+def test_trained_forest_flags_single_rows_alike(points):
+    forest = isolation_forest.train_forest(points, ["id"], COLUMNS, trees=50)
+    everything = {r.id: (r.anomaly_score, r.is_anomaly) for r in isolation_forest.apply_forest(points, forest, COLUMNS).collect()}
+    assert sum(flag for _, flag in everything.values()) == 150
+    some = isolation_forest.apply_forest(points.where("id < 40"), forest, COLUMNS).collect()
+    assert all(everything[r.id] == (r.anomaly_score, r.is_anomaly) for r in some)
+
+
 def test_average_path():
     np.testing.assert_allclose(isolation_forest.average_path([0, 1, 2, 256]), [0, 0, 1, 10.244770920116851])
 
@@ -172,3 +182,34 @@ def test_arima_failures_are_null(spark):
     df = spark.createDataFrame(rows, "sku_id string, period string, net_units double")
     found = {r.sku_id: (r.phi, r.forecasts) for r in arima.arima_by_sku(df).collect()}
     assert found == {"short": (None, None), "flat": (None, None)}
+
+
+def test_training_job(spark, demand, tmp_path):
+    training.train_models(spark, demand, str(tmp_path), trees=3)
+    metrics = {k: v for r in spark.read.parquet(str(tmp_path / "runs")).collect() for k, v in r.metrics.items()}
+    assert set(metrics) == {"cv_rmse", "cv_mape", "flagged_share"}
+    assert metrics["flagged_share"] == pytest.approx(0.05, abs=0.002)
+    assert demand_model.load_model(str(tmp_path / "demand_model")) is not None
+
+
+def test_answers_with_trained_models(spark, demand, model):
+    questions = spark.createDataFrame(
+        [("a", "forecast demand for SKU-000007"), ("b", "any unusual spike for SKU-000007?"), ("c", "any unusual outlier?"),
+         ("d", "forecast demand for SKU-999999"), ("e", "who is the best supplier for SKU-999999?"),
+         ("f", "check stock of SKU-999999")],
+        "query_id string, question string",
+    )
+    rows = anomaly.anomaly_features(features.sku_features(demand))
+    scored = isolation_forest.apply_forest(rows, isolation_forest.train_forest(rows, ["sku_id", "period"], trees=20))
+    found = answers.answer_queries(
+        questions, demand, tables.inventory(spark, SMALL), tables.supplier_terms(spark, SMALL),
+        tables.supplier_directory(spark, SMALL), tables.supplier_sku(spark, SMALL), _chunks(spark, SMALL), SKU_IN_TEXT,
+        points=demand_model.forecast_model(model, demand), scored=scored,
+    )
+    texts = {r.query_id: r.answer for r in found.collect()}
+    assert texts["a"].startswith("📊 Demand Forecast — SKU-000007\n\nDemand forecast for SKU-000007 (next 3 months):\n  Month +1: ")
+    assert "for SKU-000007" in texts["b"] or "detected for SKU SKU-000007" in texts["b"]
+    assert "anomalous data point(s) detected" in texts["c"]
+    assert "No forecast data available for SKU SKU-999999." in texts["d"]
+    assert texts["e"] == "No supplier mapping found for the specified SKU."
+    assert texts["f"] == "SKU SKU-999999 not found in inventory.\n\nNo demand history for SKU-999999."
