@@ -7,23 +7,34 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from skuflow.operators.documents import chunk_boundary, chunk_fixed, clean_pages, first_per_chunk_id
 from skuflow.operators.near_duplicates import dedup_keep_first
 from skuflow.operators.retrieval import collection_of, write_collection
+from skuflow.session import checkpointed
 
 CHUNK_ORDER = ["source", "page", "chunk_index"]
+_BROADCAST_PAGES = 100_000
 
 
 def chunks_of(pages: DataFrame, mode: str = "fixed") -> DataFrame:
     """Clean chunks of pages with their collection; one row per chunk id.
 
-    Chunk ids repeat only where (source, page) repeats. A read of these two columns finds such pages, and
-    only their texts are shuffled to pick the first chunk per id; all others go straight through.
+    Chunk ids repeat only where (source, page) repeats. A read of these two columns finds such pages; in
+    most corpora there are none, and texts go straight through. Only texts of repeated pages are shuffled
+    to pick the first chunk per id.
     """
     split = {"fixed": chunk_fixed, "boundary": chunk_boundary}[mode]
     clean = clean_pages(pages)
-    repeated = pages.groupBy("source", "page").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
     keys = ["source", "page"]
-    once = split(clean.join(repeated, keys, "left_anti"))
-    first = first_per_chunk_id(split(clean.join(repeated, keys, "left_semi")), CHUNK_ORDER)
-    return once.unionByName(first).withColumn("collection", collection_of(F.col("doc_type")))
+    counts = pages.groupBy(*keys).agg(F.count("*").alias("rows"))
+    repeated = checkpointed(counts.where(F.col("rows") > 1).select(*keys))
+    number = repeated.count()
+    if number == 0:
+        chunks = split(clean)
+    else:
+        # The table was counted: a small one is sent to all tasks, a large one is joined by shuffling.
+        marked = F.broadcast(repeated) if number <= _BROADCAST_PAGES else repeated
+        once = split(clean.join(marked, keys, "left_anti"))
+        first = first_per_chunk_id(split(clean.join(marked, keys, "left_semi")), CHUNK_ORDER)
+        chunks = once.unionByName(first)
+    return chunks.withColumn("collection", collection_of(F.col("doc_type")))
 
 
 def unique_chunks(pages: DataFrame, mode: str = "fixed") -> DataFrame:
