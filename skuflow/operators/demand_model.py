@@ -100,6 +100,9 @@ def forecast_model(
     """
     if roll not in ("lag1", "full"):
         raise ValueError(f"unknown roll: {roll}")
+    low, high = fv.HORIZON_ONE_SKU
+    if not low <= horizon <= high:
+        raise ValueError(f"horizon must be {low} to {high}")
     spread = demand.groupBy("sku_id").agg(F.stddev_pop("net_units").alias("std"))
     if roll == "lag1":
         state = _last_features(demand).join(spread, "sku_id")

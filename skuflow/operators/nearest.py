@@ -39,14 +39,17 @@ def _block_candidates(queries: pd.DataFrame, score: Callable, corpus: pd.DataFra
     step = max(1, _MATRIX_CELLS // max(1, len(queries)))
     query_ids = queries["query_id"].to_numpy()
     for start in range(0, len(corpus), step):
-        rows = corpus.iloc[start:start + step]
+        rows = corpus.iloc[start:start + step].sort_values("match_id")
         distance = score(rows)
+        near = np.isfinite(distance)
         if distance.shape[1] > k:
-            limit = np.partition(distance, k - 1, axis=1)[:, k - 1]
-            near = distance <= limit[:, None]
-        else:
-            near = np.ones(distance.shape, dtype=bool)
-        query_at, row_at = np.nonzero(near & np.isfinite(distance))
+            limit = np.partition(distance, k - 1, axis=1)[:, k - 1, None]
+            near &= distance <= limit
+            if near.sum() > k * len(queries):
+                # Many copies at the limit: rows are in id order, so the first k of them are enough.
+                at_limit = distance == limit
+                near &= (distance < limit) | (np.cumsum(at_limit, axis=1) <= k)
+        query_at, row_at = np.nonzero(near)
         yield _best(
             pd.DataFrame(
                 {

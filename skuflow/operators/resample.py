@@ -18,8 +18,8 @@ from skuflow.operators.row_index import with_row_index
 DEMAND_MEASURES = ("units_sold", "units_returned", "net_units", "revenue")
 
 
-def period_sku_grid(demand: DataFrame) -> DataFrame:
-    """Every SKU with every month from the first to the last of the table, measures where known.
+def month_sku_rows(demand: DataFrame) -> DataFrame:
+    """Every SKU with every month from the first to the last of the table.
 
     Months come from a scalar subquery and a sequence per SKU; no table is crossed with another.
     """
@@ -27,9 +27,13 @@ def period_sku_grid(demand: DataFrame) -> DataFrame:
     skus = demand.groupBy("sku_id").agg(
         F.min_by("product_name", "period").alias("product_name"), F.min_by("abc_class", "period").alias("abc_class")
     )
-    grid = skus.withColumn("period", F.explode(span))
+    return skus.withColumn("period", F.explode(span))
+
+
+def period_sku_grid(demand: DataFrame) -> DataFrame:
+    """Every SKU with every month, measures where known."""
     measures = demand.select("sku_id", "period", "units_sold", "units_returned", "net_units")
-    return grid.join(measures, ["sku_id", "period"], "left")
+    return month_sku_rows(demand).join(measures, ["sku_id", "period"], "left")
 
 
 def distinct_skus(demand: DataFrame) -> DataFrame:
@@ -150,15 +154,13 @@ def extend_demand(demand: DataFrame, target_rows: int, seed: int = 42, method: s
 
     Rows are numbered by month and SKU; row i takes sample i. ``method`` is ``bootstrap`` or ``copula``.
     """
-    grid = period_sku_grid(demand).select("period", "sku_id", "product_name", "abc_class")
-    numbered = with_row_index(grid, ["period", "sku_id"], "row_id").where(F.col("row_id") < target_rows)
+    numbered = with_row_index(month_sku_rows(demand), ["period", "sku_id"], "row_id").where(F.col("row_id") < target_rows)
     if method == "bootstrap":
         sample = bootstrap_demand(demand, target_rows, seed)
     elif method == "copula":
         sample = copula_sample(demand, target_rows, seed)
     else:
         raise ValueError(f"unknown method: {method}")
-    channels = F.lit(None).cast("string")
     names = demand.select("channel").distinct().agg(F.sort_array(F.collect_list("channel")).alias("names")).scalar()
     pick = F.floor(uniform(seed, F.col("row_id"), "channel") * F.size(names))
     channels = F.get(names, pick.cast("int"))

@@ -767,7 +767,7 @@ JOIN ({_bootstrapped(rows)}) USING (row_id)"""
 _DEMAND_ROWS = "SELECT count(*) FROM fx_demand"
 _BODIES["bootstrap_demand"] = _bootstrapped(_DEMAND_ROWS)
 _BODIES["extend_demand"] = _extended(_DEMAND_ROWS)
-_BODIES["sink_csv"] = f"SELECT * EXCLUDE (revenue), revenue AS revenue_inr FROM ({_extended('SELECT 2000')})"
+_BODIES["sink_csv"] = f"SELECT * EXCLUDE (revenue), revenue AS revenue_inr FROM ({_extended(_DEMAND_ROWS)})"
 _BODIES["bootstrap_po"] = f"""
 SELECT *, {r('qty_ordered * rate_per_unit', 2)} AS po_value FROM (
   SELECT printf('SYN-PO-%05d', row_id) AS po_number, CAST(po_date AS VARCHAR) AS po_date, supplier_id, sku_id,

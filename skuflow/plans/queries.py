@@ -156,7 +156,7 @@ def q_sink_features(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def q_sink_csv(spark: SparkSession, folder: str) -> DataFrame:
     demand = src.demand_history(spark, folder)
-    extended = resample.extend_demand(demand, 2000).withColumn("period", F.date_format("period", "yyyy-MM"))
+    extended = resample.extend_demand(demand, _sample_rows(demand)).withColumn("period", F.date_format("period", "yyyy-MM"))
     path = _csv(spark, extended.withColumnRenamed("revenue", "revenue_inr"), "extended")
     return shown(readers.read_demand(spark, path))
 
@@ -669,7 +669,8 @@ def q_shingles(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def q_minhash_signature(spark: SparkSession, folder: str) -> DataFrame:
     signed = documents.minhash_signature(_chunks(spark, folder))
-    return signed.select("chunk_id", F.size("signature").alias("width"), F.md5(F.array_join(F.col("signature").cast("array<string>"), ",")).alias("signature_md5"))
+    digest = F.md5(F.array_join(F.col("signature").cast("array<string>"), ","))
+    return signed.select("chunk_id", F.size("signature").alias("width"), digest.alias("signature_md5"))
 
 
 @query

@@ -8,12 +8,14 @@ from skuflow.sources import schemas
 
 
 def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    # Columns are matched by header name, so a file may hold them in any order or hold fewer.
+    # Columns are matched by header name, so files may hold them in any order or hold fewer. All files of a
+    # folder must agree; a file with another header is an error instead of shifted columns.
     header = spark.read.option("header", True).csv(path).columns
     by_name = {field.name: field for field in schema}
     unknown = T.StringType()
     file_schema = T.StructType([by_name.get(name, T.StructField(name, unknown)) for name in header])
-    return spark.read.option("header", True).option("encoding", "UTF-8").schema(file_schema).csv(path)
+    options = {"header": True, "encoding": "UTF-8", "enforceSchema": False}
+    return spark.read.options(**options).schema(file_schema).csv(path)
 
 
 def read_demand(spark: SparkSession, path: str) -> DataFrame:

@@ -110,6 +110,12 @@ def test_model_forecast(demand, model, roll):
     assert {r.model for r in points.where("sku_id = 'ONE'").collect()} == {forecast.ROLLING_MEAN_LABEL}
 
 
+@pytest.mark.parametrize("horizon", [0, 13])
+def test_model_forecast_bounds_the_horizon(demand, model, horizon):
+    with pytest.raises(ValueError):
+        demand_model.forecast_model(model, demand, horizon)
+
+
 def test_model_save_and_load(demand, model, tmp_path):
     path = str(tmp_path / "model")
     assert demand_model.load_model(path) is None

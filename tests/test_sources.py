@@ -22,6 +22,13 @@ def test_demand_csv(spark, tmp_path):
     ]
 
 
+def test_headers_must_agree(spark, tmp_path):
+    write(tmp_path / "a.csv", "sku_id,net_units,period\nA,1,2024-01\n")
+    write(tmp_path / "b.csv", "net_units,sku_id,period\n1,A,2024-01\n")
+    with pytest.raises(Exception, match="header"):
+        readers.read_demand(spark, str(tmp_path)).collect()
+
+
 def test_supplier_terms_csv_and_bridge(spark, tmp_path):
     path = write(
         tmp_path / "t.csv",
