@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from itertools import accumulate
+
+from pyspark.sql import DataFrame, functions as F
 
 from skuflow.session import checkpointed
 
@@ -13,19 +15,19 @@ def with_row_index(df: DataFrame, order: list[str], name: str = "row_index") ->
     """``df`` with 0, 1, 2, … in the given order.
 
     Rows are range-partitioned and written once, so that partition numbers stay fixed; each row adds
-    its place in the partition to the rows of the partitions before it. Only one count per partition
-    meets in one task.
+    its place in the partition to the rows of the partitions before it. The driver sees one count per
+    partition, and these counts, bounded by the number of partitions, are broadcast.
     """
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
     fixed = checkpointed(placed.withColumn("_place", F.monotonically_increasing_id()))
-    part = F.shiftright("_place", _ROW_BITS).alias("_part")
+    part = F.shiftright("_place", _ROW_BITS)
+    counts = sorted(map(tuple, fixed.groupBy(part.alias("_part")).count().collect()))
+    starts = accumulate((rows for _, rows in counts), initial=0)
+    offsets = df.sparkSession.createDataFrame(
+        [(number, start) for (number, _), start in zip(counts, starts)], "_part long, _offset long"
+    )
     inside = F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    counts = fixed.groupBy(part).agg(F.count("*").alias("_rows"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     return (
-        fixed.withColumn("_part", F.shiftright("_place", _ROW_BITS))
-        .join(offsets, "_part")
-        .withColumn(name, F.col("_offset") + inside)
-        .drop("_place", "_part", "_offset")
+        fixed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.col("_offset") + inside).drop("_place", "_part", "_offset")
     )
