@@ -15,6 +15,12 @@ JOINING = [
 ]
 
 
+@pytest.fixture(autouse=True)
+def uncached(spark):
+    """Other tests cache the demand table; its plan is looked at without that."""
+    spark.catalog.clearCache()
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
