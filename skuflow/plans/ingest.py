@@ -38,14 +38,11 @@ def chunks_of(pages: DataFrame, mode: str = "fixed") -> DataFrame:
 
 
 def unique_chunks(pages: DataFrame, mode: str = "fixed") -> DataFrame:
-    """Chunks without near-duplicates of earlier ones, each collection by itself."""
-    chunks = chunks_of(pages, mode)
-    order = ["collection", *CHUNK_ORDER]
-    kept = None
-    for collection in ("purchase_orders", "supplier_catalogs"):
-        part = dedup_keep_first(chunks.where(F.col("collection") == collection), order)
-        kept = part if kept is None else kept.unionByName(part)
-    return kept
+    """Chunks without near-duplicates of earlier ones, each collection by itself.
+
+    Texts are cleaned and cut once; hashing and the final selection read the written chunks.
+    """
+    return dedup_keep_first(checkpointed(chunks_of(pages, mode)), CHUNK_ORDER, within="collection")
 
 
 def ingest(spark: SparkSession, pages: DataFrame, path: str, version: int, mode: str = "boundary") -> None:
