@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuflow.llm import quality_rules
-from skuflow.llm.tables import documents, labels
+from skuflow.llm import language_id, quality_gam, quality_rules
+from skuflow.llm.tables import crc_of, documents, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,3 +23,21 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = labels(spark, sf_dir).where(F.col("quality") == 1)
     return quality_rules.quality_rules(documents(spark, sf_dir), trusted)
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = crc_of("doc_id", 4)
+    scored = quality_gam.quality_classifier(documents(spark, sf_dir), labels(spark, sf_dir), fold != 2)
+    return scored.select(
+        "doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= quality_gam.CUT).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = documents(spark, sf_dir), crc_of("doc_id", 3)
+    model = language_id.train(docs, fold != 1, "doc_id", "text", "lang")
+    held_out = F.coalesce(fold == 1, F.lit(False)).alias("held_out")
+    return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score")
