@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuflow.llm import language_id, quality_gam, quality_rules
+from skuflow.llm import byte_bpe, language_id, quality_gam, quality_rules
 from skuflow.llm.tables import crc_of, documents, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +42,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(docs, fold != 1, "doc_id", "text", "lang")
     held_out = F.coalesce(fold == 1, F.lit(False)).alias("held_out")
     return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score")
+
+
+@query
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = byte_bpe.Vocabulary(byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    tokens = byte_bpe.decode(byte_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), vocabulary), vocabulary)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return tokens.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
