@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuflow.llm import byte_bpe, language_id, quality_gam, quality_rules, simhash
+from skuflow.llm import byte_bpe, language_id, line_chunks, quality_gam, quality_rules, simhash
 from skuflow.llm.tables import crc_of, documents, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.fingerprint_text("fp").alias("fingerprint"), "component_id")
+
+
+@query
+def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines before, removed lines, and the SHA-256 of what is left of each text (null stays null)."""
+    kept = line_chunks.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
