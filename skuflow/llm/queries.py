@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuflow.llm import byte_bpe, language_id, line_chunks, quality_gam, quality_rules, simhash
-from skuflow.llm.tables import crc_of, documents, labels
+from skuflow.llm import byte_bpe, decontamination, language_id, line_chunks, quality_gam, quality_rules, simhash
+from skuflow.llm.tables import crc_of, documents, labels, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -66,3 +66,11 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines before, removed lines, and the SHA-256 of what is left of each text (null stays null)."""
     kept = line_chunks.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item found in it."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = decontamination.benchmark_matches(docs, read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.inline("matches"))

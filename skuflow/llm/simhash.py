@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from skuflow.llm.components import components
 from skuflow.llm.tables import checkpointed
-from skuflow.llm.text_arrays import Texts, Words, pieces
+from skuflow.llm.text_arrays import LOWER, Texts, Words, pieces
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
 _U64 = np.uint64
@@ -37,8 +37,6 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 _GENERATOR, _LENGTH = 0b101011100011, 23
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
 #: Each bit of a byte in a byte of its own.
 _SPREAD = np.array([sum(((v >> j) & 1) << (8 * j) for j in range(8)) for v in range(256)], _U64)
 
@@ -85,7 +83,7 @@ def golay_keys(fingerprints: np.ndarray) -> np.ndarray:
 
 def simhash(texts: Texts, shingle: int = SHINGLE) -> np.ndarray:
     """Fingerprint of each text; bit k is set if bit k of over half the shingle hashes is."""
-    words = Words(Texts(_LOWER[texts.data], texts.bounds))
+    words = Words(Texts(LOWER[texts.data], texts.bounds))
     out = np.zeros(len(texts), _U64)
     if not len(words):
         return out

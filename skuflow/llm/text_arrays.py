@@ -14,6 +14,14 @@ import pyarrow as pa
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
+#: ASCII capitals lowered.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+
+#: Bytes of words made of ASCII letters, digits and anything beyond ASCII.
+NO_WORD = np.ones(256, bool)
+NO_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
 _U64 = np.uint64
 _M1, _M2, _M3 = _U64(0x9E3779B97F4A7C15), _U64(0xBF58476D1CE4E5B9), _U64(0x94D049BB133111EB)
 _LOW = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], _U64)
@@ -97,14 +105,17 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
 
 
 class Words:
-    """Starts and ends of all words of some texts; ``first[i]:first[i + 1]`` are the words of text i."""
+    """Starts and ends of all words of some texts; ``first[i]:first[i + 1]`` are the words of text i.
+
+    ``blank`` marks the bytes that no word holds.
+    """
 
-    def __init__(self, texts: Texts):
+    def __init__(self, texts: Texts, blank: np.ndarray = SPACE):
         data, bounds = texts.data, texts.bounds
         self.texts = texts
         n = len(data)
         flag = np.ones(n + 1, bool)
-        flag[:n] = SPACE[data]
+        flag[:n] = blank[data]
         begins = np.zeros(n + 1, bool)
         begins[bounds] = True
         inside = ~flag
