@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuflow.llm import byte_bpe, decontamination, language_id, line_chunks, quality_gam, quality_rules, simhash
+from skuflow.llm import byte_bpe, decontamination, language_id, line_chunks, pii, quality_gam, quality_rules, simhash
 from skuflow.llm.tables import crc_of, documents, labels, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = decontamination.benchmark_matches(docs, read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.inline("matches"))
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(documents(spark, sf_dir))
+    base = [kind.name for kind in pii.KINDS if kind.base]
+    every = [kind.name for kind in pii.KINDS]
+    return found.select(
+        "doc_id", *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in base],
+        F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(every).alias("spans"),
+    )
