@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuflow.llm import byte_bpe, decontamination, language_id, line_chunks, pii, quality_gam, quality_rules, simhash
+from skuflow.llm import byte_bpe, decontamination, language_id, license_scan, line_chunks, pii, quality_gam, quality_rules, simhash
 from skuflow.llm.tables import crc_of, documents, labels, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,18 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in base],
         F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(every).alias("spans"),
     )
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.license_scan(documents(spark, sf_dir))
+    names = [label for _, label in license_scan.PHRASES]
+    starts = F.concat(*names)
+    base = F.filter(F.array(*[F.when(F.size(name) > 0, F.lit(name)) for name in names]), lambda x: x.isNotNull())
+    labels_of = lambda array: F.array_join(F.array_sort(F.array_distinct(array)), ",")
+    return found.select(
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.size(starts).cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
+        labels_of(base).alias("base_labels"), labels_of(F.concat(base, F.col("templates.label"))).alias("labels"),
+        F.round(F.coalesce(F.array_max("templates.score"), F.when(F.size(starts) > 0, 0.5).otherwise(0.0)), 6).alias("score"),
+    )
