@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuflow.llm.components import components
-from skuflow.llm.tables import checkpointed
+from skuflow.llm.tables import checkpointed, doc_key
 from skuflow.llm.text_arrays import LOWER, Texts, Words, pieces
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
@@ -116,15 +116,17 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """id and ``fp`` (64 bits as a long) of every document."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, carried columns and ``fp`` (64 bits as a long) of every document."""
+    names = [id_col, *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text_col):
-            yield pa.RecordBatch.from_arrays([piece.column(id_col), pa.array(simhash(Texts.of(piece.column(text_col)), shingle).view(np.int64))], [id_col, "fp"])
+            found = pa.array(simhash(Texts.of(piece.column(text_col)), shingle).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*map(piece.column, names), found], [*names, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, fp long")
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    return docs.select(*names, text_col).mapInArrow(run, f"{schema}, fp long")
 
 
 def golay_candidates(distinct: DataFrame) -> DataFrame:
@@ -159,16 +161,31 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """id, ``fp`` and ``component_id`` of every row: the smallest id that links of at most ``max_bits`` bits reach."""
-    found = checkpointed(fingerprints(docs, id_col, text_col, shingle))
+    """id, carried columns, ``fp``, ``root`` and ``component_id`` of every row.
+
+    Links of at most ``max_bits`` bits make up a class; the root is its smallest fingerprint, the component its smallest id.
+    """
+    found = checkpointed(fingerprints(docs, id_col, text_col, shingle, carry))
     distinct = checkpointed(found.groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = components(links(distinct, max_bits))
-    classed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    roots = components(links(distinct, max_bits)).withColumnRenamed("root", "linked")
+    classed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("linked", "fp").alias("root"))
     names = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classed.join(names, "root").select("fp", "component_id")
-    return found.join(named, "fp").select(id_col, "fp", "component_id")
+    named = classed.join(names, "root").select("fp", "root", "component_id")
+    return found.join(named, "fp").select(id_col, *carry, "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` that stay: of each class the one with the smallest id, once where rows are repeated."""
+    marked = docs.withColumn("__key", doc_key(id_col, text_col))
+    classes = near_duplicates(marked, id_col, text_col, shingle, max_bits, ("__key",))
+    rows = classes.groupBy("root", id_col, "__key").agg(F.count("*").alias("rows"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("__key").alias("key"), "rows")).alias("first"))
+    first = checkpointed(first.select("first.id", "first.key", F.col("first.rows").alias("__rows")))
+    kept = marked.join(first, marked[id_col].eqNullSafe(first["id"]) & (marked["__key"] == first["key"])).select(*[marked[c] for c in marked.columns], "__rows")
+    once = kept.where("__rows = 1").unionByName(kept.where("__rows > 1").dropDuplicates([id_col, "__key"]))
+    return once.select(*docs.columns)
 
 
 def fingerprint_text(fp: str) -> Column:
