@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from skuflow.llm.components import components
 from skuflow.llm.tables import checkpointed, doc_key
-from skuflow.llm.text_arrays import LOWER, Texts, Words, pieces
+from skuflow.llm.text_arrays import LOWER, Texts, Words, joined_words, pieces, ranges
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
 _U64 = np.uint64
@@ -87,12 +87,7 @@ def simhash(texts: Texts, shingle: int = SHINGLE) -> np.ndarray:
     out = np.zeros(len(texts), _U64)
     if not len(words):
         return out
-    # The words of each text behind one another, a space between each two.
-    sizes = words.ends - words.starts
-    ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
-    joined = np.full(int(ends[-1]) + 1, 32, np.uint8)
-    joined[np.repeat(starts - words.starts, sizes) + _ranges(words.starts, sizes)] = words.texts.data[_ranges(words.starts, sizes)]
+    joined, starts, ends = joined_words(words)
     # A text with fewer words than a shingle has one shingle, all of it.
     per_text = np.where(words.counts >= shingle, words.counts - shingle + 1, np.minimum(words.counts, 1))
     through = np.cumsum(per_text)
@@ -103,7 +98,7 @@ def simhash(texts: Texts, shingle: int = SHINGLE) -> np.ndarray:
     # Bits are counted in bytes of their own over at most 255 hashes, then in whole numbers.
     filled = np.flatnonzero(per_text)
     blocks = -(-per_text[filled] // 255)
-    block_first = np.repeat(through[filled] - per_text[filled], blocks) + 255 * _ranges(np.zeros(len(blocks), np.int64), blocks)
+    block_first = np.repeat(through[filled] - per_text[filled], blocks) + 255 * ranges(np.zeros(len(blocks), np.int64), blocks)
     counts = np.add.reduceat(_SPREAD[hashes.view(np.uint8).reshape(-1, 8)], block_first, axis=0).view(np.uint8).reshape(len(block_first), 64)
     totals = np.add.reduceat(counts.astype(np.int64), np.cumsum(blocks) - blocks, axis=0)
     bits = (2 * totals > per_text[filled][:, None]).astype(_U64)
@@ -111,11 +106,6 @@ def simhash(texts: Texts, shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """All places of the ranges that begin at ``starts``."""
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
     """id, carried columns and ``fp`` (64 bits as a long) of every document."""
     names = [id_col, *carry]

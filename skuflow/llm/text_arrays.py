@@ -159,3 +159,32 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
         if have * 2 > size:
             return out[: len(words) - size + 1]
         h, have = chain(h[:-have], h[have:]), have * 2
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the ranges that begin at ``starts``, one range after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def joined_words(words: Words, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The (kept) words behind one another, a space between each two; their bytes, and each word's start and end there."""
+    at, until = (words.starts, words.ends) if kept is None else (words.starts[kept], words.ends[kept])
+    if not len(at):
+        return np.zeros(0, np.uint8), at, until
+    sizes = until - at
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
+    joined = np.full(int(ends[-1]), 32, np.uint8)
+    joined[ranges(starts, sizes)] = words.texts.data[ranges(at, sizes)]
+    return joined, starts, ends
+
+
+def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
+    """Least of each ``size`` neighbouring values."""
+    if len(values) < size:
+        return values[:0]
+    out, have = values, 1
+    while have * 2 <= size:
+        out, have = np.minimum(out[:-have], out[have:]), have * 2
+    rest = size - have
+    return np.minimum(out[:-rest], out[rest:]) if rest else out
