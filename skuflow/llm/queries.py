@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skuflow.llm import byte_bpe, decontamination, language_id, license_scan, line_chunks, pii, quality_gam, quality_rules, simhash, substring_dedup
+from skuflow.llm.oracle import ORACLE
 from skuflow.llm.tables import crc_of, documents, labels, read_table
 
+__all__ = ["ORACLE", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -107,25 +109,3 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.substring_dedup(documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
-
-ORACLE["op3_substring_dedup"] = r"""
-WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents
-), win AS (
-  SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS k
-  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 48, 1))) AS i FROM w)
-), least_id AS (SELECT k, min(doc_id) AS d FROM win GROUP BY k),
-hit AS (
-  SELECT doc_id, list(i) AS starts FROM win JOIN least_id USING (k) WHERE d < doc_id GROUP BY doc_id
-), cover AS (
-  SELECT doc_id, list_distinct(flatten(list_transform(starts, s -> range(s, s + 50)))) AS gone FROM hit
-), kept AS (
-  SELECT w.doc_id, words, gone,
-         CASE WHEN gone IS NULL THEN words
-              ELSE list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), z -> NOT list_contains(gone, z[2])), z -> z[1]) END AS left_words
-  FROM w LEFT JOIN cover ON w.doc_id = cover.doc_id
-)
-SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - len(left_words) AS BIGINT) AS n_removed,
-       sha256(array_to_string(left_words, ' ')) AS kept_sha256
-FROM kept
-"""
