@@ -40,6 +40,12 @@ QUESTION_LENGTH = (3, 500)
 HORIZON_ONE_SKU = (1, 12)
 HORIZON_ALL_SKUS = (1, 6)
 
+# Fixed values. Blanks that are trimmed and that words are split at: those of Unicode, as Python's strip and split know them.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Fixed values. Chunk size, overlap and separators; shingle size; duplicate limit in percent.
 CHUNK_CHARS = 1600
 CHUNK_OVERLAP = 200

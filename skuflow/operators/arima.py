@@ -11,7 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-_MIN_MONTHS = 5
+# Two differences: with one, the likelihood of any coefficients is unbounded.
+_MIN_MONTHS = 3
 _GRID = np.linspace(-0.9, 0.9, 10)
 _REFINEMENTS = 14
 

@@ -19,17 +19,20 @@ from skuflow.session import checkpointed
 
 TREES = 300
 _NULLABLE = ("lag_3", "lag_6", "roll_mean_3", "roll_mean_6")
-_GROWTH_LIMIT = 1e6
-_MODEL_COLUMNS = [*fv.FEATURE_COLUMNS, *(f"{name}_missing" for name in _NULLABLE)]
+# What stands for infinite growth, beside its flag; finite growth is kept as it is.
+_INFINITE_GROWTH = 1e6
+_MODEL_COLUMNS = [*fv.FEATURE_COLUMNS, *(f"{name}_missing" for name in _NULLABLE), "yoy_growth_infinite"]
 
 
 def model_input(features: DataFrame) -> DataFrame:
-    """Features as MLlib takes them: 0 and a flag for a missing value, growth within finite limits."""
+    """Features as MLlib takes them: 0 and a flag for a missing value, infinite growth as a number and a flag."""
     columns: dict[str, Column] = {}
     for name in _NULLABLE:
         columns[f"{name}_missing"] = F.col(name).isNull().cast("double")
         columns[name] = F.coalesce(F.col(name), F.lit(0.0))
-    columns["yoy_growth"] = F.greatest(F.least("yoy_growth", F.lit(_GROWTH_LIMIT)), F.lit(-_GROWTH_LIMIT))
+    infinite = F.abs("yoy_growth") == float("inf")
+    columns["yoy_growth_infinite"] = infinite.cast("double")
+    columns["yoy_growth"] = F.when(infinite, F.signum("yoy_growth") * _INFINITE_GROWTH).otherwise(F.col("yoy_growth"))
     return features.withColumns(columns)
 
 

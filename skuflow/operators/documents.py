@@ -10,20 +10,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from skuflow.functions import fixed_values as fv
 
-_SPACES = " \t\n\r\f"
-
-
 def clean_text(text: Column) -> Column:
     """Three or more newlines become two, runs of spaces one, and the ends are trimmed."""
     collapsed = F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), " {2,}", " ")
-    return F.btrim(collapsed, F.lit(_SPACES))
+    return F.btrim(collapsed, F.lit(fv.BLANKS))
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
     """Pages with clean text; empty pages are left out."""
     # Clean text is empty just where the text holds nothing but spaces, which is cheaper to test.
-    kept = pages.where(F.length(F.btrim("text", F.lit(_SPACES))) > 0)
-    return kept.withColumn("text", clean_text(F.btrim("text", F.lit(_SPACES))))
+    kept = pages.where(F.length(F.btrim("text", F.lit(fv.BLANKS))) > 0)
+    return kept.withColumn("text", clean_text(F.btrim("text", F.lit(fv.BLANKS))))
 
 
 def doc_type(source: Column) -> Column:
@@ -139,7 +136,7 @@ def shingle_array(text: Column, words_per_shingle: int = fv.SHINGLE_WORDS) -> Co
 
     Shifted copies of the word array are zipped, so words are split a fixed number of times per text.
     """
-    words = F.split(F.btrim(F.lower(text), F.lit(_SPACES)), r"\s+")
+    words = F.split(F.btrim(F.lower(text), F.lit(fv.BLANKS)), f"[{fv.BLANKS}]+")
     names = [f"w{i}" for i in range(words_per_shingle)]
     shifted = [
         (words if i == 0 else F.slice(words, F.lit(i + 1), F.size(words))).alias(name) for i, name in enumerate(names)

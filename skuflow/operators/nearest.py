@@ -1,9 +1,10 @@
 """Best k matches of every query row in a corpus, exact, without forming all pairs as rows.
 
 Every task scores a block of queries against a block of the corpus in numpy and hands on only its own
-best k per query; a ranking over those candidates gives the result. Queries of a checked size are
-broadcast and the corpus stays where it is. Larger query sets are cut into blocks, and each query block
-meets each corpus block in a task of its own.
+best k per query; a ranking over those candidates gives the result. A matrix product gives bounds of all
+distances, with a margin for its rounding; the pairs that can still be among the best are computed
+directly. Queries of a checked size are broadcast and the corpus stays in its partitions. Larger query
+sets are cut into blocks, and each query block meets each corpus block in a task of its own.
 """
 
 from __future__ import annotations
@@ -15,19 +16,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skuflow.session import compute_partitions
-
 QUERY_BLOCK_ROWS = 8192
 QUERY_BLOCK_BYTES = 64 << 20
 CORPUS_BLOCK_ROWS = 65536
 CORPUS_BLOCK_BYTES = 128 << 20
 _MATRIX_CELLS = 4_000_000
-_COMPUTE_BOUND_QUERIES = 256
-_TASK_CELLS = 400_000_000
-
-# Builds, from a block of queries, the function that scores a block of corpus rows: a matrix
-# (queries × rows) of distances, where infinity marks rows that do not match.
-Scorer = Callable[[pd.DataFrame], Callable[[pd.DataFrame], np.ndarray]]
+_EXACT_CELLS = 4_000_000
 
 
 def _best(candidates: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -35,60 +29,72 @@ def _best(candidates: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered[ordered.groupby("query_id", sort=False).cumcount() < k]
 
 
-def _block_candidates(queries: pd.DataFrame, score: Callable, corpus: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
+def _points(rows: pd.DataFrame) -> np.ndarray:
+    return np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+
+
+def _exact(left: np.ndarray, right: np.ndarray, left_at: np.ndarray, right_at: np.ndarray) -> np.ndarray:
+    """Squared distances of the given pairs, from their differences."""
+    out = np.empty(len(left_at))
+    step = max(1, _EXACT_CELLS // max(1, left.shape[1]))
+    for at in range(0, len(out), step):
+        difference = left[left_at[at:at + step]] - right[right_at[at:at + step]]
+        out[at:at + step] = (difference * difference).sum(axis=1)
+    return out
+
+
+def _block_candidates(queries: pd.DataFrame, corpus: pd.DataFrame, k: int, match: bool) -> Iterator[pd.DataFrame]:
+    """The best ``k`` rows of each query in pieces of the corpus."""
+    points, query_ids = _points(queries), queries["query_id"].to_numpy()
+    lengths = (points * points).sum(axis=1)
+    # A product of d terms is off by at most about d + 2 roundings of values of this size.
+    rounding = 2.0 * (points.shape[1] + 4) * np.finfo(float).eps
     step = max(1, _MATRIX_CELLS // max(1, len(queries)))
-    query_ids = queries["query_id"].to_numpy()
     for start in range(0, len(corpus), step):
-        rows = corpus.iloc[start:start + step].sort_values("match_id")
-        distance = score(rows)
-        near = np.isfinite(distance)
-        if distance.shape[1] > k:
-            limit = np.partition(distance, k - 1, axis=1)[:, k - 1, None]
-            near &= distance <= limit
-            if near.sum() > k * len(queries):
-                # Many copies at the limit: rows are in id order, so the first k of them are enough.
-                at_limit = distance == limit
-                near &= (distance < limit) | (np.cumsum(at_limit, axis=1) <= k)
+        rows = corpus.iloc[start:start + step]
+        others = _points(rows)
+        other_lengths = (others * others).sum(axis=1)
+        middle = lengths[:, None] + other_lengths[None, :] - 2.0 * points @ others.T
+        margin = rounding * (np.sqrt(lengths)[:, None] + np.sqrt(other_lengths)[None, :]) ** 2
+        high = middle + margin
+        if match:
+            high[queries["group"].to_numpy()[:, None] != rows["group"].to_numpy()[None, :]] = np.inf
+        near = np.isfinite(high)
+        if high.shape[1] > k:
+            near &= middle - margin <= np.partition(high, k - 1, axis=1)[:, k - 1, None]
         query_at, row_at = np.nonzero(near)
         yield _best(
             pd.DataFrame(
                 {
                     "query_id": query_ids[query_at],
                     "match_id": rows["match_id"].to_numpy()[row_at],
-                    "distance": distance[query_at, row_at],
+                    "distance": _exact(points, others, query_at, row_at),
                 }
             ),
             k,
         )
 
 
-def best_matches(
-    queries: DataFrame, corpus: DataFrame, scorer: Scorer, k: int, query_bytes: Column, corpus_bytes: Column,
-    block_rows: int = QUERY_BLOCK_ROWS, spread: bool = False,
-) -> DataFrame:
-    """(query_id, match_id, distance, rank): the ``k`` smallest distances, lower match id first on ties.
+def best_matches(queries: DataFrame, corpus: DataFrame, k: int, match: bool, block_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
+    """(query_id, match_id, distance, rank): the ``k`` smallest squared distances, lower match id first on ties.
 
-    ``queries`` needs ``query_id`` and ``corpus`` needs ``match_id``; ``*_bytes`` give the size of a row.
-    An empty corpus gives no rows. With ``spread`` the corpus is dealt out to more tasks when many queries
-    make each of its rows expensive.
+    ``queries`` has ``query_id``, ``corpus`` has ``match_id``, both have ``embedding``; with ``match`` only rows with
+    equal values of ``group`` match. An empty corpus gives no rows.
     """
     id_types = {"query_id": dict(queries.dtypes)["query_id"], "match_id": dict(corpus.dtypes)["match_id"]}
     schema = f"query_id {id_types['query_id']}, match_id {id_types['match_id']}, distance double"
-    rows, size = queries.agg(F.count("*"), F.coalesce(F.sum(query_bytes.cast("long")), F.lit(0))).first()
+    size_of = F.coalesce(F.sum(F.size("embedding").cast("long") * 8), F.lit(0))
+    rows, size = queries.agg(F.count("*"), size_of).first()
     query_blocks = max(1, math.ceil(rows / block_rows), math.ceil(size / QUERY_BLOCK_BYTES))
-    if spread and rows >= _COMPUTE_BOUND_QUERIES:
-        cells = rows * corpus.count()
-        parts = max(corpus.sparkSession.sparkContext.defaultParallelism, math.ceil(cells / _TASK_CELLS))
-        corpus = corpus.repartition(min(parts, compute_partitions(corpus.sparkSession)), "match_id")
     if query_blocks == 1:
-        candidates = _against_broadcast(queries, corpus, scorer, k, schema)
+        candidates = _against_broadcast(queries, corpus, k, match, schema)
     else:
-        candidates = _block_by_block(queries, corpus, scorer, k, schema, query_blocks, corpus_bytes)
+        candidates = _block_by_block(queries, corpus, k, match, schema, query_blocks, size_of)
     ranking = Window.partitionBy("query_id").orderBy("distance", "match_id")
     return candidates.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= k)
 
 
-def _against_broadcast(queries: DataFrame, corpus: DataFrame, scorer: Scorer, k: int, schema: str) -> DataFrame:
+def _against_broadcast(queries: DataFrame, corpus: DataFrame, k: int, match: bool, schema: str) -> DataFrame:
     # At most one block of queries comes here: its rows and bytes were counted before.
     shared = queries.sparkSession.sparkContext.broadcast(queries.toPandas())
 
@@ -96,10 +102,9 @@ def _against_broadcast(queries: DataFrame, corpus: DataFrame, scorer: Scorer, k:
         block = shared.value
         if block.empty:
             return
-        score = scorer(block)
         best = None
         for batch in batches:
-            for found in _block_candidates(block, score, batch, k):
+            for found in _block_candidates(block, batch, k, match):
                 best = found if best is None else _best(pd.concat([best, found]), k)
         if best is not None:
             yield best
@@ -108,9 +113,9 @@ def _against_broadcast(queries: DataFrame, corpus: DataFrame, scorer: Scorer, k:
 
 
 def _block_by_block(
-    queries: DataFrame, corpus: DataFrame, scorer: Scorer, k: int, schema: str, query_blocks: int, corpus_bytes: Column
+    queries: DataFrame, corpus: DataFrame, k: int, match: bool, schema: str, query_blocks: int, size_of: Column
 ) -> DataFrame:
-    rows, size = corpus.agg(F.count("*"), F.coalesce(F.sum(corpus_bytes.cast("long")), F.lit(0))).first()
+    rows, size = corpus.agg(F.count("*"), size_of).first()
     corpus_blocks = max(1, math.ceil(rows / CORPUS_BLOCK_ROWS), math.ceil(size / CORPUS_BLOCK_BYTES))
     every_corpus_block = F.explode(F.sequence(F.lit(0), F.lit(corpus_blocks - 1)))
     every_query_block = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
@@ -125,89 +130,7 @@ def _block_by_block(
         empty = pd.DataFrame({"query_id": [], "match_id": [], "distance": []})
         if block.empty or rows_of_block.empty:
             return empty
-        found = list(_block_candidates(block, scorer(block), rows_of_block, k))
-        return _best(pd.concat(found), k)
+        return _best(pd.concat(list(_block_candidates(block, rows_of_block, k, match))), k)
 
     keys = ["query_block", "corpus_block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
-
-
-def _half_up(values: np.ndarray, digits: int) -> np.ndarray:
-    factor = 10.0 ** digits
-    return np.floor(values * factor + 0.5) / factor
-
-
-def _per_group(queries: pd.DataFrame, match: bool) -> dict[object, np.ndarray]:
-    """Places of the queries of each group; one group of all without ``match``."""
-    if not match:
-        return {None: np.arange(len(queries))}
-    codes, values = pd.factorize(queries["group"])
-    return {value: np.flatnonzero(codes == code) for code, value in enumerate(values)}
-
-
-def squared_distance_scorer(digits: int = 6, match: bool = False) -> Scorer:
-    """Squared Euclidean distance of ``embedding``, rounded; with ``match`` only equal ``group`` values match."""
-
-    def prepare(queries: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
-        points = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
-        lengths = (points * points).sum(axis=1)
-        query_groups = _per_group(queries, match)
-
-        def distances(query_at: np.ndarray, others: np.ndarray) -> np.ndarray:
-            squared = lengths[query_at, None] + (others * others).sum(axis=1)[None, :] - 2.0 * points[query_at] @ others.T
-            return _half_up(np.maximum(squared, 0.0), digits)
-
-        def score(rows: pd.DataFrame) -> np.ndarray:
-            others = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-            result = np.full((len(queries), len(rows)), np.inf)
-            for value, row_at in _per_group(rows, match).items():
-                query_at = query_groups.get(value)
-                if query_at is not None:
-                    result[np.ix_(query_at, row_at)] = distances(query_at, others[row_at])
-            return result
-
-        return score
-
-    return prepare
-
-
-def _postings(queries: pd.DataFrame, query_at: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """For each token the places and weights of the queries that hold it."""
-    lists = queries["tokens"].to_numpy()[query_at]
-    if len(lists) == 0:
-        return {}
-    codes, tokens = pd.factorize(np.concatenate(lists))
-    owners = np.repeat(query_at, [len(tokens_of_query) for tokens_of_query in lists])
-    weights = np.concatenate(queries["weights"].to_numpy()[query_at])
-    order = np.argsort(codes, kind="stable")
-    ends = np.cumsum(np.bincount(codes, minlength=len(tokens)))
-    starts = ends - np.bincount(codes, minlength=len(tokens))
-    owners, weights = owners[order], weights[order]
-    return {token: (owners[a:b], weights[a:b]) for token, a, b in zip(tokens, starts, ends)}
-
-
-def cosine_scorer(digits: int = 6, match: bool = False) -> Scorer:
-    """Minus the dot product of sparse unit vectors ``tokens`` / ``weights``; rows sharing no token do not match.
-
-    With ``match`` only equal ``group`` values match.
-    """
-
-    def prepare(queries: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
-        index = {value: _postings(queries, query_at) for value, query_at in _per_group(queries, match).items()}
-
-        def score(rows: pd.DataFrame) -> np.ndarray:
-            # One line per row, so that a token's weights are added within one stretch of memory.
-            total = np.zeros((len(rows), len(queries)))
-            groups = rows["group"] if match else [None] * len(rows)
-            for line, group, tokens, weights in zip(total, groups, rows["tokens"], rows["weights"]):
-                postings = index.get(group, {})
-                for token, weight in zip(tokens, weights):
-                    hit = postings.get(token)
-                    if hit is not None:
-                        line[hit[0]] += hit[1] * weight
-            # Weights are positive, so a total of 0 means that no token is shared.
-            return np.where(total > 0, -_half_up(total, digits), np.inf).T
-
-        return score
-
-    return prepare

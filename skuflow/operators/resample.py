@@ -82,10 +82,11 @@ def copula_sample(demand: DataFrame, rows: int, seed: int = 42, knots: int = 256
     """
     spark = demand.sparkSession
     names = list(DEMAND_MEASURES)
-    levels = [(i + 0.5) / knots for i in range(knots)]
+    # The least and the largest value are knots too, so that the tails are drawn.
+    levels = [0.0, *((i + 0.5) / knots for i in range(knots)), 1.0]
     sketch = demand.agg(*[F.percentile_approx(name, levels, 10000).alias(name) for name in names]).first()
     margins = {name: [float(v) for v in sketch[name]] for name in names}
-    scores = np.array([_normal_quantile(level) for level in levels])
+    scores = np.array([_normal_quantile(min(max(level, 0.25 / knots), 1 - 0.25 / knots)) for level in levels])
     scored = demand.select(*[_normal_score(F.col(name), margins[name], scores).alias(name) for name in names])
     pairs = [(i, j) for i in range(len(names)) for j in range(i)]
     row = scored.agg(*[F.corr(names[i], names[j]).alias(f"c{i}{j}") for i, j in pairs]).first()
@@ -99,7 +100,9 @@ def copula_sample(demand: DataFrame, rows: int, seed: int = 42, knots: int = 256
     columns = []
     for i, name in enumerate(names):
         mixed = sum((F.col(f"z{j}") * float(factor[i, j]) for j in range(i + 1)), F.lit(0.0))
-        place = _normal_share(mixed) * knots - 0.5
+        share = _normal_share(mixed) * knots
+        # Knots lie half a step from either end and one step apart in between.
+        place = F.when(share < 0.5, share * 2).when(share > knots - 0.5, knots + (share - knots + 0.5) * 2).otherwise(share + 0.5)
         columns.append(half_up(F.abs(_interpolated(place, margins[name]))).alias(name))
     return independent.select("row_id", *columns)
 

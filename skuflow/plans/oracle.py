@@ -34,7 +34,7 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-TRIMMED = "' ' || chr(9) || chr(10) || chr(13) || chr(12)"
+TRIMMED = quoted(fv.BLANKS)
 NEWLINE = "chr(10)"
 
 ABC = "CASE {key} % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE '—' END"
@@ -106,22 +106,21 @@ FROM (SELECT printf('SKU-%06d', p_partkey) AS sku_id, p_name AS item_name, p_typ
       FROM part)
 """,
     "fx_directory": """
-SELECT printf('SUP-%05d', s_suppkey) AS supplier_id, s_name AS supplier_name, n_name AS city, r_name AS state,
+SELECT printf('SUP-%05d', s_suppkey + 2) AS supplier_id, s_name AS supplier_name, n_name AS city, r_name AS state,
        CAST(70 + (s_suppkey * 7) % 27 AS DOUBLE) AS on_time_rate_pct,
        CASE s_suppkey % 4 WHEN 0 THEN '15 days net' WHEN 1 THEN '30 days net' WHEN 2 THEN '45 days net'
             ELSE '60 days net' END AS payment_terms
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-WHERE s_suppkey % 11 <> 3
 """,
     "fx_terms": """
-SELECT printf('SUP-%05d', s_suppkey) AS supplier_id, s_name AS supplier_name, 15 + s_suppkey % 53 AS lead_time_days,
+SELECT printf('SUP-%05d', s_suppkey + 1) AS supplier_id, s_name AS supplier_name, 15 + s_suppkey % 53 AS lead_time_days,
        100 + (s_suppkey * 37) % 350 AS min_order_qty, CAST(70 + (s_suppkey * 7) % 27 AS DOUBLE) AS on_time_rate_pct,
        10 * (s_suppkey % 4) AS advance_pct
-FROM supplier WHERE s_suppkey % 13 <> 5
+FROM supplier
 """,
     "fx_bridge": """
-SELECT DISTINCT printf('SUP-%05d', l_suppkey) AS supplier_id, printf('SKU-%06d', l_partkey) AS sku_id
-FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 5 <> 0
+SELECT DISTINCT printf('SUP-%05d', l_suppkey) AS supplier_id, printf('SKU-%06d', l_partkey + 50) AS sku_id
+FROM lineitem
 """,
     "fx_po": """
 SELECT concat('PO-', o_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS po_number,
@@ -300,7 +299,7 @@ SELECT *, CASE WHEN doc_type = 'PO' THEN 'purchase_orders' ELSE 'supplier_catalo
 """,
     "shingle_sets": f"""
 SELECT chunk_id, source, page, chunk_index, {SHINGLES} AS shingles
-FROM (SELECT *, regexp_split_to_array(trim(lower(text), {TRIMMED}), '\\s+') AS words FROM chunks)
+FROM (SELECT *, regexp_split_to_array(trim(lower(text), {TRIMMED}), '[{fv.BLANKS}]+') AS words FROM chunks)
 """,
     # Chunks with one shingle set are one content, named by its first chunk.
     "content_keys": """
@@ -324,7 +323,8 @@ SELECT token, ln((1.0::DOUBLE + (SELECT count(*) FROM chunks)) / (1.0::DOUBLE +
 FROM token_rows GROUP BY token
 """,
     "index_rows": """
-SELECT chunk_id, token, raw / sqrt(sum(raw * raw) OVER (PARTITION BY chunk_id)) AS weight
+SELECT chunk_id, token, raw / sqrt(sum(raw * raw) OVER (PARTITION BY chunk_id)) AS weight,
+       CAST(floor(raw / sqrt(sum(raw * raw) OVER (PARTITION BY chunk_id)) * 1e9::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS units
 FROM (SELECT chunk_id, token, tf * idf AS raw FROM token_rows JOIN idf USING (token))
 """,
 }
@@ -334,13 +334,13 @@ def _search(queries: str, prefix: str) -> dict[str, str]:
     """Views that score (query_id, search_text) rows against all chunks."""
     return {
         f"{prefix}_tokens": f"""
-SELECT query_id, token, raw / sqrt(sum(raw * raw) OVER (PARTITION BY query_id)) AS weight
+SELECT query_id, token, CAST(floor(raw / sqrt(sum(raw * raw) OVER (PARTITION BY query_id)) * 1e9::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS units
 FROM (SELECT query_id, token, count(*) * any_value(idf) AS raw
       FROM (SELECT query_id, unnest({WORDS.format(t='search_text')}) AS token FROM {queries}) JOIN idf USING (token)
       GROUP BY query_id, token)
 """,
         f"{prefix}_scores": f"""
-SELECT query_id, chunk_id, {r('sum(q.weight * i.weight)', 6)} AS score
+SELECT query_id, chunk_id, sum(q.units::HUGEINT * i.units) AS exact, {r('CAST(sum(q.units::HUGEINT * i.units) AS DOUBLE) / 1e18::DOUBLE', 6)} AS score
 FROM {prefix}_tokens q JOIN index_rows i USING (token) GROUP BY query_id, chunk_id
 """,
     }
@@ -351,8 +351,8 @@ def _retrieval(queries: str, prefix: str, order: str) -> dict[str, str]:
     return {
         f"{prefix}_hits": f"""
 SELECT * FROM (
-  SELECT query_id, chunk_id, score, search_k, CASE collection WHEN 'purchase_orders' THEN 0 ELSE 1 END AS source_rank,
-         row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, chunk_id) AS rank
+  SELECT query_id, chunk_id, score, exact, search_k, CASE collection WHEN 'purchase_orders' THEN 0 ELSE 1 END AS source_rank,
+         row_number() OVER (PARTITION BY query_id, collection ORDER BY exact DESC, chunk_id) AS rank
   FROM {prefix}_scores JOIN (SELECT chunk_id, collection FROM collected) USING (chunk_id) JOIN {queries} USING (query_id)
   WHERE search_type = 'all' OR (search_type = 'PO') = (collection = 'purchase_orders'))
 WHERE rank <= search_k
@@ -506,8 +506,8 @@ FROM (SELECT *, regexp_extract(source, '_(\\d+)\\.pdf$', 1)::BIGINT IN (SELECT d
 SELECT po_number, supplier_id, subtotal, gst, {r('subtotal + gst', 2)} AS total, delivery_date FROM (
   SELECT *, {r('subtotal * 0.18::DOUBLE', 2)} AS gst FROM (
     SELECT po_number, supplier_id, {r('qty_ordered * rate_per_unit', 2)} AS subtotal,
-           CAST(po_date + CAST(lead_time_days + CAST(qty_ordered AS BIGINT) % 16 - 5 AS INT) AS VARCHAR) AS delivery_date
-    FROM fx_po JOIN fx_terms USING (supplier_id)))""",
+           CAST(po_date + CAST(coalesce(lead_time_days, 30) + CAST(qty_ordered AS BIGINT) % 16 - 5 AS INT) AS VARCHAR) AS delivery_date
+    FROM fx_po LEFT JOIN fx_terms USING (supplier_id)))""",
     "request_filter": "SELECT conv_id, turn, conv_id % 14 AS horizon, length(text) BETWEEN 3 AND 500 AND conv_id % 14 BETWEEN 1 AND 12 AS valid_for_one, length(text) BETWEEN 3 AND 500 AND conv_id % 14 BETWEEN 1 AND 6 AS valid_for_all FROM conversations",
     "supplier_terms_join": "SELECT t.*, city, state, payment_terms FROM fx_terms t LEFT JOIN fx_directory d USING (supplier_id)",
     "supplier_profile": "SELECT * FROM profiles",
@@ -596,11 +596,11 @@ WHERE f.later IS NOT NULL OR m.ord <> m.content_ord""",
     "embed_chunks": f"SELECT chunk_id, token, {r('weight', 6)} AS weight FROM index_rows",
     "knn_join": None,
     "filtered_knn": None,
-    "text_retrieve": "SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM plain_scores) WHERE rank <= 5",
+    "text_retrieve": "SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, chunk_id) AS rank FROM plain_scores) WHERE rank <= 5",
     "retrieve": "SELECT query_id, place, chunk_id, score FROM typed_merged",
     "retrieve_by_distance": """
 SELECT query_id, place, chunk_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_rank, rank) AS place FROM typed_hits)
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, source_rank, rank) AS place FROM typed_hits)
 WHERE place <= search_k""",
     "format_context": "SELECT query_id, length(context) AS n_chars, md5(context) AS context_md5 FROM typed_contexts",
     "forecast_fallback": "SELECT * FROM points WHERE month_offset <= 3",
@@ -682,8 +682,8 @@ def _nearest(condition: str) -> str:
     distance = "list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))"
     return f"""
 SELECT query_id, vec_id, distance, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank
-  FROM (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, {r(distance, 6)} AS distance
+  SELECT query_id, vec_id, {r('d', 6)} AS distance, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank
+  FROM (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, {distance} AS d
         FROM embeddings q JOIN embeddings e ON {condition}))
 WHERE rank <= 5"""
 

@@ -264,8 +264,9 @@ def q_clip_negative(spark: SparkSession, folder: str) -> DataFrame:
 
 def _priced(spark: SparkSession, folder: str) -> DataFrame:
     terms = src.supplier_terms(spark, folder).select("supplier_id", "lead_time_days")
-    orders = src.purchase_orders(spark, folder).join(terms, "supplier_id").withColumns(
+    orders = src.purchase_orders(spark, folder).join(terms, "supplier_id", "left").withColumns(
         {
+            "lead_time_days": F.coalesce(F.col("lead_time_days").cast("double"), F.lit(fv.DEFAULT_LEAD_TIME_DAYS)),
             "qty": F.col("qty_ordered"),
             "unit_price": F.col("rate_per_unit"),
             "offset_days": F.pmod(F.col("qty_ordered").cast("long"), F.lit(16)) - 5,
@@ -582,7 +583,7 @@ def q_scalar_string(spark: SparkSession, folder: str) -> DataFrame:
         F.md5(F.upper(F.col("role"))).alias("upper_md5"),
         text.startswith("The").alias("starts"),
         text.contains("er").alias("holds"),
-        F.substring(F.btrim(text, F.lit(" \t\n\r\f")), 1, 60).alias("prefix"),
+        F.substring(F.btrim(text, F.lit(fv.BLANKS)), 1, 60).alias("prefix"),
         F.size(F.split(text, " ")).alias("word_count"),
         F.md5(F.array_join(F.split(text, " "), "; ")).alias("joined_md5"),
         F.regexp_replace(text, "[ \n]+", " ").alias("collapsed"),
@@ -716,7 +717,7 @@ def _searches(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def q_text_retrieve(spark: SparkSession, folder: str) -> DataFrame:
     index, idf = retrieval.text_index(_chunks(spark, folder))
-    return retrieval.text_retrieve(_searches(spark, folder), index, idf)
+    return retrieval.text_retrieve(_searches(spark, folder), index, idf).drop("exact")
 
 
 def _typed_searches(spark: SparkSession, folder: str) -> DataFrame:
@@ -751,7 +752,7 @@ def q_format_context(spark: SparkSession, folder: str) -> DataFrame:
 def _ingested(spark: SparkSession, folder: str, mode: str) -> DataFrame:
     path = scratch_path(spark, "collections")
     ingestion.ingest(spark, src.pages(spark, folder), path, version=1, mode=mode)
-    return spark.read.parquet(path)
+    return retrieval.read_collection(spark, path)
 
 
 @query

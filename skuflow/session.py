@@ -56,17 +56,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread_small(df: DataFrame, *keys: str, rows: int = 200_000) -> DataFrame:
-    """A small table of long texts over all cores.
-
-    Such a table comes in one or two row groups, so one or two tasks would do all text work. A large
-    table has enough row groups and is left as it is; nothing is shuffled then.
-    """
-    if df.count() >= rows:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
-
-
 def compute_partitions(spark: SparkSession) -> int:
     """Partitions for work bound by computation, which should not be merged by size."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -10,11 +10,15 @@ from skuflow.sources import schemas
 def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     # Columns are matched by header name, so files may hold them in any order or hold fewer. All files of a
     # folder must agree; a file with another header is an error instead of shifted columns.
-    header = spark.read.option("header", True).csv(path).columns
+    header = spark.read.options(header=True, quote='"', escape='"', multiLine=True).csv(path).columns
     by_name = {field.name: field for field in schema}
     unknown = T.StringType()
     file_schema = T.StructType([by_name.get(name, T.StructField(name, unknown)) for name in header])
-    options = {"header": True, "encoding": "UTF-8", "enforceSchema": False}
+    # Quoted cells may hold commas, doubled quotes and line breaks. A cell that its column's type can't hold is an
+    # error that names the row, not a silent null.
+    options = {
+        "header": True, "encoding": "UTF-8", "enforceSchema": False, "quote": '"', "escape": '"', "multiLine": True, "mode": "FAILFAST",
+    }
     return spark.read.options(**options).schema(file_schema).csv(path)
 
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from skuflow.session import spread_small
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -80,13 +78,14 @@ def inventory(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def supplier_directory(spark: SparkSession, folder: str) -> DataFrame:
+    """All suppliers, under numbers moved by 2, so that some are in the terms only and some here only."""
     key = F.col("s_suppkey")
     return (
-        table(spark, folder, "supplier").where(key % 11 != 3)
+        table(spark, folder, "supplier")
         .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
-            supplier_code(key).alias("supplier_id"),
+            supplier_code(key + 2).alias("supplier_id"),
             F.col("s_name").alias("supplier_name"),
             F.col("n_name").alias("city"),
             F.col("r_name").alias("state"),
@@ -98,9 +97,10 @@ def supplier_directory(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def supplier_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Terms of all suppliers, under numbers moved by 1: one supplier sells without terms, one has terms and sells nothing."""
     key = F.col("s_suppkey")
-    return table(spark, folder, "supplier").where(key % 13 != 5).select(
-        supplier_code(key).alias("supplier_id"),
+    return table(spark, folder, "supplier").select(
+        supplier_code(key + 1).alias("supplier_id"),
         F.col("s_name").alias("supplier_name"),
         (15 + key % 53).alias("lead_time_days"),
         (100 + (key * 37) % 350).alias("min_order_qty"),
@@ -110,25 +110,21 @@ def supplier_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def supplier_sku(spark: SparkSession, folder: str) -> DataFrame:
-    """Which supplier sells which SKU."""
-    return (
-        table(spark, folder, "lineitem")
-        .where((F.col("l_linenumber") == 1) & (F.col("l_partkey") % 5 != 0))
-        .select("l_suppkey", "l_partkey").distinct()
-        .select(supplier_code(F.col("l_suppkey")).alias("supplier_id"), sku_code(F.col("l_partkey")).alias("sku_id"))
+    """Which supplier sells which SKU. SKU numbers are moved by 50, so that some SKUs have no supplier."""
+    return _sold(spark, folder).select(
+        supplier_code(F.col("l_suppkey")).alias("supplier_id"), sku_code(F.col("number")).alias("sku_id")
     )
 
 
+def _sold(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "lineitem").select("l_suppkey", (F.col("l_partkey") + 50).alias("number")).distinct()
+
+
 def supplier_sku_lists(spark: SparkSession, folder: str) -> DataFrame:
     """The same as delimited lists: a supplier has one list per 50 neighbouring SKU numbers, so none grows long."""
-    sold = (
-        table(spark, folder, "lineitem")
-        .where((F.col("l_linenumber") == 1) & (F.col("l_partkey") % 5 != 0))
-        .select("l_suppkey", "l_partkey").distinct()
-    )
-    code = sku_code(F.col("l_partkey"))
+    code = sku_code(F.col("number"))
     return (
-        sold.groupBy("l_suppkey", F.floor(F.col("l_partkey") / 50).alias("list_no"))
+        _sold(spark, folder).groupBy("l_suppkey", F.floor(F.col("number") / 50).alias("list_no"))
         .agg(F.array_join(F.sort_array(F.collect_list(code)), "; ").alias("skus_supplied"))
         .select(supplier_code(F.col("l_suppkey")).alias("supplier_id"), "list_no", "skus_supplied")
     )
@@ -156,7 +152,7 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
         F.when(key % 4 == 0, "PO_").when(key % 4 == 1, "catalog_")
         .when(key % 4 == 2, "Purchase_note_").otherwise("misc_")
     )
-    return spread_small(table(spark, folder, "documents").select("doc_id", "text"), "doc_id").select(
+    return table(spark, folder, "documents").select(
         F.concat(prefix, F.format_string("%06d", key), F.lit(".pdf")).alias("source"),
         F.lit(0).alias("page"),
         "text",

@@ -20,6 +20,12 @@ def test_exact_quantiles(spark, monkeypatch, kind):
     np.testing.assert_allclose(quantiles.exact_quantiles(rows, "x", levels), np.quantile(values, levels), rtol=1e-12)
 
 
+def test_nan_and_infinities_count_as_missing(spark):
+    values = [float(v) for v in range(10_000)]
+    rows = spark.createDataFrame([(v,) for v in [*values, float("nan"), float("inf"), float("-inf"), None]], "x double")
+    assert quantiles.exact_quantiles(rows, "x", [0.0, 0.5, 1.0]) == [0.0, 4999.5, 9999.0]
+
+
 def test_row_index_is_consecutive(spark):
     rows = spark.range(5000).selectExpr("id * 7919 % 5003 as k").repartition(6)
     indexed = sorted((r.k, r.row_index) for r in with_row_index(rows, ["k"]).collect())

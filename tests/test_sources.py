@@ -29,6 +29,19 @@ def test_headers_must_agree(spark, tmp_path):
         readers.read_demand(spark, str(tmp_path)).collect()
 
 
+def test_quoted_cells_and_bad_cells(spark, tmp_path):
+    text = 'supplier_id,penalty_clause,price_valid_until,notes\nS1,"5% ""late"" fee, weekly",31-12-2025,"two\nlines"\n'
+    path = write(tmp_path / "q.csv", text)
+    row = readers._csv(spark, path, readers.schemas.SUPPLIER_TERMS).first()
+    assert (row.penalty_clause, row.price_valid_until, row.notes) == ('5% "late" fee, weekly', "31-12-2025", "two\nlines")
+    back = str(tmp_path / "back")
+    sinks.save_csv(readers._csv(spark, path, readers.schemas.SUPPLIER_TERMS), back)
+    assert readers._csv(spark, back, readers.schemas.SUPPLIER_TERMS).first() == row
+    bad = write(tmp_path / "bad.csv", "sku_id,net_units,period\nA,12x,2024-01\n")
+    with pytest.raises(Exception, match="12x|MALFORMED"):
+        readers.read_demand(spark, bad).collect()
+
+
 def test_supplier_terms_csv_and_bridge(spark, tmp_path):
     path = write(
         tmp_path / "t.csv",
