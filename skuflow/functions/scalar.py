@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skuflow.functions import fixed_values as fv
@@ -44,6 +46,11 @@ def severity_rank(severity: Column) -> Column:
     return rank
 
 
+def with_values(df: DataFrame, values: Column, name: str, use: Callable[[Column], Column]) -> DataFrame:
+    """``df`` with the column ``use(values)``. The values are a column first, so that their subquery stands once in the plan."""
+    return df.withColumn("_values", values).withColumn(name, use(F.col("_values"))).drop("_values")
+
+
 def one_value(df: DataFrame, aggregate: Column) -> Column:
     """An aggregate of ``df`` as a scalar subquery: one value, no join and no driver round trip."""
     return df.agg(aggregate.alias("value")).scalar()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skuflow.functions import fixed_values as fv
-from skuflow.functions.scalar import half_up, number_text, one_value
+from skuflow.functions.scalar import half_up, number_text, one_value, with_values
 from skuflow.operators.features import sku_features
 from skuflow.operators.quantiles import exact_quantiles
 
@@ -34,9 +34,11 @@ def zscore_scores(rows: DataFrame, scope: str = "global") -> DataFrame:
                 *[F.avg(c).alias(f"{c}_mean") for c in columns], *[F.stddev_pop(c).alias(f"{c}_std") for c in columns]
             ),
         )
-        mean = {c: stats[f"{c}_mean"] for c in columns}
-        std = {c: stats[f"{c}_std"] for c in columns}
-        scored = rows.withColumn("z", _largest_z(mean, std))
+
+        def largest(s: Column) -> Column:
+            return _largest_z({c: s[f"{c}_mean"] for c in columns}, {c: s[f"{c}_std"] for c in columns})
+
+        scored = with_values(rows, stats, "z", largest)
     elif scope == "per_sku":
         group = Window.partitionBy("sku_id")
         mean = {c: F.avg(c).over(group) for c in columns}

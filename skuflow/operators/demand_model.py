@@ -15,7 +15,7 @@ from skuflow.operators.features import growth, last_rows, sku_features
 from skuflow.operators.forecast import (
     MODEL_LABEL, clipped, cv_folds, cv_folds_by_row, evaluate, forecast_bands, forecast_fallback, holdout_split,
 )
-from skuflow.session import checkpointed
+from skuflow.session import checkpointed, path_exists
 
 TREES = 300
 _NULLABLE = ("lag_3", "lag_6", "roll_mean_3", "roll_mean_6")
@@ -188,10 +188,5 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 
 def load_model(path: str) -> PipelineModel | None:
-    """The saved model, or ``None`` when there is none."""
-    try:
-        return PipelineModel.load(path)
-    except Exception as error:
-        if "does not exist" in str(error) or "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
+    """The saved model, or ``None`` when nothing is stored at the path; a damaged model is an error."""
+    return PipelineModel.load(path) if path_exists(path) else None

@@ -85,7 +85,3 @@ def last_rows(df: DataFrame, rows: int) -> DataFrame:
     """The latest ``rows`` rows of every SKU; ``place`` counts back from 1."""
     newest_first = Window.partitionBy("sku_id").orderBy(F.desc("period"))
     return df.withColumn("place", F.row_number().over(newest_first)).where(F.col("place") <= rows)
-
-
-def feature_columns() -> list[str]:
-    return list(fv.FEATURE_COLUMNS)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skuflow.functions import fixed_values as fv
-from skuflow.functions.scalar import one_value
+from skuflow.functions.scalar import one_value, with_values
 from skuflow.operators.features import last_rows
 
 
@@ -109,22 +109,24 @@ def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
             *[F.stddev_pop(c).alias(f"{c}_std") for c in columns],
         ),
     )
-    scaled = {}
-    for name in columns:
-        spread = stats[f"{name}_std"]
-        scaled[f"{name}_z"] = (F.col(name) - stats[f"{name}_mean"]) / F.when(spread == 0, 1.0).otherwise(spread)
-    return df.withColumns(scaled)
+
+    def scaled(name: str, s: Column) -> Column:
+        spread = s[f"{name}_std"]
+        return ((F.col(name) - s[f"{name}_mean"]) / F.when(spread == 0, 1.0).otherwise(spread)).alias(f"{name}_z")
+
+    rows = with_values(df, stats, "_z", lambda s: F.struct(*[scaled(name, s) for name in columns]))
+    return rows.select(*df.columns, "_z.*")
 
 
 def histogram(df: DataFrame, value: str, flag: str, bins: int = 40) -> DataFrame:
     """Counts in equal-width bins between the smallest and largest value, split by ``flag``."""
-    low, high = df.agg(F.min(value), F.max(value)).first()
-    if low is None or low == high:
-        place = F.lit(0)
-    else:
-        width = (high - low) / float(bins)
-        place = F.least(F.floor((F.col(value) - low) / width), F.lit(bins - 1))
-    return df.groupBy(place.cast("int").alias("bin"), flag).agg(F.count("*").alias("row_count"))
+    limits = one_value(df, F.struct(F.min(value).alias("low"), F.max(value).alias("high")))
+
+    def bin_of(s: Column) -> Column:
+        width = (s["high"] - s["low"]) / F.lit(float(bins))
+        return F.when(width == 0, 0).otherwise(F.least(F.floor((F.col(value) - s["low"]) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1)))
+
+    return with_values(df, limits, "bin", bin_of).groupBy(F.col("bin").cast("int").alias("bin"), flag).agg(F.count("*").alias("row_count"))
 
 
 def average_rank(df: DataFrame, group: str, value: str, name: str) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skuflow.operators.documents import chunk_boundary, chunk_fixed, clean_pages, first_per_chunk_id
 from skuflow.operators.near_duplicates import dedup_keep_first
-from skuflow.operators.retrieval import collection_of, write_collection
+from skuflow.operators.retrieval import collection_of, embed_chunks, write_collection
 from skuflow.session import checkpointed
+from skuflow.sources.readers import read_documents
 
 CHUNK_ORDER = ["source", "page", "chunk_index"]
-_BROADCAST_PAGES = 100_000
 
 
 def chunks_of(pages: DataFrame, mode: str = "fixed") -> DataFrame:
@@ -25,14 +28,12 @@ def chunks_of(pages: DataFrame, mode: str = "fixed") -> DataFrame:
     keys = ["source", "page"]
     counts = pages.groupBy(*keys).agg(F.count("*").alias("rows"))
     repeated = checkpointed(counts.where(F.col("rows") > 1).select(*keys))
-    number = repeated.count()
-    if number == 0:
+    if repeated.isEmpty():
         chunks = split(clean)
     else:
-        # The table was counted: a small one is sent to all tasks, a large one is joined by shuffling.
-        marked = F.broadcast(repeated) if number <= _BROADCAST_PAGES else repeated
-        once = split(clean.join(marked, keys, "left_anti"))
-        first = first_per_chunk_id(split(clean.join(marked, keys, "left_semi")), CHUNK_ORDER)
+        # The table is written, so the planner knows its bytes and sends a small one to the tasks.
+        once = split(clean.join(repeated, keys, "left_anti"))
+        first = first_per_chunk_id(split(clean.join(repeated, keys, "left_semi")), CHUNK_ORDER)
         chunks = once.unionByName(first)
     return chunks.withColumn("collection", collection_of(F.col("doc_type")))
 
@@ -45,7 +46,20 @@ def unique_chunks(pages: DataFrame, mode: str = "fixed") -> DataFrame:
     return dedup_keep_first(checkpointed(chunks_of(pages, mode)), CHUNK_ORDER, within="collection")
 
 
-def ingest(spark: SparkSession, pages: DataFrame, path: str, version: int, mode: str = "boundary") -> None:
-    """Parse, clean, chunk, remove near-duplicates and upsert into the collections stored at ``path``."""
+def ingest(
+    spark: SparkSession, pages: DataFrame, path: str, version: int, mode: str = "boundary",
+    load: Callable[[], Callable[[pd.Series], pd.Series]] | None = None,
+) -> None:
+    """Clean, chunk, remove near-duplicates, embed and upsert into the collections stored at ``path``.
+
+    ``load`` gives a model that maps texts to vectors; they are stored as ``embedding``. Without it none are stored.
+    """
     chunks = unique_chunks(pages, mode).withColumn("version", F.lit(version).cast("long"))
-    write_collection(spark, chunks, path)
+    write_collection(spark, embed_chunks(chunks, load) if load else chunks, path)
+
+
+def ingest_folder(spark: SparkSession, directory: str, path: str, version: int, **options) -> DataFrame:
+    """``ingest`` of the text files of a folder; returns the files that could not be read."""
+    pages, rejects = read_documents(spark, directory)
+    ingest(spark, pages.select("source", "page", "text"), path, version, **options)
+    return rejects

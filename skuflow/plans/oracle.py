@@ -691,6 +691,25 @@ WHERE rank <= 5"""
 _BODIES["knn_join"] = _nearest("true")
 _BODIES["filtered_knn"] = _nearest("q.label = e.label")
 
+_DENSE = "(ascii(left(w, 1)) * 31 + ascii(right(w, 1)) * 7 + length(w)) % 64"
+
+
+def _counted(source: str, key: str) -> str:
+    words = f"SELECT {key}, unnest(string_split(text, ' ')) AS w FROM {source}"
+    return f"SELECT {key}, {_DENSE} AS d, count(*) AS n FROM ({words}) WHERE w <> '' GROUP BY 1, 2"
+
+
+VIEWS["dense_chunks"] = _counted("chunks", "chunk_id")
+VIEWS["dense_queries"] = _counted("(SELECT query_id, search_text AS text FROM searches)", "query_id")
+_BODIES["retrieve_dense"] = f"""
+SELECT query_id, chunk_id, CAST(distance AS DOUBLE) AS distance, rank FROM (
+  SELECT query_id, chunk_id, q2 + c2 - 2 * coalesce(common, 0) AS distance,
+         row_number() OVER (PARTITION BY query_id ORDER BY q2 + c2 - 2 * coalesce(common, 0), chunk_id) AS rank
+  FROM (SELECT s.query_id, coalesce(q2, 0) AS q2 FROM searches s LEFT JOIN (SELECT query_id, sum(n * n) AS q2 FROM dense_queries GROUP BY 1) USING (query_id))
+  CROSS JOIN (SELECT chunk_id, sum(n * n) AS c2 FROM dense_chunks GROUP BY 1)
+  LEFT JOIN (SELECT query_id, chunk_id, sum(q.n * c.n) AS common FROM dense_queries q JOIN dense_chunks c USING (d) GROUP BY 1, 2) USING (query_id, chunk_id))
+WHERE rank <= 3"""
+
 # The greedy pass walks over the contents that have a similar one, in order, and keeps a list of the kept.
 VIEWS["walk_nodes"] = """
 SELECT ord, row_number() OVER (ORDER BY ord) AS step,

@@ -4,20 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skuflow.functions import fixed_values as fv
 from skuflow.functions.scalar import abc_weight, half_up, high_season, number_text, signed_text
 from skuflow.operators import anomaly, demand_model, documents, features, forecast, intents, inventory, isolation_forest
 from skuflow.operators import arima, near_duplicates, profile, resample, retrieval, suppliers
-from skuflow.plans import alerts as board, answers, ingest as ingestion, training
-from skuflow.session import scratch_path
+from skuflow.plans import alerts as board, answers, ingest as ingestion, shared, training
+from skuflow.session import checkpointed, scratch_path
 from skuflow.sources import readers, sinks, tables as src
 
 Query = Callable[[SparkSession, str], DataFrame]
 SKU_IN_TEXT = r"\bSKU-\d+\b"
-# Trees of the registered model queries; the library's default is larger.
-QUERY_TREES = 20
 
 QUERIES: dict[str, Query] = {}
 
@@ -164,8 +163,7 @@ def q_sink_csv(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def q_sink_model(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "forest")
-    rows = anomaly.anomaly_features(_features(spark, folder))
-    isolation_forest.save_forest(isolation_forest.train_forest(rows, ["sku_id", "period"]), path)
+    isolation_forest.save_forest(_forest(spark, folder), path)
     nodes = isolation_forest.load_forest(spark, path)
     return nodes.groupBy("tree").agg(
         F.count("*").alias("node_count"), F.max("depth").alias("depth"), F.max("row_count").alias("row_count")
@@ -742,6 +740,16 @@ def q_retrieve_by_distance(spark: SparkSession, folder: str) -> DataFrame:
     return hits.select("query_id", "place", "chunk_id", "score")
 
 
+@query
+def q_retrieve_dense(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions against the stored vectors of all chunks."""
+    model = retrieval.word_count_model()
+    path = scratch_path(spark, "vectors")
+    chunks = retrieval.embed_chunks(_chunks(spark, folder), model).withColumn("version", F.lit(1))
+    retrieval.write_collection(spark, chunks, path)
+    return retrieval.retrieve_dense(_searches(spark, folder), retrieval.read_collection(spark, path), model, 3)
+
+
 @query
 def q_format_context(spark: SparkSession, folder: str) -> DataFrame:
     searches = _typed_searches(spark, folder)
@@ -839,21 +847,25 @@ def q_actual_vs_pred(spark: SparkSession, folder: str) -> DataFrame:
     return shown(rows, "sku_id", "period", "net_units", "prediction", prediction=4)
 
 
+def _model(spark: SparkSession, folder: str) -> PipelineModel:
+    """The demand model of all SKUs; trained once and loaded by the queries that use it."""
+    return shared.stored_model(spark, folder, "demand-model", lambda: demand_model.train(_features(spark, folder)))
+
+
 @query
 def q_train_demand(spark: SparkSession, folder: str) -> DataFrame:
     rows = _features(spark, folder)
-    model = demand_model.train(rows, trees=QUERY_TREES)
-    return shown(demand_model.predict(model, rows), "sku_id", "period", "net_units", "prediction", prediction=2)
+    return shown(demand_model.predict(_model(spark, folder), rows), "sku_id", "period", "net_units", "prediction", prediction=2)
 
 
 @query
 def q_cv_train(spark: SparkSession, folder: str) -> DataFrame:
-    return shown(demand_model.cv_train(_features(spark, folder), trees=QUERY_TREES), rmse=4, mape=4)
+    return shown(demand_model.cv_train(_features(spark, folder)), rmse=4, mape=4)
 
 
 @query
 def q_holdout_eval(spark: SparkSession, folder: str) -> DataFrame:
-    rows = demand_model.holdout_predictions(_features(spark, folder), trees=QUERY_TREES)
+    rows = demand_model.holdout_predictions(_features(spark, folder))
     return shown(forecast.evaluate(rows), rmse=4, mape=4)
 
 
@@ -861,29 +873,24 @@ def q_holdout_eval(spark: SparkSession, folder: str) -> DataFrame:
 def q_train_models(spark: SparkSession, folder: str) -> DataFrame:
     """The whole training job; its run table."""
     path = scratch_path(spark, "training")
-    training.train_models(spark, src.demand_history(spark, folder), path, QUERY_TREES)
+    training.train_models(spark, src.demand_history(spark, folder), path)
     runs = spark.read.parquet(f"{path}/runs")
     return runs.select("run", F.explode("metrics").alias("metric", "value"))
 
 
 @query
 def q_forecast_model(spark: SparkSession, folder: str) -> DataFrame:
-    demand = src.demand_history(spark, folder)
-    model = demand_model.train(features.sku_features(demand), trees=QUERY_TREES)
-    return demand_model.forecast_model(model, demand)
+    return demand_model.forecast_model(_model(spark, folder), src.demand_history(spark, folder))
 
 
 @query
 def q_forecast_model_full(spark: SparkSession, folder: str) -> DataFrame:
-    demand = src.demand_history(spark, folder)
-    model = demand_model.train(features.sku_features(demand), trees=QUERY_TREES)
-    return demand_model.forecast_model(model, demand, roll="full")
+    return demand_model.forecast_model(_model(spark, folder), src.demand_history(spark, folder), roll="full")
 
 
 @query
 def q_feature_importance(spark: SparkSession, folder: str) -> DataFrame:
-    model = demand_model.train(_features(spark, folder), trees=QUERY_TREES)
-    return spark.createDataFrame(demand_model.feature_importance(model), "feature string, importance double")
+    return spark.createDataFrame(demand_model.feature_importance(_model(spark, folder)), "feature string, importance double")
 
 
 @query
@@ -937,10 +944,64 @@ def q_iforest_fit(spark: SparkSession, folder: str) -> DataFrame:
     return isolation_forest.fit_forest(anomaly.anomaly_features(_features(spark, folder)), ["sku_id", "period"])
 
 
+def _forest(spark: SparkSession, folder: str) -> DataFrame:
+    """The forest of all months, with its offset; trained once and stored."""
+
+    def build() -> DataFrame:
+        rows = checkpointed(anomaly.anomaly_features(_features(spark, folder)))
+        return isolation_forest.train_forest(rows, ["sku_id", "period"])
+
+    return shared.stored(spark, folder, "forest", build)
+
+
 def _forest_scores(spark: SparkSession, folder: str) -> DataFrame:
+    def build() -> DataFrame:
+        return isolation_forest.apply_forest(anomaly.anomaly_features(_features(spark, folder)), _forest(spark, folder))
+
+    return shared.stored(spark, folder, "forest-scores", build)
+
+
+def _forest_anomalies(spark: SparkSession, folder: str) -> DataFrame:
+    return anomaly.flagged(_forest_scores(spark, folder))
+
+
+@query
+def q_forest_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    """The alert board on forest scores, whose range gives all severities."""
+    return shown(board.alerts(src.inventory(spark, folder), _forest_anomalies(spark, folder)))
+
+
+@query
+def q_forest_anomaly_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    """An alert for every month that the forest flags."""
+    rows = _forest_anomalies(spark, folder)
+    return shown(anomaly.anomaly_alerts(rows, rows.count()))
+
+
+@query
+def q_forest_contamination_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    return anomaly.contamination_sweep(_forest_scores(spark, folder))
+
+
+@query
+def q_forest_score_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return profile.histogram(_forest_scores(spark, folder), "anomaly_score", "is_anomaly")
+
+
+@query
+def q_forest_top_anomalies(spark: SparkSession, folder: str) -> DataFrame:
+    return shown(anomaly.top_anomalies(_forest_anomalies(spark, folder)), roll_mean_3=4, anomaly_score=6)
+
+
+@query
+def q_forest_per_sku(spark: SparkSession, folder: str) -> DataFrame:
+    """Every SKU against the stored forest of all: its flagged months and lowest score."""
     rows = anomaly.anomaly_features(_features(spark, folder))
-    nodes = isolation_forest.fit_forest(rows, ["sku_id", "period"])
-    return isolation_forest.decide(isolation_forest.score_rows(rows, nodes))
+    scored = isolation_forest.apply_forest(rows, _forest(spark, folder))
+    by_sku = scored.groupBy("sku_id").agg(
+        F.count("*").alias("months"), F.count_if("is_anomaly").alias("flagged"), F.min("anomaly_score").alias("lowest")
+    )
+    return shown(by_sku, lowest=6)
 
 
 @query

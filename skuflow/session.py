@@ -41,9 +41,44 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; ``drop_scratch`` removes what is written there."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def path_exists(path: str) -> bool:
+    system, place = _file_system(SparkSession.active(), path)
+    return system.exists(place)
+
+
+def scratch_mark(spark: SparkSession) -> int:
+    """How many scratch tables this application has made so far."""
+    return len(_SCRATCH.get(spark.sparkContext.applicationId, []))
+
+
+def drop_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Remove the scratch tables of this application, from the ``since``-th on, and say how many were there.
+
+    Results that read them must have been written before; DataFrames that still need them can't be used any more.
+    """
+    paths = _SCRATCH.get(spark.sparkContext.applicationId, [])
+    dropped, removed = paths[since:], 0
+    del paths[since:]
+    for path in dropped:
+        system, place = _file_system(spark, path)
+        removed += bool(system.delete(place, True))
+    return removed
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from skuflow.functions import fixed_values as fv
 from tests.conftest import SMALL
 
 _path = Path(__file__).resolve().parent.parent / "scripts" / "check_queries.py"
@@ -40,8 +41,7 @@ def test_entry(spark):
     board = contract.entry(spark)
     assert board.count() > 0
     severities = [row.severity for row in board.collect()]
-    rank = {"high": 0, "medium": 1, "low": 2}
-    assert severities == sorted(severities, key=rank.get)
+    assert severities == sorted(severities, key=fv.SEVERITY_ORDER.index)
 
 
 def test_alert_total_is_the_sum_of_its_parts(spark):

@@ -1,5 +1,6 @@
 """Features against pandas, and the number helpers."""
 
+import datetime
 import math
 from datetime import date
 
@@ -8,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from skuflow.functions import fixed_values as fv
 from skuflow.functions.scalar import half_up, number_text, signed_text
 from skuflow.operators import features, forecast, profile
 
@@ -31,28 +33,26 @@ def demand(spark):
     return spark.createDataFrame(rows, schema).repartition(5).cache()
 
 
-def test_features_match_pandas(demand):
-    mine = features.sku_features(demand).toPandas().sort_values(["sku_id", "period"]).reset_index(drop=True)
-    source = demand.toPandas()
-    source["period"] = pd.to_datetime(source["period"])
-    source = source.sort_values(["sku_id", "period"])
-    units = source.groupby("sku_id")["net_units"]
-    prior = units.shift(1)
-    expected = pd.DataFrame(
-        {
-            "lag_1": prior, "lag_3": units.shift(3), "lag_6": units.shift(6),
-            "roll_mean_3": prior.groupby(source["sku_id"]).transform(lambda s: s.rolling(3).mean()),
-            "roll_std_3": prior.groupby(source["sku_id"]).transform(lambda s: s.rolling(3).std()).fillna(0),
-            "roll_mean_6": prior.groupby(source["sku_id"]).transform(lambda s: s.rolling(6).mean()),
-            "yoy_growth": units.transform(lambda s: s.pct_change(12)).fillna(0),
-            "month": source["period"].dt.month, "quarter": source["period"].dt.quarter,
-            "abc_enc": source["abc_class"].map({"A": 3, "B": 2, "C": 1}).fillna(1),
-            "is_high_season": source["period"].dt.month.isin([10, 11, 12, 1]).astype(int),
-        }
-    )[prior.notna()].reset_index(drop=True)
-    assert len(mine) == len(expected)
-    for column in expected:
-        np.testing.assert_allclose(mine[column].astype(float), expected[column].astype(float), atol=1e-9, err_msg=column)
+def test_features_of_a_short_series(spark):
+    """Fourteen months of one SKU, with values worked out by hand."""
+    units = [10.0, 20.0, 60.0, 0.0, 30.0, 30.0, 90.0, 10.0, 20.0, 30.0, 40.0, 50.0, 15.0, 0.0]
+    months = [datetime.date(2023 + (8 + i) // 12, (8 + i) % 12 + 1, 1) for i in range(14)]  # from September 2023
+    rows = [("A", m, "name", "B", "web", u, 0.0, u, u) for m, u in zip(months, units)]
+    schema = (
+        "sku_id string, period date, product_name string, abc_class string, channel string, units_sold double, "
+        "units_returned double, net_units double, revenue double"
+    )
+    found = {r.period: r for r in features.sku_features(spark.createDataFrame(rows, schema)).collect()}
+    assert sorted(found) == months[1:]  # the first month has none before it
+    second, fifth, eighth, last = (found[months[i]] for i in (1, 4, 7, 13))
+    assert (second.lag_1, second.lag_3, second.lag_6, second.roll_mean_3, second.roll_mean_6) == (10.0, None, None, None, None)
+    assert (second.month, second.quarter, second.is_high_season, second.abc_enc) == (10, 4, 1, fv.ABC_WEIGHTS["B"])
+    assert (fifth.lag_1, fifth.lag_3, fifth.is_high_season) == (0.0, 20.0, 1)
+    # 20, 60 and 0 before it: mean 80/3, squares of the differences 400/9, 10000/9 and 6400/9, over two.
+    assert fifth.roll_mean_3 == pytest.approx(26.6666667) and fifth.roll_std_3 == pytest.approx(30.5505046)
+    assert (eighth.lag_6, eighth.month, eighth.quarter, eighth.is_high_season) == (20.0, 4, 2, 0)
+    assert eighth.roll_mean_6 == pytest.approx(230.0 / 6) and eighth.yoy_growth == 0.0
+    assert last.yoy_growth == -1.0 and found[months[12]].yoy_growth == 0.5  # 20 to 0, and 10 to 15
 
 
 def test_growth_from_zero(spark):
