@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -67,12 +70,16 @@ def cv_train(features: DataFrame, trees: int = TREES, folds: int = 3, by: str =
         raise ValueError(f"unknown split: {by}")
     split = cv_folds(features, folds) if by == "period" else cv_folds_by_row(features, folds)
     split = checkpointed(split)
-    scores = None
-    for fold in range(1, folds + 1):
+
+    def score(fold: int) -> DataFrame:
         rows = split.where(F.col("fold") == fold)
         model = train(rows.where(F.col("part") == "train"), trees, seed=seed)
-        score = evaluate(_raw_predictions(model, rows.where(F.col("part") == "test"))).withColumn("fold", F.lit(fold))
-        scores = score if scores is None else scores.unionByName(score)
+        return evaluate(_raw_predictions(model, rows.where(F.col("part") == "test"))).withColumn("fold", F.lit(fold))
+
+    # The folds don't need each other: their fits run at the same time and share the executors.
+    with ThreadPool(folds) as pool:
+        parts = pool.map(inheritable_thread_target(features.sparkSession)(score), range(1, folds + 1))
+    scores = checkpointed(reduce(DataFrame.unionByName, parts))
     mean = scores.agg(
         F.sum("row_count").alias("row_count"), F.avg("rmse").alias("rmse"), F.avg("mape").alias("mape")
     ).withColumn("fold", F.lit(0))

@@ -847,9 +847,17 @@ def q_actual_vs_pred(spark: SparkSession, folder: str) -> DataFrame:
     return shown(rows, "sku_id", "period", "net_units", "prediction", prediction=4)
 
 
+def _training(spark: SparkSession, folder: str) -> str:
+    """Where the training job has stored its features, folds, models and runs; it runs once per application."""
+
+    def train(path: str) -> None:
+        training.train_models(spark, src.demand_history(spark, folder), path)
+
+    return shared.stored_folder(spark, folder, "training", train)
+
+
 def _model(spark: SparkSession, folder: str) -> PipelineModel:
-    """The demand model of all SKUs; trained once and loaded by the queries that use it."""
-    return shared.stored_model(spark, folder, "demand-model", lambda: demand_model.train(_features(spark, folder)))
+    return demand_model.load_model(f"{_training(spark, folder)}/demand_model")
 
 
 @query
@@ -860,7 +868,7 @@ def q_train_demand(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def q_cv_train(spark: SparkSession, folder: str) -> DataFrame:
-    return shown(demand_model.cv_train(_features(spark, folder)), rmse=4, mape=4)
+    return shown(spark.read.parquet(f"{_training(spark, folder)}/folds"), rmse=4, mape=4)
 
 
 @query
@@ -872,9 +880,7 @@ def q_holdout_eval(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def q_train_models(spark: SparkSession, folder: str) -> DataFrame:
     """The whole training job; its run table."""
-    path = scratch_path(spark, "training")
-    training.train_models(spark, src.demand_history(spark, folder), path)
-    runs = spark.read.parquet(f"{path}/runs")
+    runs = spark.read.parquet(f"{_training(spark, folder)}/runs")
     return runs.select("run", F.explode("metrics").alias("metric", "value"))
 
 
@@ -945,13 +951,13 @@ def q_iforest_fit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _forest(spark: SparkSession, folder: str) -> DataFrame:
-    """The forest of all months, with its offset; trained once and stored."""
+    """The forest of all months, with its offset; trained once, stored and loaded."""
 
-    def build() -> DataFrame:
+    def train(path: str) -> None:
         rows = checkpointed(anomaly.anomaly_features(_features(spark, folder)))
-        return isolation_forest.train_forest(rows, ["sku_id", "period"])
+        isolation_forest.save_forest(isolation_forest.train_forest(rows, ["sku_id", "period"]), path)
 
-    return shared.stored(spark, folder, "forest", build)
+    return isolation_forest.load_forest(spark, shared.stored_folder(spark, folder, "forest", train))
 
 
 def _forest_scores(spark: SparkSession, folder: str) -> DataFrame:
