@@ -11,7 +11,7 @@ import sys
 import time
 
 from skuflow.plans.queries import QUERIES
-from skuflow.session import build_session
+from skuflow.session import build_session, drop_scratch
 
 HEADLINE = (
     "reorder_alerts", "sku_features", "sku_summary", "rop", "supplier_recommend", "forecast_all", "zscore_anomaly",
@@ -35,6 +35,7 @@ def main() -> None:
         started = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - started, 3)
+        drop_scratch(spark)
         print(name, seconds[name], file=sys.stderr, flush=True)
     spark.stop()
     print(json.dumps({
