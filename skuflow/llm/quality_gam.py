@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skuflow.llm.tables import checkpointed
+from skuflow.llm.tables import checkpointed, first_by_hash
 from skuflow.llm.text_arrays import SPACE, Texts, Words, chain, group_sums, pieces, window_hashes
 
 #: Most labelled rows the model is fitted on; they are gathered on the driver (some 80 bytes each).
@@ -227,8 +227,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def train(features: DataFrame, marks: DataFrame, fold: Column, id_col: str, label_col: str, limit: int = MAX_TRAIN) -> Gam:
-    """Fit on the labelled rows of the fold: all, or the ``limit`` that come first by hash of the id."""
+    """Fit on the labelled rows of the fold, at most ``limit``; of many labels those that come first by hash of the id."""
     marks = marks.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y")).where("__id is not null and __y is not null")
+    marks = marks.where(first_by_hash(F.xxhash64("__id"), marks.count(), limit))
     rows = features.where(fold).join(marks, F.col(id_col) == F.col("__id"))
     sample = rows.select(F.xxhash64(id_col).alias("__h"), id_col, "features", "__y").orderBy("__h", id_col, "__y").limit(limit).toArrow()
     return fit_gam(_matrix(sample["features"]).astype(float), (sample["__y"].to_numpy() >= 0.5).astype(float))

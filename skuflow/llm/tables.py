@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skuflow.session import checkpointed
 
-__all__ = ["checkpointed", "crc_of", "documents", "doc_key", "labels", "read_table", "shuffle_partitions"]
+__all__ = ["checkpointed", "crc_of", "documents", "doc_key", "first_by_hash", "labels", "read_table", "shuffle_partitions"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,15 @@ def crc_of(doc_id: Column | str, modulus: int) -> Column:
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus)).cast("int")
 
 
+def first_by_hash(hashed: Column, rows: int, limit: int) -> Column:
+    """Whether a row's hash is among the lowest share of all hashes that holds ``limit`` of ``rows`` rows, and a fifth more.
+
+    A sample is cut down by this where its rows lie, so that no task gathers more than a few limits of them.
+    """
+    share = 1.2 * limit / max(rows, 1)
+    return F.lit(True) if share >= 1 else hashed < F.lit(int(-(1 << 63) + share * (1 << 64)))
+
+
 def doc_key(doc_id: str, text: str) -> Column:
     """Tells rows apart by id and text, so that rows which share an id keep their own results."""
     return F.xxhash64(F.col(doc_id).isNull(), F.col(doc_id), F.col(text).isNull(), F.col(text))
