@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skuflow.llm.tables import first_by_hash
 from skuflow.llm.text_arrays import SPACE, Texts, Words, chain, mix, pieces, window_hashes
 
 #: Buckets of the hashed n-grams; the model is two numbers for each, which bounds what is sent to the tasks.
@@ -79,8 +80,8 @@ def ngram_counts(docs: DataFrame, target_ids: np.ndarray, id_col: str, text_col:
 def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> np.ndarray:
     """log P(bucket | target) - log P(bucket | raw); the table has one row per bucket, whatever the corpus."""
     raw, target = np.zeros(buckets), np.zeros(buckets)
-    for row in counts.toLocalIterator():
-        raw[row.bucket], target[row.bucket] = row.raw, row.target
+    table = counts.toArrow()
+    raw[table["bucket"].to_numpy()], target[table["bucket"].to_numpy()] = table["raw"].to_numpy(), table["target"].to_numpy()
     if not target.sum():
         return np.zeros(buckets)
     raw, target = raw + smoothing, target + smoothing
@@ -89,7 +90,9 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMO
 
 def trusted_ids(trusted: DataFrame, id_col: str, limit: int = MAX_TARGET) -> np.ndarray:
     """Ids of the target: all, or the ``limit`` of them that come first by hash."""
-    rows = trusted.select(id_col).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(limit).collect()
+    known = trusted.select(id_col).where(F.col(id_col).isNotNull())
+    known = known.where(first_by_hash(F.xxhash64(id_col), known.count(), limit))
+    rows = known.distinct().orderBy(F.xxhash64(id_col), id_col).limit(limit).collect()
     return np.array(sorted(row[0] for row in rows), np.int64)
 
 
