@@ -113,14 +113,12 @@ def document_frequencies(docs: DataFrame, text_col: str, row: np.ndarray) -> tup
         filled = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(filled, -1)), pa.array(np.append(total[filled], n))], ["row", "n"])
 
+    # One row per used bucket, and one for the number of documents.
+    sums = docs.select(text_col).mapInArrow(run, "row long, n long").groupBy("row").agg(F.sum("n").alias("n")).toArrow()
+    rows, values = sums["row"].to_numpy(), sums["n"].to_numpy()
     counts = np.zeros(size, np.int64)
-    n = 0
-    for at, value in docs.select(text_col).mapInArrow(run, "row long, n long").groupBy("row").agg(F.sum("n")).toLocalIterator():
-        if at < 0:
-            n = value
-        else:
-            counts[at] = value
-    return counts, n
+    counts[rows[rows >= 0]] = values[rows >= 0]
+    return counts, int(values[rows < 0].sum())
 
 
 def _product(items: DataFrame, text_col: str, row: np.ndarray, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -144,10 +142,10 @@ def _product(items: DataFrame, text_col: str, row: np.ndarray, idf: np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(filled), lists], ["row", "v"])
 
     parts = items.select(text_col).mapInArrow(run, "row long, v array<double>")
-    sums = parts.groupBy("row").agg(*[F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(columns)])
+    # One row per used bucket: at most 8 x DIMENSIONS x columns bytes, in one job.
+    sums = parts.groupBy("row").agg(*[F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(columns)]).toArrow()
     out = np.zeros((len(idf), columns))
-    for values in sums.toLocalIterator():
-        out[values[0]] = values[1:]
+    out[sums["row"].to_numpy()] = np.column_stack([sums[f"v{k}"].to_numpy() for k in range(columns)])
     return out
 
 
@@ -210,7 +208,7 @@ class Block(NamedTuple):
 
 
 def match_piece(words: Words, space: Space, block: Block) -> list[list[dict]]:
-    """The items found in each text, in the order of the block, each once with its best passage."""
+    """The items found in each text, each once with its best passage."""
     out: list[list[dict]] = [[] for _ in words.counts]
     first, end, owner = passages(words)
     hashes = words.hashes()
@@ -235,11 +233,13 @@ def match_piece(words: Words, space: Space, block: Block) -> list[list[dict]]:
 
 
 def blocks(items: DataFrame, space: Space, item_id: str, item_text: str) -> Iterator[Block]:
-    """The benchmark in blocks of bounded size, in one pass over it."""
+    """The benchmark in blocks of bounded size; a few partitions of it at a time are on the driver."""
     ids: list[int] = []
     texts: list[str] = []
     size = 0
-    for row in items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long"), item_text).orderBy(item_id, item_text).toLocalIterator():
+    known = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long"), item_text)
+    characters = known.agg(F.sum(F.length(item_text))).first()[0] or 0
+    for row in known.coalesce(1 + characters // (4 * BLOCK_WORDS)).toLocalIterator():
         n = len(row[1]) // 2 + 1
         if ids and size + n > BLOCK_WORDS:
             yield _block(ids, texts, space)
@@ -273,7 +273,7 @@ def benchmark_matches(
         shared = context.broadcast(space)
         for block in blocks(items, space, item_id, item_text):
             out = out.mapInArrow(_matcher(shared, context.broadcast(block), text_col, matches), f"{schema}, `{matches}` array<{MATCH}>")
-    return out.withColumn(matches, F.coalesce(matches, F.expr(f"cast(array() as array<{MATCH}>)")))
+    return out.withColumn(matches, F.array_sort(F.coalesce(matches, F.expr(f"cast(array() as array<{MATCH}>)"))))
 
 
 def _matcher(space, block, text_col: str, matches: str):
