@@ -1,10 +1,10 @@
-"""Licence scan by DataFrame functions only: a positional index of rare licence words over template headers.
+"""Licence scan by DataFrame functions only: a positional index of licence words over template headers.
 
-Document frequencies of the templates' words are counted over the whole corpus. Words in few documents are rare and
-make up the index: word to (template, position). Each file looks up its rare licence words, the ``TOP`` with the
-highest IDF; every posting says where the template would begin in the file, and places that two different words
-agree on, or the only one a template has, are kept if the template's mandatory phrase stands at its position there. The
-share of the template's indexed words that stand at their relative positions is the score.
+Document frequencies of the templates' words are counted over the whole corpus. A header can't stand where a word of its
+mandatory phrase is missing, so each template is looked up by the word of its phrase with the highest IDF, whatever that
+is: word to (template, position). Each occurrence in a file says where the template would begin there, and places are kept
+if the template's whole phrase stands at its position. No word is too frequent and no file has too many licence words to be
+looked up. The share of the template's words that stand at their relative positions is the score.
 
 Words are runs of ASCII letters and digits and of anything beyond ASCII, letters A-Z lowered. Besides, plain phrases
 are counted: places where their words stand one after another.
@@ -49,9 +49,9 @@ TEMPLATES = (
 #: Phrases that are counted in any case, and their labels. Fixed values.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: A word is rare if it is in one document of ``RARE_PART`` at most, or in ``RARE_LEAST`` documents at most.
+#: Cuts of the SQL and of its brute-force test: the frequency up to which a word is indexed, and words looked up per file.
+#: The scan has neither.
 RARE_PART, RARE_LEAST = 20, 20
-#: Rare licence words that a file looks up.
 TOP = 8
 
 _BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -67,17 +67,11 @@ def file_words(text: str) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(plain, _BREAKS, " ")), " "), lambda w: w != "")
 
 
-def rare_words(files: DataFrame, words: str) -> list[tuple[str, int]]:
-    """The licence words of the index with their document frequencies, rarest first; at most the templates' vocabulary."""
+def word_frequencies(files: DataFrame, words: str) -> list[str]:
+    """The licence words that occur in the corpus, in fewest documents first; at most the templates' vocabulary."""
     known = F.array(*map(F.lit, vocabulary()))
-    counted = files.select(F.explode(F.array_append(F.array_intersect(words, known), "")).alias("word")).groupBy("word").count()
-    counts = {row["word"]: row["count"] for row in counted.collect()}
-    most = max(counts.pop("", 0) // RARE_PART, RARE_LEAST)
-    return sorted(((word, n) for word, n in counts.items() if n <= most), key=lambda x: (x[1], x[0]))
-
-
-def _texts(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values)) if values else F.expr("cast(array() as array<string>)")
+    counted = files.select(F.explode(F.array_intersect(words, known)).alias("word")).groupBy("word").count()
+    return [row["word"] for row in sorted(counted.collect(), key=lambda row: (row["count"], row["word"]))]
 
 
 def phrase_places(words: str, phrase: str) -> Column:
@@ -94,53 +88,52 @@ def _followed(places: Column, words: str, step: int, word: str) -> Column:
     return F.filter(places, lambda i: F.coalesce(F.get(words, i + step) == word, F.lit(False)))
 
 
-def _postings(rare: list[tuple[str, int]]) -> dict[str, list[tuple[int, int]]]:
-    index: dict[str, list[tuple[int, int]]] = {word: [] for word, _ in rare}
+def _phrase_at(template: Template) -> int:
+    parts, phrase = template.words.split(), template.phrase.split()
+    return next(k for k in range(len(parts)) if parts[k : k + len(phrase)] == phrase)
+
+
+def _postings(known: list[str]) -> dict[str, list[tuple[int, int]]]:
+    """Of each template whose phrase can occur, the place of the phrase's rarest word."""
+    index: dict[str, list[tuple[int, int]]] = {}
+    rank = {word: k for k, word in enumerate(known)}
     for number, template in enumerate(TEMPLATES):
-        for position, word in enumerate(template.words.split()):
-            if word in index:
-                index[word].append((number, position))
+        phrase = template.phrase.split()
+        if all(word in rank for word in phrase):
+            rarest = min(phrase, key=rank.__getitem__)
+            index.setdefault(rarest, []).append((number, _phrase_at(template) + phrase.index(rarest)))
     return index
 
 
-def scan(rare: list[tuple[str, int]], words: str) -> Column:
+def scan(known: list[str], words: str) -> Column:
     """Array of (label, score) of the templates found in a file."""
     nothing = F.expr("cast(array() as array<struct<label:string,score:double>>)")
-    index = _postings(rare)
-    if not rare:
+    index = _postings(known)
+    if not index:
         return nothing
-    top = F.slice(F.filter(_texts([word for word, _ in rare]), lambda w: F.array_contains(words, w)), 1, TOP)
-    # Where each template would begin, by each occurrence of a looked-up word.
+    # Where each template would begin, by each occurrence of its looked-up word.
     pairs = F.create_map(*[x for word, places in index.items() for x in (F.lit(word), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in places]))])
-
-    def beginnings(looked_up: Column) -> Column:
-        hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(looked_up, h["w"]))
-        return F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(pairs[h["w"]], lambda q: F.struct(q["t"].alias("t"), (h["i"] - q["p"]).alias("at"))))))
-
-    found = F.transform(F.array(top), lambda looked_up: beginnings(looked_up))[0]
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(*index))
+    found = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(pairs[h["w"]], lambda q: F.struct(q["t"].alias("t"), (h["i"] - q["p"]).alias("at"))))))
 
     def of_template(number: int, template: Template, places: Column) -> Column:
         parts = template.words.split()
-        phrase = template.phrase.split()
-        phrase_at = next(k for k in range(len(parts)) if parts[k : k + len(phrase)] == phrase)
-        indexed = [(word, k) for k, word in enumerate(parts) if word in index]
         own = F.transform(F.filter(places, lambda q: q["t"] == number), lambda q: q["at"])
-        for step, word in enumerate(phrase, phrase_at):
+        for step, word in enumerate(template.phrase.split(), _phrase_at(template)):
             own = _followed(own, words, step, word)
 
         def agreed(at: Column) -> Column:
-            return sum((F.when(F.get(words, at + k) == word, 1).otherwise(0) for word, k in indexed), F.lit(0))
+            return sum((F.when(F.get(words, at + k) == word, 1).otherwise(0) for k, word in enumerate(parts)), F.lit(0))
 
         best = F.array_max(F.transform(own, agreed))
-        enough = min(2, len(indexed))
-        return F.when(best >= enough, F.struct(F.lit(template.label).alias("label"), (best / float(len(indexed))).alias("score")))
+        return F.when(best.isNotNull(), F.struct(F.lit(template.label).alias("label"), (best / float(len(parts))).alias("score")))
 
     def all_templates(places: Column) -> Column:
-        with_words = {t for postings in index.values() for t, _ in postings}
-        return F.array(*[of_template(n, t, places) for n, t in enumerate(TEMPLATES) if n in with_words])
+        held = {t for postings in index.values() for t, _ in postings}
+        return F.array(*[of_template(n, t, places) for n, t in enumerate(TEMPLATES) if n in held])
 
     held = F.transform(F.array(found), all_templates)[0]
-    return F.when(F.arrays_overlap(words, _texts([word for word, _ in rare])), F.filter(held, lambda x: x.isNotNull())).otherwise(nothing)
+    return F.when(F.arrays_overlap(words, F.array(*map(F.lit, index))), F.filter(held, lambda x: x.isNotNull())).otherwise(nothing)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,7 +142,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Two passes over the text, for the frequencies and for the scan; nothing but a count per licence word is shuffled.
     """
     files = docs.select(id_col, file_words(text_col).alias("__words"))
-    rare = rare_words(files, "__words")
+    known = word_frequencies(files, "__words")
     nowhere = F.expr("cast(array() as array<int>)")
     places = [F.when(F.array_contains("__words", phrase.split()[0]), phrase_places("__words", phrase)).otherwise(nowhere).alias(label) for phrase, label in PHRASES]
-    return files.select(id_col, F.size("__words").alias("n_words"), *places, scan(rare, "__words").alias("templates"))
+    return files.select(id_col, F.size("__words").alias("n_words"), *places, scan(known, "__words").alias("templates"))

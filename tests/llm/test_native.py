@@ -116,6 +116,16 @@ def test_templates_by_relative_position(spark):
     assert [got[k] for k in range(len(texts))] == templates_found(texts)
 
 
+def test_a_header_in_over_a_third_of_the_files_is_found(spark):
+    """Labels don't depend on how frequent a licence is."""
+    apache = next(t.words for t in license_scan.TEMPLATES if t.label == "apache-2.0")
+    texts = [f"file {k} " + ("Released under the MIT license." if k % 2 else apache if k % 3 else "no header") for k in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(x) for x in r.templates] for r in license_scan.license_scan(docs).collect()}
+    for k in got:
+        assert got[k] == ([("mit", 1.0)] if k % 2 else [("apache-2.0", 1.0)] if k % 3 else [])
+
+
 def test_license_scan_runs_in_the_jvm_and_on_no_rows(spark):
     found = license_scan.license_scan(spark.createDataFrame([], "doc_id long, text string"))
     assert found.collect() == []
