@@ -126,6 +126,21 @@ def test_a_header_in_over_a_third_of_the_files_is_found(spark):
         assert got[k] == ([("mit", 1.0)] if k % 2 else [("apache-2.0", 1.0)] if k % 3 else [])
 
 
+def test_a_file_with_every_header_gets_every_label(spark):
+    """However many licence words a file has, rare ones before or not, each header in it is found."""
+    rng = random.Random(7)
+    headers = [t.words for t in license_scan.TEMPLATES]
+    prose = " ".join(license_scan.vocabulary())
+    texts = [" end. ".join(rng.sample(headers, len(headers))) for _ in range(3)] + [f"{prose} {h} end" for h in headers]
+    texts += [headers[0]] * 30  # its words are the most frequent ones
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: dict(map(tuple, r.templates)) for r in license_scan.license_scan(docs).collect()}
+    for k, text in enumerate(texts):
+        for template in license_scan.TEMPLATES:
+            if template.words in text:
+                assert got[k][template.label] == 1.0, (text, template)
+
+
 def test_license_scan_runs_in_the_jvm_and_on_no_rows(spark):
     found = license_scan.license_scan(spark.createDataFrame([], "doc_id long, text string"))
     assert found.collect() == []
