@@ -18,13 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skuflow.llm.tables import first_by_hash
 from skuflow.llm.text_arrays import SPACE, Texts, Words, chain, mix, pieces, window_hashes
 
 #: Buckets of the hashed n-grams; the model is two numbers for each, which bounds what is sent to the tasks.
 BUCKETS = 1 << 16
-#: Most trusted documents whose n-grams make up the target; their ids are sent to the tasks (8 bytes each).
-MAX_TARGET = 20_000
 #: Mean log ratio from which a document is kept.
 THRESHOLD = -0.15
 SMOOTHING = 0.5
@@ -59,21 +56,28 @@ def ngram_buckets(words: Words, hashes: np.ndarray, buckets: int) -> list[tuple[
     return out
 
 
-def ngram_counts(docs: DataFrame, target_ids: np.ndarray, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """bucket, raw and target: n-grams of all documents and of the target; one row per bucket and task is shuffled."""
+def ngram_counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """bucket, raw and target: n-grams of all documents and of those whose id is in ``trusted``.
+
+    The distinct ids are joined to the documents as a flag. Both sides are dealt out by id at every size, so the texts
+    are shuffled once, and no task or driver holds all ids. Besides, one row per bucket and task is shuffled.
+    """
+    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
+    flags = trusted.select(F.col(id_col).alias("__id"), F.lit(True).alias("__trusted")).hint("shuffle_hash")
+    flagged = texts.join(flags, F.col("__doc") == F.col("__id"), "left").select("__text", "__trusted")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for piece in pieces(batches, text_col):
-            words = Words(Texts.of(piece.column(text_col)))
-            trusted = np.isin(piece.column(id_col).to_numpy(zero_copy_only=False), target_ids)
+        for piece in pieces(batches, "__text"):
+            words = Words(Texts.of(piece.column("__text")))
+            trusted = np.asarray(piece.column("__trusted").is_valid())
             for bucket, owner in ngram_buckets(words, words.hashes(), buckets):
                 raw += np.bincount(bucket, minlength=buckets)
                 target += np.bincount(bucket[trusted[owner]], minlength=buckets)
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], ["bucket", "raw", "target"])
 
-    counts = docs.select(id_col, text_col).mapInArrow(count, "bucket long, raw long, target long")
+    counts = flagged.mapInArrow(count, "bucket long, raw long, target long")
     return counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -88,12 +92,10 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMO
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def trusted_ids(trusted: DataFrame, id_col: str, limit: int = MAX_TARGET) -> np.ndarray:
-    """Ids of the target: all, or the ``limit`` of them that come first by hash."""
-    known = trusted.select(id_col).where(F.col(id_col).isNotNull())
-    known = known.where(first_by_hash(F.xxhash64(id_col), known.count(), limit))
-    rows = known.distinct().orderBy(F.xxhash64(id_col), id_col).limit(limit).collect()
-    return np.array(sorted(row[0] for row in rows), np.int64)
+def trusted_ids(trusted: DataFrame, id_col: str, limit: int | None = None) -> DataFrame:
+    """Ids of the target, each once: all, or, if the caller sets a limit, those that come first by hash."""
+    known = trusted.select(id_col).where(F.col(id_col).isNotNull()).distinct()
+    return known if limit is None else known.orderBy(F.xxhash64(id_col), id_col).limit(limit)
 
 
 def _repeated_words(text: bytes) -> int:
@@ -164,12 +166,13 @@ def base_counts(words: Words, hashes: np.ndarray) -> dict[str, np.ndarray]:
 
 def quality_rules(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS,
-    threshold: float = THRESHOLD, max_target: int = MAX_TARGET,
+    threshold: float = THRESHOLD, max_target: int | None = None,
 ) -> DataFrame:
     """Counts, score and verdict of every document; ``trusted`` holds the ids of the target in ``id_col``.
 
     Returns the id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and score. Two
-    passes over the text: counts, then scores; only bucket counts are shuffled.
+    passes over the text: counts, then scores. The target is every trusted document, whatever their number;
+    ``max_target`` is for callers that want a sample.
     """
     ratios = log_ratios(ngram_counts(docs, trusted_ids(trusted, id_col, max_target), id_col, text_col, buckets), buckets)
 

@@ -53,6 +53,15 @@ def test_score_is_the_mean_log_ratio(spark):
     assert min(got[0], got[1]) > max(got[2], got[3])
 
 
+def test_every_trusted_document_is_in_the_target(spark):
+    """If all are trusted, target and raw are the same, however many they are; ids given twice count once."""
+    docs = spark.range(25_000).selectExpr("id AS doc_id", "concat('own', id, ' word', id % 7, ' of a text') AS text")
+    found = rules.quality_rules(docs, docs.union(docs))
+    assert found.where("score != 0").count() == 0
+    counts = rules.ngram_counts(docs, rules.trusted_ids(docs.union(docs), "doc_id"), "doc_id", "text", rules.BUCKETS)
+    assert counts.where("raw != target").count() == 0
+
+
 def test_no_rows_and_no_target(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert rules.quality_rules(empty, empty).collect() == []
