@@ -4,7 +4,9 @@ Words are lowered; passages are windows of ``PASSAGE`` words that begin every ``
 documents alike. Their TF-IDF vectors (hashed words, document frequencies over the whole corpus) are projected to
 the leading right singular vectors of the benchmark's passages, which a randomised SVD finds in a few distributed
 passes. Each document passage is compared with all benchmark passages as blocks of a matrix product; those with a
-cosine of ``COSINE`` or more are candidates. A candidate is confirmed by the longest common subsequence of the item's
+cosine of ``COSINE`` or more are candidates. A copy may still stay below that, if the item is shorter than a passage or the
+benchmark larger than the space can tell apart; so the ``ANCHOR`` words in a row with the highest IDF of each item are looked
+up in the documents too, which hands every unchanged copy to the check. A candidate is confirmed by the longest common subsequence of the item's
 words and the words around the passage: long enough by itself, or shorter with the item's answer, its last words, in
 place. So copies with changed, added or lost words are found.
 
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skuflow.llm.text_arrays import LOWER, NO_WORD, Texts, Words, pieces
+from skuflow.llm.text_arrays import LOWER, NO_WORD, Texts, Words, pieces, window_hashes
 
 PASSAGE, STEP = 32, 16
 #: Buckets of the hashed words; bounds the projection that is sent to the tasks (4 x RANK bytes per used bucket).
@@ -35,6 +37,8 @@ COSINE = 0.7
 #: Share of an item's words in the common subsequence: alone, and together with the answer.
 SHARE, SHARE_WITH_ANSWER, ANSWER_SHARE = 0.8, 0.6, 0.8
 ANSWER_WORDS = 5
+#: Words in a row by which unchanged copies are found; shorter items are found by their cosine alone.
+ANCHOR = 8
 #: Words of the benchmark items that are sent to the tasks at a time.
 BLOCK_WORDS = 1_000_000
 
@@ -187,7 +191,7 @@ def common_subsequence(masks: dict[int, int], size: int, words: list[int]) -> in
 
 
 class Block(NamedTuple):
-    """Some benchmark items: ids, words, and the latent vectors of their passages."""
+    """Some benchmark items: ids, words, the latent vectors of their passages, and sorted anchors with their item and place in it."""
 
     ids: list[int]
     sizes: list[int]
@@ -195,6 +199,9 @@ class Block(NamedTuple):
     answers: list[dict[int, int]]
     owner: np.ndarray
     vectors: np.ndarray
+    anchors: np.ndarray
+    anchor_items: np.ndarray
+    anchor_places: np.ndarray
 
     def proof(self, item: int, region: list[int]) -> tuple[int, bool] | None:
         """Length of the common subsequence and whether the answer is there, if that proves the item."""
@@ -227,11 +234,48 @@ def match_piece(words: Words, space: Space, block: Block) -> list[list[dict]]:
                 key, cosine = (text, item), round(float(cosines[passage - low, column]), 4)
                 if key not in best or proof[0] > best[key]["common_words"]:
                     best[key] = {"item_id": block.ids[item], "cosine": cosine, "common_words": proof[0], "item_words": block.sizes[item], "answer_found": proof[1]}
+    for at, item in zip(*anchor_hits(hashes, block), strict=True):
+        passage = int(np.searchsorted(first, at, "right")) - 1  # the last one that begins there or before
+        text, size = int(owner[passage]), block.sizes[item]
+        begin = at - int(block.anchor_places[item])
+        if begin < words.first[text] or begin + size > words.first[text + 1] or (text, item) in best:
+            continue
+        proof = block.proof(item, hashes[begin : begin + size].tolist())
+        if proof:
+            near = space.project(known_rows, first[passage : passage + 1], end[passage : passage + 1]) @ block.vectors[block.owner == item].T
+            best[text, item] = {"item_id": block.ids[item], "cosine": round(float(near.max()), 4), "common_words": proof[0], "item_words": size, "answer_found": proof[1]}
     for (text, _), match in sorted(best.items()):
         out[text].append(match)
     return out
 
 
+def anchor_hits(hashes: np.ndarray, block: Block) -> tuple[list[int], list[int]]:
+    """Words of the texts where an item's anchor begins, and the item."""
+    if len(hashes) < ANCHOR or not len(block.anchors):
+        return [], []
+    windows = window_hashes(hashes, ANCHOR)
+    low = np.searchsorted(block.anchors, windows)
+    at = np.flatnonzero(block.anchors[np.minimum(low, len(block.anchors) - 1)] == windows)
+    n = np.searchsorted(block.anchors, windows[at], "right") - low[at]
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(at, n).tolist(), block.anchor_items[np.repeat(low[at], n) + nth].tolist()
+
+
+def item_anchors(words: Words, hashes: np.ndarray, space: Space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors in order, the item of each, and for every item where its anchor begins (-1: too short for one)."""
+    places = np.full(len(words.counts), -1, np.int64)
+    long = np.flatnonzero(words.counts >= ANCHOR)
+    if not len(long):
+        return np.zeros(0, np.uint64), long, places
+    weights = np.concatenate([[0.0], np.cumsum(space.idf[space.rows_of(hashes)])])
+    weights = weights[ANCHOR:] - weights[:-ANCHOR]
+    for item in long.tolist():
+        places[item] = np.argmax(weights[words.first[item] : words.first[item + 1] - ANCHOR + 1])
+    keys = window_hashes(hashes, ANCHOR)[words.first[long] + places[long]]
+    order = np.argsort(keys, kind="stable")
+    return keys[order], long[order], places
+
+
 def blocks(items: DataFrame, space: Space, item_id: str, item_text: str) -> Iterator[Block]:
     """The benchmark in blocks of bounded size; a few partitions of it at a time are on the driver."""
     ids: list[int] = []
@@ -258,7 +302,8 @@ def _block(ids: list[int], texts: list[str], space: Space) -> Block:
     lists = [hashes[a:b].tolist() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
     masks = [word_masks(x) for x in lists]
     answers = [word_masks(x[-ANSWER_WORDS:]) for x in lists]
-    return Block(ids, [len(x) for x in lists], masks, answers, owner, space.project(space.rows_of(hashes), first, end) if len(first) else np.zeros((0, space.axes.shape[1]), np.float32))
+    vectors = space.project(space.rows_of(hashes), first, end) if len(first) else np.zeros((0, space.axes.shape[1]), np.float32)
+    return Block(ids, [len(x) for x in lists], masks, answers, owner, vectors, *item_anchors(words, hashes, space))
 
 
 def benchmark_matches(

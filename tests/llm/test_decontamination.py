@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 
 from skuflow.llm import decontamination as d
 from skuflow.llm.queries import QUERIES
@@ -52,6 +53,29 @@ def test_copies_and_paraphrases_are_found_and_others_left_alone(spark):
     assert sum(r.doc_id == 0 and len(r.matches) == 1 for r in found) == 2
 
 
+def test_every_copy_is_found_with_thousands_of_items(spark, monkeypatch):
+    """Short items in long documents of the benchmark's own vocabulary."""
+    rng = random.Random(4)
+    vocabulary = ["w" + "".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(2000)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [prose(rng.randint(15, 59 if k % 2 else 18)) for k in range(2000)]
+    rows, want = [], set()
+    for k in range(120):
+        host, at = prose(400), rng.randint(0, 400)
+        rows.append((k, " ".join(host[:at] + items[k] + host[at:])))
+        want.add((k, k))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, m.item_id) for r in d.benchmark_matches(docs, bench).collect() for m in r.matches}
+    assert want <= got, f"{len(want & got)} of {len(want)}"
+    # Nor do copies need a cosine.
+    space = d.latent_space(docs, bench, "text", "text")
+    block = next(d.blocks(bench, space, "item_id", "text"))
+    monkeypatch.setattr(d, "COSINE", 1.1)
+    found = d.match_piece(d.lowered_words(pa.array([text for _, text in rows])), space, block)
+    assert all(k in [m["item_id"] for m in found[k]] for k, _ in rows)
+
+
 def test_several_blocks_give_the_same(spark, monkeypatch):
     docs = spark.read.parquet(f"{FIXTURE}/documents.parquet").select("doc_id", "text").limit(400)
     bench = spark.read.parquet(f"{FIXTURE}/benchmark.parquet")
