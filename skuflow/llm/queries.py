@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuflow.llm import byte_bpe, decontamination, language_id, license_scan, line_chunks, pii, quality_gam, quality_rules, simhash, substring_dedup
+from skuflow.llm import byte_bpe, decontamination, exact_search, language_id, license_scan, line_chunks, pii, quality_gam, quality_rules, simhash, substring_dedup
 from skuflow.llm.oracle import ORACLE
 from skuflow.llm.tables import crc_of, documents, labels, read_table
 
@@ -109,3 +109,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.substring_dedup(documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
+
+@query
+def op12_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
