@@ -144,4 +144,44 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-ORACLE: dict[str, str] = {"op3_substring_dedup": OP3, "op6_license_scan": OP6, "op8_pii": OP8, "op12_exact_search": OP12}
+# The CRC-32 of "<doc_id>:<run>" byte by byte, with its table worked out from the polynomial.
+OP13 = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) ORDER BY i) AS t
+  FROM range(256) r(i)
+), run AS (
+  SELECT doc_id, run, count(*) AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+  ) GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, k, xor(4294967295, list_reduce(
+    list_prepend(4294967295, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c:
+      CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [192 + ord(c) // 64, 128 + ord(c) % 64] END))),
+    lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256))) AS h
+  FROM run, crc_table
+), word AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+    SELECT k, CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM hashed
+  ) WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5
+), cut AS (
+  SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM word)
+), pair AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT cut.word, word.word FROM cut JOIN word ON rest = word.word
+  UNION SELECT word.word, cut.word FROM cut JOIN word ON rest = word.word
+), near AS (
+  SELECT pair.word, other, n AS other_n FROM pair JOIN word ON other = word.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS form, max(other_n) AS form_n FROM near GROUP BY word
+), found AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n
+  FROM word w LEFT JOIN best b ON w.word = b.word
+), step AS (
+  SELECT word, word AS at, form AS next FROM found
+  UNION ALL
+  SELECT s.word, f.word, f.form FROM step s JOIN found f ON s.next = f.word
+)
+SELECT f.word, f.form, s.at AS root, f.n, f.n_near, f.form_n FROM found f JOIN step s ON s.word = f.word AND s.next IS NULL
+"""
+
+ORACLE: dict[str, str] = {"op3_substring_dedup": OP3, "op6_license_scan": OP6, "op8_pii": OP8, "op12_exact_search": OP12, "op13_spelling_variants": OP13}
