@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuflow.llm import byte_bpe, decontamination, exact_search, language_id, license_scan, line_chunks, pii, quality_gam, quality_rules, simhash, spelling_variants, substring_dedup
+from skuflow.llm import byte_bpe, decontamination, exact_search, language_id, license_scan, line_chunks, pii, quality_gam, quality_rules, simhash, spelling_variants, substring_dedup, token_alignment
 from skuflow.llm.oracle import ORACLE
 from skuflow.llm.tables import crc_of, documents, labels, read_table
 
@@ -120,3 +120,9 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that occur five times or more, after every 199th run by its hash has lost a letter."""
     words = spelling_variants.word_counts(documents(spark, sf_dir), slip=199)
     return spelling_variants.spelling_variants(words.where("n >= 5"))
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_alignment.token_alignment(documents(spark, sf_dir), *paths)
