@@ -3,7 +3,8 @@
 Each text is encoded by a byte-level vocabulary (A) and a piece vocabulary (B). Byte offsets where tokens of both end cut them
 into groups; an A and a B token of one group are linked, and a pair of ids counts in each document that links it.
 
-The work on tokens is Arrow's: lists are flattened with the indices of their documents, segmented cumulative sums of token sizes
+Neither vocabulary has a token that goes on behind a space, so the words of a chunk are encoded once each; a vocabulary that
+has one makes whole texts the words. The work on tokens is Arrow's: lists are flattened with the indices of their documents, segmented cumulative sums of token sizes
 give the ends, an Acero hash join on (document, end) finds the common ones, ``Table.group_by`` counts. Spark merges
 the partial counts. Texts are encoded once: a row per document with its distinct pairs is written. Documents go in chunks
 of some MB of text; a pair is counted per chunk, its corpus-wide count goes back to the chunks that hold it,
@@ -18,6 +19,7 @@ have any name. The distinct pairs of one document are held by one task.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -25,17 +27,21 @@ from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skuflow.llm.tables import checkpointed
-from skuflow.llm.text_arrays import group_sums, pieces, ranges
+from skuflow.llm.text_arrays import Texts, group_sums, pieces, ranges, span_hash
 
-#: Bytes of text in a chunk, bytes encoded at a time, and links expanded at a time.
-CHUNK, ENCODED, LINKS = 8 << 20, 1 << 19, 1 << 21
+#: Bytes of text in a chunk, in a piece that is aligned at a time, encoded at a time; links expanded at a time.
+CHUNK, PIECE, ENCODED, LINKS = 8 << 20, 1 << 19, 1 << 18, 1 << 20
+#: Distinct words that a worker remembers.
+REMEMBERED = 250_000
 #: Links of a group from which its equal ids are counted before they are paired.
 LARGE = 64
 
@@ -48,20 +54,29 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Side(NamedTuple):
-    """One tokenizer: how it encodes texts, and the bytes of its tokens by id."""
+    """One tokenizer: how it encodes texts that begin with a space, and the bytes of its tokens by id.
+
+    ``apart`` says that no token goes on behind the end of a word, so that texts may be encoded word by word.
+    """
 
     encode: Callable[[list[str]], list[list[int]]]
     tokens: pa.Array
     sizes: pa.Array
+    apart: bool
 
 
 def _side(encode: Callable[[list[str]], list[list[int]]], tokens: list[bytes]) -> Side:
-    return Side(encode, pa.array(tokens, pa.large_binary()), pa.array([len(t) for t in tokens], pa.int64()))
+    joined = Texts(np.frombuffer(b"".join(tokens), np.uint8), np.append(0, np.cumsum([len(t) for t in tokens])))
+    apart = len(words_of(joined, True)[0]) == sum(map(bool, tokens))
+    return Side(encode, pa.array(tokens, pa.large_binary()), pa.array([len(t) for t in tokens], pa.int64()), apart)
 
 
 @lru_cache(maxsize=4)
 def byte_side(path: str) -> Side:
-    """A vocabulary of the tokenizers library; each text gets a space before it."""
+    """A byte-level vocabulary in the file of the tokenizers library.
+
+    Where its merges are in the order of their ids, as ranks are, tiktoken gives the same ids faster.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
     from tokenizers import Tokenizer
 
@@ -71,54 +86,156 @@ def byte_side(path: str) -> Side:
     tokens = [b""] * (max(tokenizer.get_vocab().values()) + 1)
     for token, number in tokenizer.get_vocab().items():
         tokens[number] = bytes(alphabet[c] for c in token)
-    return _side(lambda texts: [e.ids for e in tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)], tokens)
+    ranks = _ranks(path, alphabet)
+    if ranks is None:
+        return _side(lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)], tokens)
+    fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _side(lambda texts: [fast.encode_ordinary(t) for t in texts], tokens)
+
+
+def _ranks(path: str, alphabet: dict[str, int]) -> dict[bytes, int] | None:
+    """Token bytes to ids, if the file is plain byte-level BPE whose merges make the ids in their order."""
+    with open(path, encoding="utf-8") as file:
+        given = json.load(file)
+    cut, model, special = given["pre_tokenizer"] or {}, given["model"], {t["content"] for t in given["added_tokens"]}
+    if given["normalizer"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) or model["type"] != "BPE":
+        return None
+    made = [model["vocab"]["".join(pair.split(" ") if isinstance(pair, str) else pair)] for pair in model["merges"]]
+    plain = {token: number for token, number in model["vocab"].items() if token not in special}
+    if made != sorted(made) or min(made) < 256 or model.get("ignore_merges") or len(plain) != 256 + len(made):
+        return None
+    return {bytes(alphabet[c] for c in token): number for token, number in plain.items()}
 
 
 @lru_cache(maxsize=4)
 def piece_side(path: str) -> Side:
-    """A model of the sentencepiece library, which adds the space itself."""
+    """A model of the sentencepiece library, which adds the first space itself."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     names = [model.id_to_piece(k) for k in range(model.get_piece_size())]
     tokens = [bytes([int(name[3:-1], 16)]) if model.is_byte(k) else name.replace("▁", " ").encode() for k, name in enumerate(names)]
-    return _side(lambda texts: model.encode(texts, num_threads=1), tokens)
+    return _side(lambda texts: model.encode([t[1:] for t in texts], num_threads=1), tokens)
 
 
-def _lists(ids: list[list[int]]) -> pa.LargeListArray:
-    offsets = np.zeros(len(ids) + 1, np.int64)
-    np.cumsum([len(x) for x in ids], out=offsets[1:])
-    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
-    return pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(flat))
+def spaced(texts: Texts) -> Texts:
+    """The texts that are not empty with a space before each."""
+    sizes = np.diff(texts.bounds)
+    bounds = np.append(0, np.cumsum(sizes + (sizes > 0)))
+    data = np.full(int(bounds[-1]), 32, np.uint8)
+    data[np.arange(len(texts.data)) + np.repeat(np.cumsum(sizes > 0), sizes)] = texts.data
+    return Texts(data, bounds)
 
 
-def encoded(side: Side, texts: list[str | None]) -> pa.LargeListArray:
-    """The ids of each text, some texts at a time; null and empty ones have none."""
-    out: list[list[int]] = [[] for _ in texts]
-    held, size = [], 0
-    for k, text in enumerate(texts):
-        if text:
-            held.append(k)
-            size += len(text)
-        if held and (size >= ENCODED or k == len(texts) - 1):
-            for at, ids in zip(held, side.encode([texts[i] for i in held]), strict=True):
-                out[at] = ids
-            held, size = [], 0
-    return _lists(out)
+#: Bytes that can't end a blank: visible ASCII, and what follows a lead byte with which no blank begins.
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[0x21:0x7F] = True
+#: Lead bytes of the blanks beyond ASCII.
+_BLANK_LEADS = np.zeros(256, bool)
+_BLANK_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
-def _given_back(lists: pa.LargeListArray, side: Side, raw: list[bytes]) -> np.ndarray:
-    """Whether the tokens of each text join to its bytes."""
-    joined = side.tokens.take(lists.flatten())
-    edges = np.frombuffer(joined.buffers()[1], np.int64)[: len(joined) + 1][lists.offsets.to_numpy()] if len(joined) else np.zeros(len(raw) + 1, np.int64)
-    data = memoryview(joined.buffers()[2] if len(joined) else b"").cast("B")
-    return np.array([data[a:b] == own for a, b, own in zip(edges.tolist(), edges[1:].tolist(), raw, strict=False)], bool)
+def _sure_ends(data: np.ndarray) -> np.ndarray:
+    """Whether a blank surely does not end at each byte."""
+    beyond = (data >= 0x80) & (data < 0xC0)
+    lead_1, lead_2 = np.roll(data, 1), np.roll(data, 2)
+    sure = _VISIBLE[data] | (beyond & ~_BLANK_LEADS[lead_1] & ~_BLANK_LEADS[lead_2])
+    sure[:2] &= data[:2] < 0x80
+    return sure
 
 
-def _only(lists: pa.LargeListArray, kept: np.ndarray) -> pa.LargeListArray:
-    sizes = np.diff(lists.offsets.to_numpy())
-    flat = lists.flatten().filter(pa.array(np.repeat(kept, sizes)))
-    return pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes * kept))), flat)
+def words_of(texts: Texts, apart: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the parts that can be encoded on their own: the texts, cut at each space that follows no blank.
+
+    A space after a character that shares its first byte with a blank stays uncut; that only makes a part longer.
+    """
+    data = texts.data
+    starts = np.zeros(len(data) + 1, bool)
+    starts[texts.bounds] = True
+    if apart:
+        starts[1:-1] |= (data[1:] == 32) & _sure_ends(data)[:-1]
+        last = texts.bounds[1:] - 1  # a last space alone would be no word that can be encoded
+        starts[last[(last >= 0) & ~np.isin(last, texts.bounds)]] = False
+    at = np.flatnonzero(starts)
+    return at[:-1], at[1:]
+
+
+def _encoded_words(side: Side, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words behind one another, and how many each has; some bytes at a time. A word that is not given back has none."""
+    ids, sizes, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+    through = np.cumsum([len(w) for w in words])
+    while at < len(words):
+        upto = max(at + 1, int(np.searchsorted(through, (through[at - 1] if at else 0) + ENCODED, "right")))
+        found = side.encode([w.decode() for w in words[at:upto]])
+        size = np.array([len(x) for x in found], np.int64)
+        ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())))
+        sizes.append(size)
+        at = upto
+    flat, size = np.concatenate(ids), np.concatenate(sizes)
+    joined = side.tokens.take(pa.array(flat))
+    if not len(joined):
+        return flat, size
+    edges = np.frombuffer(joined.buffers()[1], np.int64)[: len(joined) + 1][np.append(0, np.cumsum(size))].tolist()
+    data = memoryview(joined.buffers()[2]).cast("B")
+    same = np.array([data[x:y] == word for x, y, word in zip(edges, edges[1:], words, strict=False)], bool)
+    return flat[np.repeat(same, size)], size * same
+
+
+class Memory:
+    """Encoded words of a worker: their places, and the ids of both sides behind one another. A full memory starts anew."""
+
+    def __init__(self, sides: tuple[Side, Side]):
+        self.sides = sides
+        self.clear()
+
+    def clear(self) -> None:
+        self.places: dict[bytes, int] = {}
+        self.ids = [np.zeros(0, np.int32) for _ in self.sides]
+        self.sizes = [np.zeros(0, np.int64) for _ in self.sides]
+
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """Places of distinct words, of which the new ones are encoded."""
+        new = [w for w in words if w not in self.places]
+        if len(self.places) + len(new) > REMEMBERED:
+            self.clear()
+            new = words
+        for k, side in enumerate(self.sides):
+            ids, sizes = _encoded_words(side, new)
+            self.ids[k], self.sizes[k] = np.concatenate([self.ids[k], ids]), np.concatenate([self.sizes[k], sizes])
+        self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
+        return np.array([self.places[w] for w in words], np.int64)
+
+
+@lru_cache(maxsize=2)
+def _memory(byte_path: str, piece_path: str) -> Memory:
+    return Memory((byte_side(byte_path), piece_side(piece_path)))
+
+
+def encoded(texts: Texts, memory: Memory) -> tuple[pa.LargeListArray, pa.LargeListArray]:
+    """The ids of each text by both sides; none for a text that one of them does not give back.
+
+    Equal words of the texts are looked up once.
+    """
+    data, n = texts.data, len(texts)
+    starts, ends = words_of(texts, all(side.apart for side in memory.sides))
+    hashes, check = span_hash(data, starts, ends), span_hash(data, starts, ends, 1)
+    _, where, which = np.unique(hashes, return_index=True, return_inverse=True)
+    if (check != check[where][which]).any():  # two words share a hash: tell them apart by place
+        where = which = np.arange(len(starts))
+    raw = data.tobytes()
+    place = memory.find([raw[x:y] for x, y in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])[which]
+    owner = np.searchsorted(texts.bounds, starts, "right") - 1
+    bad = np.zeros(n, bool)
+    for sizes in memory.sizes:
+        bad[owner[sizes[place] == 0]] = True
+    kept = ~bad[owner]
+    place, owner = place[kept], owner[kept]
+    out = []
+    for ids, sizes in zip(memory.ids, memory.sizes, strict=True):
+        flat = ids[ranges((np.cumsum(sizes) - sizes)[place], sizes[place])]
+        counts = np.bincount(owner, sizes[place], n).astype(np.int64)
+        out.append(pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts))), pa.array(flat)))
+    return tuple(out)
 
 
 class Tokens(NamedTuple):
@@ -224,13 +341,10 @@ def group_digests(a: Tokens, b: Tokens, left: int, right: int, docs: int) -> lis
     return [hashlib.sha256(data[x:y]).hexdigest() if y > x else "" for x, y in zip(at, at[1:], strict=False)]
 
 
-def align_texts(texts: list[str | None], left: Side, right: Side) -> dict[str, pa.Array]:
+def align_texts(texts: Texts, memory: Memory) -> dict[str, pa.Array]:
     """The columns of each text, in order."""
-    a, b = encoded(left, texts), encoded(right, texts)
-    raw = [b" " + t.encode() if t else b"" for t in texts]
-    kept = _given_back(a, left, raw) & _given_back(b, right, raw)
-    if not kept.all():
-        a, b = _only(a, kept), _only(b, kept)
+    left, right = memory.sides
+    a, b = encoded(spaced(texts), memory)
     one, other = grouped(a, b, left, right)
     n = len(texts)
     pairs, links = linked_pairs(one, other, len(right.tokens), n)
@@ -250,12 +364,14 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right = byte_side(byte_path), piece_side(piece_path)
+        memory = _memory(byte_path, piece_path)
         first = TaskContext.get().partitionId() << 32
-        for number, piece in enumerate(pieces(batches, "text", chunk)):
-            columns = align_texts(piece.column("text").to_pylist(), left, right)
-            found = {"chunk": pa.array(np.full(piece.num_rows, first + number)), "key": piece.column("key"), **columns}
+        done = 0
+        for piece in pieces(batches, "text", min(chunk, PIECE)):
+            columns = align_texts(Texts.of(piece.column("text")), memory)
+            found = {"chunk": pa.array(np.full(piece.num_rows, first + done // chunk)), "key": piece.column("key"), **columns}
             yield pa.RecordBatch.from_pydict(found)
+            done += piece.column("text").nbytes
 
     texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     kind = texts.schema["key"].dataType.simpleString()

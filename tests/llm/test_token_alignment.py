@@ -5,6 +5,7 @@ from itertools import groupby
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -74,8 +75,8 @@ def run(spark, rows, chunk, parts=4):
 
 def texts():
     rng = random.Random(4)
-    parts = ["hello", " world", "the quick brown fox", "Straße", "été", "日本語", "😀", "  ", "\n\n", "\t", "0123456789", "aaaaaaaaaaaaaaaaaaa", "<|endoftext|>", "</s>", "<0x0A>", "▁", "ﬁ", " ", "é", "\x00", "'ll", "don't", "zq" * 30]
-    out = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(120)]
+    parts = ["hello", " world", "the quick brown fox", "Straße", "été", "日本語", "😀", "  ", "\n\n", "\t", "0123456789", "aaaaaaaaaaaaaaaaaaa", "<|endoftext|>", "</s>", "<0x0A>", "▁", "ﬁ", " ", "é", "\x00", "'ll", "don't", "zq" * 30, "x\n  y", "a\u00a0 b", "\u3000 c", "“q” ", "\u0085 ", "\u2003  z", " \u00a0", "¿ñ ", "ą ", "€ "]
+    out = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(300)]
     return [*out, None, "", " ", "x", "the " * 4000, "=-" * 3000, "Ж" * 2500, *["one text again and again"] * 15]
 
 
@@ -92,7 +93,8 @@ def test_large_groups_and_links_a_few_at_a_time(most):
     left, right = ta._side(None, [b"a" * 7, b"a"]), ta._side(None, [b"a" * 11, b"a", b"a" * 4])
     a = [[0] * 22, [0, 1], [], [0] * 10 + [1] * 7, [1] * 12 + [0] * 30]
     b = [[0] * 14, [2, 2], [], [0] * 7, [0] * 20 + [1, 1]]
-    one, other = ta.grouped(ta._lists(a), ta._lists(b), left, right)
+    lists = lambda ids: pa.array(ids, pa.large_list(pa.int32()))
+    one, other = ta.grouped(lists(a), lists(b), left, right)
     pairs, links = ta.linked_pairs(one, other, 3, len(a), most)
     for k in range(len(a)):
         want = Counter()
