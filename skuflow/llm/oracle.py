@@ -27,9 +27,11 @@ FROM kept
 """
 
 _TEMPLATES = ", ".join(
-    f"({n}, '{t.label}', string_split('{t.words}', ' '), string_split('{t.phrase}', ' '))" for n, t in enumerate(license_scan.TEMPLATES)
+    f"({n}, '{t.label}', string_split('{' '.join(t.words)}', ' '), string_split('{t.phrase}', ' '))" for n, t in enumerate(license_scan.TEMPLATES)
 )
 
+# Every template word is indexed. A file looks up the four rarest words of each template that it holds; where two of them agree
+# on a beginning and the phrase follows, the words at their places are counted.
 OP6 = rf"""
 WITH template(t, label, words, phrase) AS (VALUES {_TEMPLATES}),
 f AS (
@@ -37,19 +39,18 @@ f AS (
          list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words
   FROM documents
-), vocabulary AS (SELECT DISTINCT unnest(words) AS word FROM template),
-hit AS (
-  SELECT r, i - 1 AS pos, word FROM (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM f) JOIN vocabulary USING (word)
-), rare AS (
-  SELECT word, count(DISTINCT r) AS df FROM hit GROUP BY word HAVING df <= greatest((SELECT count(*) FROM documents) // {license_scan.RARE_PART}, {license_scan.RARE_LEAST})
-), looked_up AS (
-  SELECT r, word FROM (SELECT DISTINCT r, word, df FROM hit JOIN rare USING (word))
-  QUALIFY row_number() OVER (PARTITION BY r ORDER BY df, word) <= {license_scan.TOP}
 ), posting AS (
-  SELECT t, word, k - 1 AS p FROM (SELECT t, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM template) JOIN rare USING (word)
-), indexed AS (SELECT t, count(*) AS n FROM posting GROUP BY t),
-beginning AS (
-  SELECT DISTINCT r, t, pos - p AS b FROM looked_up JOIN hit USING (r, word) JOIN posting USING (word)
+  SELECT t, word, k - 1 AS p FROM (SELECT t, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM template)
+), hit AS (
+  SELECT r, i - 1 AS pos, word FROM (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM f)
+  SEMI JOIN posting USING (word)
+), frequency AS (
+  SELECT word, count(DISTINCT r) AS df FROM hit GROUP BY word
+), lookup AS (
+  SELECT r, t, word FROM (SELECT DISTINCT r, word FROM hit) JOIN (SELECT DISTINCT t, word FROM posting) USING (word) JOIN frequency USING (word)
+  QUALIFY row_number() OVER (PARTITION BY r, t ORDER BY df, word) <= 4
+), beginning AS (
+  SELECT r, t, pos - p AS b FROM lookup JOIN hit USING (r, word) JOIN posting USING (t, word) GROUP BY r, t, b HAVING count(DISTINCT word) >= 2
 ), phrase_at AS (
   SELECT t, label, phrase, min(k) - 1 AS q
   FROM (SELECT t, label, words, phrase, unnest(range(1, len(words) + 1)) AS k FROM template)
@@ -61,7 +62,7 @@ beginning AS (
   SELECT r, t, label, b, count(*) AS votes FROM verified JOIN posting USING (t) JOIN f USING (r)
   WHERE b + p >= 0 AND words[b + p + 1] = word GROUP BY r, t, label, b
 ), held AS (
-  SELECT r, label, max(votes) / any_value(n) AS score FROM agreed JOIN indexed USING (t) GROUP BY r, t, label HAVING max(votes) >= least(2, any_value(n))
+  SELECT r, label, max(votes) / any_value(len(words)) AS score FROM agreed JOIN template USING (t, label) GROUP BY r, t, label
 ), place AS (
   SELECT r, i - 1 AS w, CASE WHEN words[i:i + 1] = ['cc', 'by'] THEN 'cc-by'
                              WHEN words[i:i + 2] = ['general', 'public', 'license'] THEN 'gpl'
