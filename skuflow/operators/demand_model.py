@@ -1,89 +1,74 @@
-"""Gradient-boosted demand model (MLlib): training, evaluation, recursive forecast, storage."""
+"""Gradient-boosted demand model: training, evaluation, recursive forecast, storage."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skuflow.functions import fixed_values as fv
 from skuflow.functions.scalar import abc_weight, half_up, high_season
+from skuflow.operators import boosting
 from skuflow.operators.features import growth, last_rows, sku_features
 from skuflow.operators.forecast import (
-    MODEL_LABEL, clipped, cv_folds, cv_folds_by_row, evaluate, forecast_bands, forecast_fallback, holdout_split,
+    MODEL_LABEL, clipped, cv_folds, cv_folds_by_row, forecast_bands, forecast_fallback, holdout_split,
 )
+from skuflow.operators.profile import mape, rmse
 from skuflow.session import checkpointed, path_exists
 
 TREES = 300
-_NULLABLE = ("lag_3", "lag_6", "roll_mean_3", "roll_mean_6")
-# What stands for infinite growth, beside its flag; finite growth is kept as it is.
-_INFINITE_GROWTH = 1e6
-_MODEL_COLUMNS = [*fv.FEATURE_COLUMNS, *(f"{name}_missing" for name in _NULLABLE), "yoy_growth_infinite"]
+KEY = ["sku_id", "period"]
+_COLUMNS = list(fv.FEATURE_COLUMNS)
 
 
-def model_input(features: DataFrame) -> DataFrame:
-    """Features as MLlib takes them: 0 and a flag for a missing value, infinite growth as a number and a flag."""
-    columns: dict[str, Column] = {}
-    for name in _NULLABLE:
-        columns[f"{name}_missing"] = F.col(name).isNull().cast("double")
-        columns[name] = F.coalesce(F.col(name), F.lit(0.0))
-    infinite = F.abs("yoy_growth") == float("inf")
-    columns["yoy_growth_infinite"] = infinite.cast("double")
-    columns["yoy_growth"] = F.when(infinite, F.signum("yoy_growth") * _INFINITE_GROWTH).otherwise(F.col("yoy_growth"))
-    return features.withColumns(columns)
+def _settings(trees: int, seed: int) -> boosting.Settings:
+    return boosting.Settings(trees=trees, rate=0.05, depth=5, rows_share=0.8, columns_share=0.8, seed=seed)
 
 
-def train(features: DataFrame, trees: int = TREES, step: float = 0.05, depth: int = 5, seed: int = 42) -> PipelineModel:
-    """One model for all SKUs.
+def train(features: DataFrame, trees: int = TREES, seed: int = 42) -> DataFrame:
+    """The node table of one model for all SKUs. Missing and infinite features are kept as they are."""
+    return boosting.fit(features, KEY, "net_units", _COLUMNS, settings=_settings(trees, seed))
 
-    Training reads its rows several times, so they are written once; the shared folder also lets the
-    booster checkpoint between trees.
-    """
-    assembler = VectorAssembler(inputCols=_MODEL_COLUMNS, outputCol="features")
-    booster = GBTRegressor(
-        featuresCol="features", labelCol="net_units", predictionCol="prediction",
-        maxIter=trees, stepSize=step, maxDepth=depth, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed,
-    )
-    rows = checkpointed(model_input(features).select("net_units", *_MODEL_COLUMNS))
-    return Pipeline(stages=[assembler, booster]).fit(rows)
 
+def scorer(model: DataFrame) -> boosting.Scorer:
+    return boosting.Scorer.of(model, _COLUMNS)
 
-def predict(model: PipelineModel, features: DataFrame) -> DataFrame:
+
+def predict(model: DataFrame | boosting.Scorer, features: DataFrame) -> DataFrame:
     """``features`` with ``prediction``, not below 0."""
-    predicted = model.transform(model_input(features)).drop("features")
-    return predicted.withColumn("prediction", clipped(F.col("prediction")))
+    return _raw_predictions(model, features).withColumn("prediction", clipped(F.col("prediction")))
 
 
-def _raw_predictions(model: PipelineModel, features: DataFrame) -> DataFrame:
-    return model.transform(model_input(features)).drop("features")
+def _raw_predictions(model: DataFrame | boosting.Scorer, features: DataFrame, number: Column | None = None) -> DataFrame:
+    return boosting.predict(scorer(model) if isinstance(model, DataFrame) else model, features, _COLUMNS, number)
 
 
-def cv_train(features: DataFrame, trees: int = TREES, folds: int = 3, by: str = "period", seed: int = 42) -> DataFrame:
-    """Row count, RMSE and MAPE of every expanding fold, and their mean as fold 0."""
+def train_folds(features: DataFrame, trees: int = TREES, folds: int = 3, by: str = "period", seed: int = 42, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The models of every expanding fold, all from the same passes, and the fold scores as in ``cv_train``.
+
+    Fold n is model n; with ``whole``, model 0 is that of all rows, trained in the same passes.
+    """
     if by not in ("period", "row"):
         raise ValueError(f"unknown split: {by}")
-    split = cv_folds(features, folds) if by == "period" else cv_folds_by_row(features, folds)
-    split = checkpointed(split)
-
-    def score(fold: int) -> DataFrame:
-        rows = split.where(F.col("fold") == fold)
-        model = train(rows.where(F.col("part") == "train"), trees, seed=seed)
-        return evaluate(_raw_predictions(model, rows.where(F.col("part") == "test"))).withColumn("fold", F.lit(fold))
-
-    # The folds don't need each other: their fits run at the same time and share the executors.
-    with ThreadPool(folds) as pool:
-        parts = pool.map(inheritable_thread_target(features.sparkSession)(score), range(1, folds + 1))
-    scores = checkpointed(reduce(DataFrame.unionByName, parts))
+    split = checkpointed(cv_folds(features, folds) if by == "period" else cv_folds_by_row(features, folds))
+    rows = split.where(F.col("part") == "train").select("fold", *KEY, "net_units", *_COLUMNS)
+    if whole:
+        rows = rows.unionByName(features.select(F.lit(0).alias("fold"), *KEY, "net_units", *_COLUMNS))
+    models = boosting.fit(rows, KEY, "net_units", _COLUMNS, F.col("fold"), _settings(trees, seed))
+    tested = _raw_predictions(models, split.where(F.col("part") == "test"), F.col("fold"))
+    actual, predicted = F.col("net_units"), F.col("prediction")
+    scores = checkpointed(tested.groupBy("fold").agg(
+        F.count("*").alias("row_count"), rmse(actual, predicted).alias("rmse"), mape(actual, predicted).alias("mape")
+    ))
     mean = scores.agg(
         F.sum("row_count").alias("row_count"), F.avg("rmse").alias("rmse"), F.avg("mape").alias("mape")
     ).withColumn("fold", F.lit(0))
-    return scores.unionByName(mean).select("fold", "row_count", "rmse", "mape")
+    return models, scores.unionByName(mean).select("fold", "row_count", "rmse", "mape")
+
+
+def cv_train(features: DataFrame, trees: int = TREES, folds: int = 3, by: str = "period", seed: int = 42) -> DataFrame:
+    """Row count, RMSE and MAPE of every expanding fold, and their mean as fold 0."""
+    return train_folds(features, trees, folds, by, seed)[1]
 
 
 def holdout_predictions(features: DataFrame, months: int = 3, trees: int = TREES, seed: int = 42) -> DataFrame:
@@ -93,14 +78,13 @@ def holdout_predictions(features: DataFrame, months: int = 3, trees: int = TREES
     return _raw_predictions(model, split.where(F.col("part") == "test"))
 
 
-def feature_importance(model: PipelineModel) -> list[tuple[str, float]]:
+def feature_importance(model: DataFrame) -> list[tuple[str, float]]:
     """(feature, importance), highest first; the list is as long as the fixed feature list."""
-    values = model.stages[-1].featureImportances.toArray()
-    return sorted(zip(_MODEL_COLUMNS, map(float, values)), key=lambda item: (-item[1], item[0]))
+    return boosting.importances(model, _COLUMNS)
 
 
 def forecast_model(
-    model: PipelineModel, demand: DataFrame, horizon: int = 3, roll: str = "lag1"
+    model: DataFrame, demand: DataFrame, horizon: int = 3, roll: str = "lag1"
 ) -> DataFrame:
     """Recursive forecast of every SKU, one row per month ahead.
 
@@ -114,6 +98,7 @@ def forecast_model(
     if not low <= horizon <= high:
         raise ValueError(f"horizon must be {low} to {high}")
     spread = demand.groupBy("sku_id").agg(F.stddev_pop("net_units").alias("std"))
+    model = scorer(model)
     if roll == "lag1":
         state = _last_features(demand).join(spread, "sku_id")
         points = _roll_lag1(model, state, horizon)
@@ -139,26 +124,19 @@ def _long(state: DataFrame, horizon: int) -> DataFrame:
     return state.select("sku_id", "std", F.inline(points))
 
 
-def _roll_lag1(model: PipelineModel, state: DataFrame, horizon: int) -> DataFrame:
+def _roll_lag1(model: boosting.Scorer, state: DataFrame, horizon: int) -> DataFrame:
     for month in range(1, horizon + 1):
         state = predict(model, state).withColumn(f"point_{month}", F.col("prediction"))
         state = state.withColumn("lag_1", F.col("prediction")).drop("prediction")
-        state = _without_model_flags(state)
     return _long(state, horizon)
 
 
-def _without_model_flags(state: DataFrame) -> DataFrame:
-    """Back to null for missing values, so that the next step flags them again."""
-    restored = {name: F.when(F.col(f"{name}_missing") == 0, F.col(name)) for name in _NULLABLE}
-    return state.withColumns(restored).drop(*[f"{name}_missing" for name in _NULLABLE])
-
-
 def _total(months: int, of: Callable[[Column], Column] = lambda x: x) -> Column:
     """Sum over the newest ``months`` values of ``history``."""
     return F.aggregate(F.slice("history", 1, months), F.lit(0.0), lambda total, x: total + of(x))
 
 
-def _roll_full(model: PipelineModel, demand: DataFrame, spread: DataFrame, horizon: int) -> DataFrame:
+def _roll_full(model: boosting.Scorer, demand: DataFrame, spread: DataFrame, horizon: int) -> DataFrame:
     # The newest 13 values of a SKU are all that its features look back on.
     recent = last_rows(demand.select("sku_id", "period", "net_units", "abc_class"), 13)
     state = recent.groupBy("sku_id").agg(
@@ -186,14 +164,14 @@ def _roll_full(model: PipelineModel, demand: DataFrame, spread: DataFrame, horiz
         )
         state = predict(model, state).withColumn(f"point_{month}", F.col("prediction"))
         state = state.withColumn("history", F.slice(F.concat(F.array("prediction"), "history"), 1, 13))
-        state = _without_model_flags(state.drop("prediction"))
+        state = state.drop("prediction")
     return _long(state, horizon)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: DataFrame, path: str) -> None:
+    model.write.mode("overwrite").parquet(path)
 
 
-def load_model(path: str) -> PipelineModel | None:
+def load_model(path: str, spark: SparkSession) -> DataFrame | None:
     """The saved model, or ``None`` when nothing is stored at the path; a damaged model is an error."""
-    return PipelineModel.load(path) if path_exists(path) else None
+    return spark.read.schema(boosting.NODE_SCHEMA).parquet(path) if path_exists(path) else None

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skuflow.functions import fixed_values as fv
@@ -847,17 +846,13 @@ def q_actual_vs_pred(spark: SparkSession, folder: str) -> DataFrame:
     return shown(rows, "sku_id", "period", "net_units", "prediction", prediction=4)
 
 
-def _training(spark: SparkSession, folder: str) -> str:
-    """Where the training job has stored its features, folds, models and runs; it runs once per application."""
+def _model(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of the model of all rows; trained once, stored and loaded."""
 
     def train(path: str) -> None:
-        training.train_models(spark, src.demand_history(spark, folder), path)
+        demand_model.save_model(demand_model.train(checkpointed(_features(spark, folder))), path)
 
-    return shared.stored_folder(spark, folder, "training", train)
-
-
-def _model(spark: SparkSession, folder: str) -> PipelineModel:
-    return demand_model.load_model(f"{_training(spark, folder)}/demand_model")
+    return demand_model.load_model(shared.stored_folder(spark, folder, "demand-model", train), spark)
 
 
 @query
@@ -868,19 +863,21 @@ def q_train_demand(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def q_cv_train(spark: SparkSession, folder: str) -> DataFrame:
-    return shown(spark.read.parquet(f"{_training(spark, folder)}/folds"), rmse=4, mape=4)
+    return shown(demand_model.cv_train(checkpointed(_features(spark, folder))), rmse=4, mape=4)
 
 
 @query
 def q_holdout_eval(spark: SparkSession, folder: str) -> DataFrame:
-    rows = demand_model.holdout_predictions(_features(spark, folder))
+    rows = demand_model.holdout_predictions(checkpointed(_features(spark, folder)))
     return shown(forecast.evaluate(rows), rmse=4, mape=4)
 
 
 @query
 def q_train_models(spark: SparkSession, folder: str) -> DataFrame:
     """The whole training job; its run table."""
-    runs = spark.read.parquet(f"{_training(spark, folder)}/runs")
+    path = scratch_path(spark, "training")
+    training.train_models(spark, src.demand_history(spark, folder), path)
+    runs = spark.read.parquet(f"{path}/runs")
     return runs.select("run", F.explode("metrics").alias("metric", "value"))
 
 

@@ -116,12 +116,12 @@ def test_model_forecast_bounds_the_horizon(demand, model, horizon):
         demand_model.forecast_model(model, demand, horizon)
 
 
-def test_model_save_and_load(demand, model, tmp_path):
+def test_model_save_and_load(spark, demand, model, tmp_path):
     path = str(tmp_path / "model")
-    assert demand_model.load_model(path) is None
+    assert demand_model.load_model(path, spark) is None
     demand_model.save_model(model, path)
     table = features.sku_features(demand)
-    again = demand_model.predict(demand_model.load_model(path), table)
+    again = demand_model.predict(demand_model.load_model(path, spark), table)
     assert again.agg(F.sum("prediction")).first()[0] == pytest.approx(
         demand_model.predict(model, table).agg(F.sum("prediction")).first()[0]
     )
@@ -195,7 +195,7 @@ def test_training_job(spark, demand, tmp_path):
     metrics = {k: v for r in spark.read.parquet(str(tmp_path / "runs")).collect() for k, v in r.metrics.items()}
     assert set(metrics) == {"cv_rmse", "cv_mape", "flagged_share"}
     assert metrics["flagged_share"] == pytest.approx(0.05, abs=0.002)
-    assert demand_model.load_model(str(tmp_path / "demand_model")) is not None
+    assert demand_model.load_model(str(tmp_path / "demand_model"), spark) is not None
 
 
 def test_answers_with_trained_models(spark, demand, model):
