@@ -135,6 +135,11 @@ SELECT CASE doc_id % 4 WHEN 0 THEN printf('PO_%06d.pdf', doc_id) WHEN 1 THEN pri
        0 AS page, text, doc_id
 FROM documents
 """,
+    "fx_binders": """
+SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS page, text, bool_or(doc_id % 97 = 0) OVER (PARTITION BY source) AS spoiled
+FROM (SELECT regexp_extract(source, '^([^0-9]+)', 1) || printf('%05d', CAST(floor(doc_id / 40) AS BIGINT)) || '.txt' AS source, doc_id, translate(text, chr(12), ' ') AS text FROM fx_pages)
+""",
+    "fx_whole_binders": "SELECT source, page, text FROM fx_binders WHERE NOT spoiled",
     "fx_questions": """
 SELECT printf('Q%08d-%04d', conv_id, turn) AS query_id, text AS question FROM conversations WHERE role = 'user'
 """,
@@ -293,6 +298,7 @@ UNION ALL
 SELECT sku_id, item_name, alert_type, severity, NULL, NULL, NULL, message, anomaly_score, period FROM anomaly_board
 """,
     "cleaned": _cleaned("fx_pages"),
+    "cleaned_binders": _cleaned("fx_whole_binders"),
     "chunks": _chunk("cleaned"),
     "collected": """
 SELECT *, CASE WHEN doc_type = 'PO' THEN 'purchase_orders' ELSE 'supplier_catalogs' END AS collection FROM chunks
@@ -480,7 +486,9 @@ _BODIES = {
     "scan_supplier_directory": "SELECT * FROM fx_directory",
     "scan_purchase_orders": "SELECT po_number, CAST(po_date AS VARCHAR) AS po_date, supplier_id, sku_id, qty_ordered, rate_per_unit AS rate_per_unit_inr FROM fx_po",
     "scan_sales_invoices": "SELECT 'INV-' || o_orderkey AS invoice_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS invoice_date, CAST(o_custkey AS VARCHAR) AS customer_id, o_orderstatus AS status, o_totalprice AS total_inr FROM orders",
-    "scan_documents": "SELECT source, page, length(text) AS n_chars, md5(text) AS text_md5 FROM cleaned",
+    "scan_documents": """
+SELECT source, page, length(text) AS n_chars, md5(text) AS text_md5, CAST(NULL AS VARCHAR) AS reason FROM cleaned_binders
+UNION ALL SELECT DISTINCT source, NULL, NULL, NULL, 'not UTF-8 text' FROM fx_binders WHERE spoiled""",
     "explode_catalog": """
 SELECT DISTINCT printf('SUP-%05d', l_suppkey) AS supplier_id, CAST(floor(l_partkey / 50) AS BIGINT) AS catalog_no,
        printf('SKU-%06d', l_partkey) AS sku, p_name AS name, p_size * 10 AS moq, p_retailprice AS price, 'Pcs' AS unit

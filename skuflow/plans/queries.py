@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from skuflow.functions import fixed_values as fv
 from skuflow.functions.scalar import abc_weight, half_up, high_season, number_text, signed_text
 from skuflow.operators import anomaly, demand_model, documents, features, forecast, intents, inventory, isolation_forest
-from skuflow.operators import arima, near_duplicates, profile, resample, retrieval, suppliers
+from skuflow.operators import arima, near_duplicates, nearest_index, profile, resample, retrieval, suppliers
 from skuflow.plans import alerts as board, answers, ingest as ingestion, shared, training
 from skuflow.session import checkpointed, scratch_path
 from skuflow.sources import readers, sinks, tables as src
@@ -117,10 +117,24 @@ def q_scan_sales_invoices(spark: SparkSession, folder: str) -> DataFrame:
     return shown(readers.read_sales_invoices(spark, _csv(spark, rows, "invoices")))
 
 
+def _binders(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages bound into files of up to forty neighbouring numbers; bytes that are no UTF-8 spoil every 97th page."""
+    number = F.regexp_extract("source", r"(\d+)", 1).cast("int")
+    binder = F.concat(F.regexp_extract("source", r"^(\D+)", 1), F.format_string("%05d", F.floor(number / 40)), F.lit(".txt"))
+    whole = F.translate("text", "\f", " ")
+    spoiled = F.when(number % 97 == 0, F.concat(F.coalesce(whole, F.lit("")).cast("binary"), F.unhex(F.lit("FFFE"))).cast("string"))
+    return src.pages(spark, folder).select(binder.alias("source"), number.alias("page"), F.coalesce(spoiled, whole).alias("text"))
+
+
 @query
 def q_scan_documents(spark: SparkSession, folder: str) -> DataFrame:
-    rows = documents.clean_pages(src.pages(spark, folder))
-    return rows.select("source", "page", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+    """The pages written as a folder of files and read back; a file that can't be read is one rejected row."""
+    path = scratch_path(spark, "documents")
+    sinks.save_documents(_binders(spark, folder), path)
+    pages, rejects = readers.read_documents(spark, path)
+    rows = documents.clean_pages(pages).select("source", "page", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"), F.lit(None).cast("string").alias("reason"))
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("page", "int"), ("n_chars", "int"), ("text_md5", "string"))]
+    return rows.unionByName(rejects.select("source", *nothing, "reason"))
 
 
 @query
@@ -701,6 +715,15 @@ def q_knn_join(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.knn_join(*_vectors(spark, folder))
 
 
+@query
+def q_knn_approximate(spark: SparkSession, folder: str) -> DataFrame:
+    """Neighbours of every vector from an index by random projections."""
+    path = scratch_path(spark, "vector-index")
+    queries, corpus = _vectors(spark, folder)
+    nearest_index.build_index(corpus, path)
+    return nearest_index.approximate_neighbours(queries, spark, path)
+
+
 @query
 def q_filtered_knn(spark: SparkSession, folder: str) -> DataFrame:
     """Neighbours of every vector among those with its own label."""

@@ -61,19 +61,24 @@ def sku_list(text: Column) -> Column:
     return F.filter(F.split(text, r";\s*"), lambda code: F.trim(code) != "")
 
 
+def _source_of(path: Column) -> Column:
+    folder = F.regexp_extract(path, "/source=([^/]+)/[^/]*$", 1)
+    return F.when(folder != "", folder).otherwise(F.element_at(F.split(path, "/"), -1))
+
+
 def read_documents(
     spark: SparkSession, directory: str, extension: str = ".txt", page_break: str = "\f"
 ) -> tuple[DataFrame, DataFrame]:
     """Text files of a folder as ``(pages, rejects)``.
 
-    One page per form feed. A file whose bytes are not UTF-8 goes to ``rejects`` and the others are
+    One page per form feed. The source is a file's name, or that of its folder where ``sinks.save_documents`` wrote it. A file whose bytes are not UTF-8 goes to ``rejects`` and the others are
     kept; a folder without matching files raises ``FileNotFoundError``.
     """
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", f"*{extension}")
         .load(directory)
-        .select(F.element_at(F.split("path", "/"), -1).alias("source"), "path", "content")
+        .select(_source_of(F.col("path")).alias("source"), "path", "content")
     )
     if files.select("path").isEmpty():
         raise FileNotFoundError(f"no {extension} files in {directory}")
