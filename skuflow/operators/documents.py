@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skuflow.functions import fixed_values as fv
+from skuflow.session import compute_partitions
 
 def clean_text(text: Column) -> Column:
     """Three or more newlines become two, runs of spaces one, and the ends are trimmed."""
@@ -156,30 +157,28 @@ def shingle_hashes(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(shingle_array(text), lambda s: F.xxhash64(s))))
 
 
-def _minhash_factors(permutations: int) -> tuple[np.ndarray, np.ndarray]:
-    draw = np.random.default_rng(1)
-    odd = draw.integers(0, 2 ** 63, permutations, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return odd, draw.integers(0, 2 ** 63, permutations, dtype=np.uint64)
+#: Values of the hash functions are below this prime; products of two fit 62 bits.
+MINHASH_PRIME = 2**31 - 1
 
 
-def minhash_signature(chunks: DataFrame, permutations: int = fv.MINHASH_PERMUTATIONS) -> DataFrame:
-    """``signature``: the smallest value of each of ``permutations`` hash functions over the shingles."""
-    factor, shift = _minhash_factors(permutations)
-
-    @F.pandas_udf("array<long>")
-    def signature(hashes: pd.Series) -> pd.Series:
-        return hashes.map(lambda values: _smallest(values.astype(np.uint64), factor, shift).astype(np.int64))
+def minhash_factors(permutations: int) -> list[tuple[int, int]]:
+    """(factor, shift) of each hash function x → (factor · x + shift) mod the prime: powers of a generator."""
+    return [(pow(48271, 2 * k + 1, MINHASH_PRIME), pow(48271, 2 * k + 2, MINHASH_PRIME)) for k in range(permutations)]
 
-    return chunks.withColumn("signature", signature(shingle_hashes(F.col("text"))))
 
+def shingle_number(shingle: Column) -> Column:
+    """A shingle as a number below the prime, from its MD5, alike on every engine."""
+    return F.conv(F.substring(F.md5(shingle), 1, 8), 16, 10).cast("long") % MINHASH_PRIME
 
-def _smallest(values: np.ndarray, factor: np.ndarray, shift: np.ndarray, block: int = 4096) -> np.ndarray:
-    """Smallest mixed value per hash function; blocks keep the work small for very long texts."""
-    parts = [_mixed(values[at:at + block], factor, shift).min(axis=0) for at in range(0, len(values), block)]
-    return np.minimum.reduce(parts)
 
+def minhash_signature(chunks: DataFrame, permutations: int = fv.MINHASH_PERMUTATIONS) -> DataFrame:
+    """(chunk_id, signature): the smallest value of each of ``permutations`` hash functions over a chunk's shingles.
 
-def _mixed(values: np.ndarray, factor: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    mixed = values[:, None] * factor[None, :] + shift[None, :]
-    mixed ^= mixed >> np.uint64(29)
-    return (mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
+    One aggregate over the shingles; minima combine before the shuffle. Cutting shingles is dearer than moving texts, so the
+    chunks are dealt out to all cores first.
+    """
+    dealt = chunks.select("chunk_id", "text").repartition(compute_partitions(chunks.sparkSession), "chunk_id")
+    numbers = shingle_rows(dealt).select("chunk_id", shingle_number(F.col("shingle")).alias("x"))
+    least = [F.min((F.col("x") * a + b) % MINHASH_PRIME).alias(f"h{k}") for k, (a, b) in enumerate(minhash_factors(permutations))]
+    signed = numbers.groupBy("chunk_id").agg(*least)
+    return signed.select("chunk_id", F.array(*[f"h{k}" for k in range(permutations)]).alias("signature"))

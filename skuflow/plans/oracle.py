@@ -82,6 +82,9 @@ SHINGLES = (
     "lambda i: array_to_string(words[i:i + 3], ' ')))"
 )
 
+_PRIME = 2147483647
+_HASHES = range(fv.MINHASH_PERMUTATIONS)
+
 VIEWS = {
     "fx_demand": f"""
 SELECT printf('SKU-%06d', p_partkey) AS sku_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS period,
@@ -306,6 +309,13 @@ SELECT *, CASE WHEN doc_type = 'PO' THEN 'purchase_orders' ELSE 'supplier_catalo
     "shingle_sets": f"""
 SELECT chunk_id, source, page, chunk_index, {SHINGLES} AS shingles
 FROM (SELECT *, regexp_split_to_array(trim(lower(text), {TRIMMED}), '[{fv.BLANKS}]+') AS words FROM chunks)
+""",
+    "minhash_values": f"""
+SELECT chunk_id, k, min((x * a + b) % {_PRIME}) AS h
+FROM (SELECT chunk_id, CAST('0x' || substr(md5(unnest(shingles)), 1, 8) AS BIGINT) % {_PRIME} AS x FROM shingle_sets),
+     (SELECT unnest({[pow(48271, 2 * k + 1, _PRIME) for k in _HASHES]}::BIGINT[]) AS a,
+             unnest({[pow(48271, 2 * k + 2, _PRIME) for k in _HASHES]}::BIGINT[]) AS b, unnest(range({len(_HASHES)})) AS k)
+GROUP BY chunk_id, k
 """,
     # Chunks with one shingle set are one content, named by its first chunk.
     "content_keys": """
@@ -594,6 +604,7 @@ FROM fx_inventory""",
     "chunk_documents": "SELECT chunk_id, chunk_index, doc_type, length(text) AS n_chars, md5(text) AS text_md5 FROM chunks",
     "chunk_id": "SELECT chunk_id, source, page, chunk_index, collection FROM collected",
     "chunk_id_dedup": "SELECT chunk_id, chunk_index, md5(text) AS text_md5 FROM chunks",
+    "minhash_signature": "SELECT chunk_id, CAST(count(*) AS INT) AS width, md5(string_agg(CAST(h AS VARCHAR), ',' ORDER BY k)) AS signature_md5 FROM minhash_values GROUP BY chunk_id",
     "shingles": "SELECT chunk_id, md5(unnest(shingles)) AS shingle_md5 FROM shingle_sets",
     "near_dup_pairs": """
 SELECT m.chunk_id, coalesce(p.chunk_id, c.chunk_id) AS match_id, coalesce(f.shared, m.size) AS shared, coalesce(f.united, m.size) AS united
