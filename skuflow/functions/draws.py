@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, functions as F
@@ -11,13 +12,19 @@ _SPAN = float(2 ** 52)
 
 def uniform(seed: int, row_id: Column, purpose: str) -> Column:
     """A number in the open interval (0, 1) from an MD5 hash, alike on every engine."""
-    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), F.lit(purpose), row_id.cast("string")))
+    return uniform_of(seed, F.lit(purpose), row_id.cast("string"))
+
+
+def uniform_of(seed: int, *parts: Column) -> Column:
+    """A number in (0, 1) from the MD5 hash of the seed and texts, joined by slashes."""
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), *parts))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(_SPAN)
 
 
-def hash_share(seed: int, *keys: Column) -> Column:
-    """A number in [0, 1) from a fast hash, to pick rows of large tables."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 12).cast("double") / F.lit(_SPAN)
+def uniform_number(seed: int, *parts: object) -> float:
+    """What ``uniform_of`` gives for these parts as texts."""
+    digest = hashlib.md5("/".join(map(str, (seed, *parts))).encode()).hexdigest()
+    return (int(digest[:13], 16) + 0.5) / _SPAN
 
 
 def normal(seed: int, row_id: Column, purpose: str, mean: float = 0.0, std: float = 1.0) -> Column:

@@ -829,6 +829,77 @@ SELECT *, {r('subtotal + gst', 2)} AS total FROM (
                    {r('price_low + ' + _share('price', 'row_id') + ' * (price_high - price_low)', 2)} AS unit_price
             FROM ({_drawn('fx_offers', 'supplier_id, sku_id', 'SELECT count(*) FROM fx_po')})))))"""
 
+# The isolation forest, grown level by level: 200 trees of 256 rows, at most eight levels.
+_TREES, _LEVELS = 200, 8
+_X = [r(name, 6) for name in ("net_units", "lag_1", "roll_mean_3", "roll_std_3", "is_high_season")]
+_SPLIT = "((CAST('0x' || substring(md5('42/{purpose}/' || tree || '/' || node), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+_PATH = "CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} <= 2 THEN 1.0 ELSE 2.0 * (ln({n} - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2.0 * ({n} - 1.0::DOUBLE) / {n} END"
+VIEWS["forest_rows"] = f"SELECT *, sku_id || '/' || CAST(period AS VARCHAR) AS key, [{', '.join(f'CAST({x} AS DOUBLE)' for x in _X)}] AS x FROM arows"
+VIEWS["forest_share"] = f"""
+SELECT share, greatest(1, least({_TREES}, CAST(floor(1.0::DOUBLE / share) AS BIGINT))) AS per_draw
+FROM (SELECT least(1.0::DOUBLE, 384.0::DOUBLE / greatest(count(*), 1)) AS share FROM forest_rows)"""
+VIEWS["forest_draws"] = """
+SELECT key, x, number, (CAST('0x' || substring(md5('42/sample/' || number || '/' || key), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u, share, per_draw
+FROM (SELECT key, x, share, per_draw, unnest(range(CAST(ceil(200.0::DOUBLE / per_draw) AS BIGINT))) AS number FROM forest_rows CROSS JOIN forest_share)"""
+VIEWS["forest_sample"] = f"""
+SELECT tree, x, CAST(greatest(1, ceil(log2(greatest(2, count(*) OVER (PARTITION BY tree))))) AS INT) AS most FROM (
+  SELECT CAST(number * per_draw + floor(u / share) AS INT) AS tree, x,
+         row_number() OVER (PARTITION BY number * per_draw + floor(u / share) ORDER BY u - floor(u / share) * share, key) AS place
+  FROM forest_draws WHERE floor(u / share) < per_draw AND number * per_draw + floor(u / share) < {_TREES}
+) WHERE place <= 256"""
+VIEWS["level_0"] = "SELECT tree, 0 AS node, x, most FROM forest_sample"
+for _level in range(_LEVELS + 1):
+    _limits = ", ".join(f"min(x[{k}]) AS l{k}, max(x[{k}]) AS h{k}" for k in range(1, 6))
+    VIEWS[f"nodes_{_level}"] = f"""
+SELECT tree, node, feature, CASE WHEN feature < 0 THEN 0.0 ELSE low[feature + 1] + {_SPLIT.format(purpose='threshold')} * (high[feature + 1] - low[feature + 1]) END AS threshold, row_count
+FROM (SELECT *, CASE WHEN {_level} >= most OR row_count <= 1 OR len(varying) = 0 THEN -1
+                     ELSE varying[CAST(floor({_SPLIT.format(purpose='feature')} * len(varying)) AS BIGINT) + 1] END AS feature
+      FROM (SELECT *, list_filter([0, 1, 2, 3, 4], lambda i: high[i + 1] > low[i + 1]) AS varying
+            FROM (SELECT tree, node, most, row_count, [l1, l2, l3, l4, l5] AS low, [h1, h2, h3, h4, h5] AS high
+                  FROM (SELECT tree, node, any_value(most) AS most, count(*) AS row_count, {_limits} FROM level_{_level} GROUP BY tree, node))))"""
+    VIEWS[f"level_{_level + 1}"] = f"""
+SELECT a.tree, 2 * a.node + CASE WHEN x[feature + 1] <= threshold THEN 1 ELSE 2 END AS node, x, most
+FROM level_{_level} a JOIN nodes_{_level} n ON n.tree = a.tree AND n.node = a.node WHERE feature >= 0"""
+VIEWS["forest_nodes"] = " UNION ALL ".join(f"SELECT *, {level} AS depth FROM nodes_{level}" for level in range(_LEVELS + 1))
+_WALK = " ".join(
+    f"LEFT JOIN forest_paths n{k} ON n{k}.tree = n{k - 1}.tree AND n{k}.node = CASE WHEN n{k - 1}.feature >= 0 THEN 2 * n{k - 1}.node + CASE WHEN x[n{k - 1}.feature + 1] <= n{k - 1}.threshold THEN 1 ELSE 2 END END"
+    for k in range(1, _LEVELS + 1)
+)
+VIEWS["forest_paths"] = f"SELECT tree, node, feature, threshold, depth + {_PATH.format(n='row_count')} AS path, row_count FROM forest_nodes"
+VIEWS["forest_normal"] = f"SELECT {_PATH.format(n='n')} AS normal FROM (SELECT avg(row_count) AS n FROM forest_paths WHERE node = 0)"
+VIEWS["forest_raw"] = f"""
+SELECT key, {r(f'-pow(2.0::DOUBLE, -(sum(path) / {_TREES}.0::DOUBLE) / any_value(normal))', 9)} AS raw_score
+FROM (SELECT key, coalesce({', '.join(f'n{k}.path' for k in range(_LEVELS, -1, -1))}) AS path
+      FROM forest_rows JOIN forest_paths n0 ON n0.node = 0 {_WALK}) CROSS JOIN forest_normal GROUP BY key"""
+VIEWS["forest_scored"] = """
+SELECT a.* EXCLUDE (key, x), raw_score - least_score AS anomaly_score, raw_score - least_score < 0 AS is_anomaly
+FROM forest_rows a JOIN forest_raw USING (key), (SELECT quantile_cont(raw_score, 0.05) AS least_score FROM forest_raw)"""
+
+
+def _of_forest(text: str) -> str:
+    """A query of z-scores with the scores of the forest."""
+    for name, other in (("rounded_scores", "forest_scored"), ("scored", "forest_scored"), ("flagged", "forest_flagged"), ("anomaly_board", "forest_anomaly_board"), ("board", "forest_board")):
+        text = re.sub(rf"(FROM|JOIN) {name}\b", rf"\1 {other}", text)
+    return text
+
+
+VIEWS["forest_flagged"] = _of_forest(VIEWS["flagged"])
+VIEWS["forest_anomaly_board"] = _of_forest(VIEWS["anomaly_board"])
+VIEWS["forest_board"] = _of_forest(VIEWS["board"])
+_BODIES["iforest_fit"] = """
+SELECT tree, CAST(node AS INT) AS node, CAST(feature AS INT) AS feature, floor(threshold * 1e4 + 0.5) / 1e4 AS threshold,
+       CAST(CASE WHEN feature < 0 THEN -1 ELSE 2 * node + 1 END AS INT) AS left_node, CAST(CASE WHEN feature < 0 THEN -1 ELSE 2 * node + 2 END AS INT) AS right_node,
+       CAST(depth AS INT) AS depth, row_count FROM forest_nodes"""
+_BODIES["sink_model"] = "SELECT tree, count(*) AS node_count, CAST(max(depth) AS INT) AS depth, max(row_count) AS row_count FROM forest_nodes GROUP BY tree"
+_BODIES["iforest_score"] = f"SELECT sku_id, {_P}, {r('anomaly_score', 6)} AS anomaly_score, is_anomaly FROM forest_scored"
+_BODIES["iforest_anomalies"] = f"SELECT sku_id, product_name, {_P}, net_units, {r('roll_mean_3', 4)} AS roll_mean_3, {r('anomaly_score', 6)} AS anomaly_score FROM forest_flagged"
+_BODIES["forest_alerts"] = _of_forest(_BODIES["alerts"])
+_BODIES["forest_anomaly_alerts"] = "SELECT * FROM (" + VIEWS["forest_anomaly_board"].replace(" ORDER BY sku_id, period LIMIT 10", "") + ")"
+_BODIES["forest_contamination_sweep"] = _of_forest(_BODIES["contamination_sweep"])
+_BODIES["forest_score_histogram"] = _of_forest(_BODIES["score_histogram"])
+_BODIES["forest_top_anomalies"] = f"SELECT sku_id, product_name, {_P}, net_units, {r('roll_mean_3', 4)} AS roll_mean_3, {r('anomaly_score', 6)} AS anomaly_score FROM (SELECT * FROM forest_flagged ORDER BY anomaly_score, sku_id, period LIMIT 10)"
+_BODIES["forest_per_sku"] = f"SELECT sku_id, count(*) AS months, count(*) FILTER (is_anomaly) AS flagged, {r('min(anomaly_score)', 6)} AS lowest FROM forest_scored GROUP BY sku_id"
+
 ORACLE = {name: sql(body) for name, body in _BODIES.items() if body is not None}
 _KEPT = f"""
 SELECT chunk_id FROM members WHERE ord = content_ord AND ord NOT IN ({_DROPPED})"""

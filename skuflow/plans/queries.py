@@ -967,7 +967,8 @@ def q_anomaly_overlay(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def q_iforest_fit(spark: SparkSession, folder: str) -> DataFrame:
-    return isolation_forest.fit_forest(anomaly.anomaly_features(_features(spark, folder)), ["sku_id", "period"])
+    nodes = isolation_forest.fit_forest(anomaly.anomaly_features(_features(spark, folder)), ["sku_id", "period"])
+    return shown(nodes, threshold=4)
 
 
 def _forest(spark: SparkSession, folder: str) -> DataFrame:
