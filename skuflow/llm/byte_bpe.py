@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from skuflow.llm.text_arrays import Texts, mix, pieces, span_hash
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
-#: Results of merges that a Python worker keeps.
-MEMORY = 200_000
+#: Results of merges that a Python worker keeps, and bytes that it decodes at a time.
+MEMORY, DECODED = 200_000, 4 << 20
 _CODE_POINTS = 0x110000
 
 
@@ -248,20 +248,25 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", byt
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                lists = part.column(ids_col).fill_null([]) if part.column(ids_col).null_count else part.column(ids_col)
-                ids = lists.flatten().to_numpy(zero_copy_only=False)
-                if len(ids) and (ids.min() < 0 or not v.token_sizes[ids].all()):
-                    raise ValueError("an id that the vocabulary lacks")
-                raw = _spread(v.token_bytes, v.token_ends, v.token_sizes, ids)
-                through = np.zeros(len(ids) + 1, np.int64)
-                np.cumsum(v.token_sizes[ids], out=through[1:])
-                offsets = np.zeros(part.num_rows + 1, np.int64)
-                np.cumsum(np.diff(lists.offsets.to_numpy()), out=offsets[1:])
-                bounds = through[offsets]
-                out = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(raw.tobytes())])
-                yield pa.RecordBatch.from_arrays([*part.columns, out], [*part.schema.names, bytes_col])
+            given = batch.column(ids_col)
+            lists = given.fill_null([]) if given.null_count else given
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            if len(ids) and (ids.min() < 0 or ids.max() >= len(v.token_sizes) or not v.token_sizes[ids].all()):
+                raise ValueError("an id that the vocabulary lacks")
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            through = np.zeros(len(ids) + 1, np.int64)
+            np.cumsum(v.token_sizes[ids], out=through[1:])
+            bounds = through[ends]
+            at = 0
+            while at < batch.num_rows:  # some bytes at a time, one row at least
+                upto = max(at + 1, int(np.searchsorted(bounds, bounds[at] + DECODED, "right")) - 1)
+                raw = _spread(v.token_bytes, v.token_ends, v.token_sizes, ids[ends[at] : ends[upto]])
+                own = bounds[at : upto + 1] - bounds[at]
+                if own[-1] >= 1 << 31:
+                    raise ValueError("a row of more than 2 GiB")
+                out = pa.Array.from_buffers(pa.binary(), upto - at, [None, pa.py_buffer(own.astype(np.int32)), pa.py_buffer(raw.tobytes())])
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, upto - at).columns, out], [*batch.schema.names, bytes_col])
+                at = upto
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{columns}, `{bytes_col}` binary")

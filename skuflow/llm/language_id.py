@@ -3,10 +3,11 @@
 Features are the square roots of hashed byte trigram counts, at unit length; letters A-Z are lowered and what is no
 letter counts as a space. Machines between families choose the family; machines between each two languages of
 that family choose the language. All of them are fitted by dual coordinate descent on a bounded sample of documents
-with a known language, the same number for each language, chosen by hash of the id.
+with a known language, the same number for each language, chosen by hash of the id. Every language is learned: the bound is
+``MAX_TRAIN`` documents in all, or ``LEAST_TRAIN`` of each language where that is more.
 
 Defined cases: a null text and one without a letter give ``und`` with score 0; a language that no family lists is a
-family of its own; with one known language all others fall to it; with none every document is ``und``. A null id is
+family of its own, or shares one with its neighbours in the alphabet if there are more than ``OWN_FAMILIES`` of them; with one known language all others fall to it; with none every document is ``und``. A null id is
 passed through and never learned from. Repeated rows get the same result. Only id, text and, to learn, the language
 column are read.
 """
@@ -19,7 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skuflow.llm.text_arrays import Texts, pieces
@@ -27,10 +28,13 @@ from skuflow.llm.text_arrays import Texts, pieces
 UNKNOWN = "und"
 #: Hashed trigram buckets.
 DIMENSIONS = 1 << 12
-#: Most documents the machines are fitted on, over all languages; their sparse features are gathered on the driver.
-MAX_TRAIN = 4_000
-#: Most languages that are told apart, the most frequent ones.
-MAX_LANGUAGES = 200
+#: Documents the machines are fitted on at most, over all languages, and of each language where the first would leave
+#: it fewer; their sparse features are gathered on the driver.
+MAX_TRAIN, LEAST_TRAIN = 4_000, 20
+#: Families that languages which no family lists make up at most.
+OWN_FAMILIES = 32
+#: Rows whose dense counts a task holds.
+ROWS = 1024
 COST, EPOCHS, SHARPNESS = 10.0, 30, 2.0
 
 #: Language families, by code.
@@ -55,8 +59,11 @@ _LETTER[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _LETTER[128:] = np.arange(128, 256)
 
 
-def family_of(language: str) -> str:
-    return _FAMILY.get(language, language)
+def families_of(languages: set[str]) -> dict[str, str]:
+    """The family of each language."""
+    others = sorted(languages - _FAMILY.keys())
+    size = max(1, -(-len(others) // OWN_FAMILIES))
+    return {name: _FAMILY[name] for name in languages & _FAMILY.keys()} | {name: others[k // size * size] for k, name in enumerate(others)}
 
 
 def trigram_counts(texts: Texts) -> np.ndarray:
@@ -162,36 +169,40 @@ class LanguageModel(NamedTuple):
 def fit(x: np.ndarray, labels: np.ndarray) -> LanguageModel:
     if not len(labels):
         return LanguageModel(None, {})
-    family = np.array([family_of(label) for label in labels], object)
+    families = families_of(set(labels))
+    family = np.array([families[label] for label in labels], object)
     return LanguageModel(fit_machines(x, family), {f: fit_machines(x[family == f], labels[family == f]) for f in sorted(set(family))})
 
 
 def train(docs: DataFrame, fold: Column, id_col: str, text_col: str, lang_col: str, limit: int = MAX_TRAIN) -> LanguageModel:
-    """Fit on ``limit`` documents of the fold at most, spread evenly over the languages by hash of the id."""
+    """Fit on ``limit`` documents of the fold at most, or ``LEAST_TRAIN`` per language, spread evenly by hash of the id."""
     rows = docs.where(fold & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy(lang_col).count().collect()
     if not counts:
         return LanguageModel(None, {})
-    each = limit / len(counts)
-    parts = F.create_map(*[F.lit(v) for lang, n in counts for v in (lang, min(1.0, each / n))])
-    # A language below its share gives all its rows; of the others the hash takes the share.
-    draw = F.pmod(F.xxhash64(F.lit("language sample"), id_col), F.lit(1_000_000)) / 1_000_000.0
-    rows = rows.where(draw < F.coalesce(parts[F.col(lang_col)], F.lit(0.0)))
+    each = max(limit // len(counts), LEAST_TRAIN)
+    # Rows are thinned where they lie, so that no task gathers more than a few times a language's share.
+    parts = F.create_map(*[F.lit(v) for lang, n in counts for v in (lang, min(1.0, (1.2 * each + 20) / n))])
+    hashed = F.xxhash64(F.lit("language sample"), id_col)
+    rows = rows.where(F.pmod(hashed, F.lit(1_000_000)) / 1_000_000.0 < parts[F.col(lang_col)])
+    rows = rows.select(F.col(id_col).alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", F.xxhash64("text"))
+    rows = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, text_col):
-            texts = Texts.of(piece.column(text_col))
+        for piece in pieces(batches, "text", rows=ROWS):
+            texts = Texts.of(piece.column("text"))
             known = has_letter(texts)
             x = trigram_counts(texts)
             sparse = [np.flatnonzero(row) if ok else [] for row, ok in zip(x, known, strict=True)]
+            counted = [row[at] for row, at in zip(x, sparse, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [piece.column(id_col), piece.column(lang_col), pa.array(sparse, pa.list_(pa.int32())), pa.array([row[at] for row, at in zip(x, sparse, strict=True)], pa.list_(pa.float32()))],
-                ["__id", "lang", "at", "n"],
+                [piece.column("lang"), piece.column("n"), pa.array(sparse, pa.list_(pa.int32())), pa.array(counted, pa.list_(pa.float32()))],
+                ["lang", "place", "at", "n"],
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    columns = rows.select(id_col, lang_col, text_col).mapInArrow(extract, f"__id {kind}, lang string, at array<int>, n array<float>")
-    sample = columns.orderBy(F.xxhash64("__id"), "__id", "lang").limit(limit).toArrow()
+    found = rows.select("lang", "n", "text").mapInArrow(extract, "lang string, place int, at array<int>, n array<float>")
+    sample = found.toArrow().sort_by([("lang", "ascending"), ("place", "ascending")])
     x = np.zeros((len(sample), DIMENSIONS), np.float32)
     for row, (at, n) in enumerate(zip(sample["at"], sample["n"], strict=True)):
         x[row, at.values.to_numpy()] = n.values.to_numpy()
@@ -205,7 +216,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang
     """All columns of ``docs`` with the predicted language and its score; the new names must be free."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, text_col):
+        for piece in pieces(batches, text_col, rows=ROWS):
             names, scores = model.predict(Texts.of(piece.column(text_col)))
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(names, pa.string()), pa.array(scores)], [*piece.schema.names, language, score])
 

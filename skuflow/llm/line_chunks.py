@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skuflow.llm.tables import doc_key
+from skuflow.llm.tables import doc_key, free_names
 from skuflow.llm.text_arrays import Texts, Words, chain, pieces, span_hash
 
 DIVISOR = 2
@@ -108,11 +108,12 @@ def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_lines: str = "n_lines", n_removed: str = "n_removed",
 ) -> DataFrame:
     """``docs`` with repeated chunks taken out of the text, the number of its lines before, and of the removed lines."""
-    marked = docs.withColumn("__key", doc_key(id_col, text_col))
-    found = repeats(docs, id_col, text_col)
-    joined = marked.join(found, marked[id_col].eqNullSafe(found["__id"]) & (marked["__key"] == found["__key"]), "left")
+    key, other_id, other_key, marks = free_names(docs.columns, "key", "other_id", "other_key", "marks")
+    marked = docs.withColumn(key, doc_key(id_col, text_col))
+    found = repeats(docs, id_col, text_col).toDF(other_id, other_key, marks)
+    joined = marked.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(other_id)) & (F.col(key) == F.col(other_key)), "left")
     names = docs.columns
-    rows = joined.select(*[marked[c] for c in names], "repeats")
+    rows = joined.select(*[f"`{c}`" for c in names], marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text_col):
@@ -120,11 +121,11 @@ def remove_repeats(
             texts = Texts.of(column)
             chunks, out = Chunks(texts), column.to_pylist()
             removed = np.zeros(len(texts), np.int64)
-            marks = piece.column("repeats")
-            for at in np.flatnonzero(np.asarray(marks.is_valid())):
+            marked_at = piece.column(marks)
+            for at in np.flatnonzero(np.asarray(marked_at.is_valid())):
                 raw = texts.data[texts.bounds[at] : texts.bounds[at + 1]].tobytes()
                 low, high, base = chunks.first[at], chunks.first[at + 1], texts.bounds[at]
-                bodies = {entry["position"]: entry["body"] for entry in marks[int(at)].as_py()}
+                bodies = {entry["position"]: entry["body"] for entry in marked_at[int(at)].as_py()}
                 kept = []
                 for k in range(low, high):
                     body = raw[chunks.starts[k] - base : chunks.ends[k] - base]

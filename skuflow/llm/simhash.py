@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuflow.llm.components import components
-from skuflow.llm.tables import checkpointed, doc_key
+from skuflow.llm.tables import checkpointed, doc_key, free_names
 from skuflow.llm.text_arrays import LOWER, Texts, Words, joined_words, pieces, ranges
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
@@ -168,14 +168,15 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the one with the smallest id, once where rows are repeated."""
-    marked = docs.withColumn("__key", doc_key(id_col, text_col))
-    classes = near_duplicates(marked, id_col, text_col, shingle, max_bits, ("__key",))
-    rows = classes.groupBy("root", id_col, "__key").agg(F.count("*").alias("rows"))
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("__key").alias("key"), "rows")).alias("first"))
-    first = checkpointed(first.select("first.id", "first.key", F.col("first.rows").alias("__rows")))
-    kept = marked.join(first, marked[id_col].eqNullSafe(first["id"]) & (marked["__key"] == first["key"])).select(*[marked[c] for c in marked.columns], "__rows")
-    once = kept.where("__rows = 1").unionByName(kept.where("__rows > 1").dropDuplicates([id_col, "__key"]))
-    return once.select(*docs.columns)
+    key, number, other_id, other_key = free_names([*docs.columns, "fp", "root", "component_id"], "key", "number", "other_id", "other_key")
+    marked = docs.withColumn(key, doc_key(id_col, text_col))
+    classes = near_duplicates(marked, id_col, text_col, shingle, max_bits, (key,))
+    rows = classes.groupBy("root", id_col, key).agg(F.count("*").alias(number))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(key).alias("key"), F.col(number).alias("rows"))).alias("first"))
+    first = checkpointed(first.select(F.col("first.id").alias(other_id), F.col("first.key").alias(other_key), F.col("first.rows").alias(number)))
+    kept = marked.join(first, F.col(f"`{id_col}`").eqNullSafe(F.col(other_id)) & (F.col(key) == F.col(other_key))).drop(other_id, other_key)
+    once = kept.where(F.col(number) == 1).unionByName(kept.where(F.col(number) > 1).dropDuplicates([id_col, key]))
+    return once.select(*[f"`{c}`" for c in docs.columns])
 
 
 def fingerprint_text(fp: str) -> Column:

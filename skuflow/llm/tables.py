@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skuflow.session import checkpointed
 
-__all__ = ["checkpointed", "crc_of", "documents", "doc_key", "first_by_hash", "labels", "read_table", "shuffle_partitions"]
+__all__ = ["checkpointed", "crc_of", "documents", "doc_key", "first_by_hash", "free_names", "labels", "read_table", "shuffle_partitions"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,20 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "labels")
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores behind them as far as needed to differ from all taken ones and from each other.
+
+    Spark doesn't tell upper and lower case apart in names.
+    """
+    held, out = {n.lower() for n in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc_of(doc_id: Column | str, modulus: int) -> Column:
     """The fold of a document: crc32 of its id as text; null where the id is null."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -52,8 +52,8 @@ class Texts:
         return len(self.bounds) - 1
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in pieces of about ``limit`` bytes of text, at least one row each.
+def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in pieces of about ``limit`` bytes of text and at most ``rows`` rows, at least one row each.
 
     Working arrays are several times as large as the bytes, so memory is bounded by the limit and the longest text.
     """
@@ -64,6 +64,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20) -
         while at < len(sizes):
             done = ends[at - 1] if at else 0
             upto = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
+            upto = min(upto, at + (rows or upto))
             yield batch.slice(at, upto - at)
             at = upto
 

@@ -1,3 +1,6 @@
+import math
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -75,3 +78,49 @@ def test_language_of_held_out_documents(spark):
     known = spark.read.parquet(f"{FIXTURE}/documents.parquet").select("doc_id", "lang")
     held = rows.where("held_out").join(known, "doc_id").collect()
     assert len(held) > 250 and np.mean([r.lang_pred == r.lang for r in held]) > 0.97
+
+
+def test_every_language_is_learned(spark):
+    """Hundreds of languages that no family lists: each has a family, its sample and its machines."""
+    words = [f"{a}{b}{c}" for a in "bcdfgklm" for b in "aeiou" for c in "nprstvwz"]
+    rows = [(k * 100 + n, " ".join(words[k % len(words)] + words[(k * 7 + 3) % len(words)] for _ in range(6)), f"x{k:03d}") for k in range(250) for n in range(3)]
+    rows += [(90_000 + n, "the and of which is", "en") for n in range(4000)]  # one language holds most rows
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    model = language_id.train(docs, F.lit(True), "doc_id", "text", "lang", limit=400)
+    learned = {name for machines in model.languages.values() for name in machines.names}
+    assert learned == {r[2] for r in rows} and len(model.families.names) <= language_id.OWN_FAMILIES + 1
+    found = language_id.identify(docs.where("lang != 'en' or doc_id < 90010"), model).collect()
+    assert np.mean([r.lang_pred == r.lang for r in found]) > 0.9
+
+
+def test_predictions_by_plain_dot_products(spark):
+    """Predictions of whole texts from trigram counts, dot products and votes worked out one at a time."""
+    docs = spark.read.parquet(f"{FIXTURE}/documents.parquet")
+    model = language_id.train(docs, crc_of("doc_id", 3) != 1, "doc_id", "text", "lang")
+
+    def vote(machines, x):
+        votes = dict.fromkeys(range(len(machines.names)), 0.0)
+        if len(votes) == 1:
+            return {0: 1.0}
+        column = 0
+        for a in range(len(votes)):
+            for b in range(a + 1, len(votes)):
+                margin = sum(v * float(machines.weights[at, column]) for at, v in x.items())
+                p = 1 / (1 + math.exp(-language_id.SHARPNESS * margin))
+                votes[a], votes[b], column = votes[a] + p, votes[b] + 1 - p, column + 1
+        return {k: v / (len(votes) - 1) for k, v in votes.items()}
+
+    for r in language_id.identify(docs.select("doc_id", "text").limit(40), model).collect():
+        counts = Counter()
+        data = [(b | 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalpha() else 32 for b in r.text.encode()]
+        for a, b, c in zip(data, data[1:], data[2:], strict=False):
+            if (a, b, c) != (32, 32, 32):
+                counts[((a | b << 8 | c << 16) * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+        length = math.sqrt(sum(counts.values()))
+        x = {at: math.sqrt(n) / length for at, n in counts.items()}
+        families = vote(model.families, x)
+        family = max(families, key=families.get)
+        machines = model.languages[model.families.names[family]]
+        votes = vote(machines, x)
+        best = max(votes, key=votes.get)
+        assert r.lang_pred == machines.names[best] and abs(r.score - families[family] * votes[best]) < 1e-4
