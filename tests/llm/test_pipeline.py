@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 FIXTURE = "/root/testdata/sf0.001"
@@ -39,3 +41,21 @@ def test_nulls_and_no_rows(spark):
         for name, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, FIXTURE)
             assert docs.count() >= 0, name
+
+
+def test_columns_with_any_name_pass_through(spark):
+    """Names that the stages use themselves, in either case; their values stay."""
+    names = ["repeats", "IDS", "n_tokens", "restored", "__key", "__rows", "__language", "key", "number", "other_id", "Marks", "language", "score", "lines", "removed", "matches", "raw", "decoded", "fp", "root", "n", "place"]
+    docs = spark.read.parquet(f"{FIXTURE}/documents.parquet").limit(60)
+    docs = docs.unionByName(docs.limit(5))
+    odd = docs.select("*", *[F.concat(F.lit(name), F.col("doc_id").cast("string")).alias(name) for name in names])
+    plain, step = docs, odd
+    for name, stage in corpus_pipeline.STAGES:
+        plain, step = stage(spark, plain, FIXTURE).cache(), stage(spark, step, FIXTURE).cache()
+        assert plain.count() == step.count(), name
+        if name != "byte-level BPE":
+            assert step.columns == odd.columns
+    last = [n for n in names if n.lower() not in ("ids", "n_tokens", "restored")]
+    rows = step.collect()
+    assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in last)
+    assert sorted((r.doc_id, r.n_tokens) for r in rows) == sorted((r.doc_id, r.n_tokens) for r in plain.collect()) and len(rows) > 30
