@@ -4,7 +4,7 @@ Words are lowered; passages are windows of ``PASSAGE`` words that begin every ``
 documents alike. Their TF-IDF vectors (hashed words, document frequencies over the whole corpus) are projected to
 the leading right singular vectors of the benchmark's passages, which a randomised SVD finds in a few distributed
 passes. Each document passage is compared with all benchmark passages as blocks of a matrix product; those with a
-cosine of ``COSINE`` or more are candidates. A copy may still stay below that, if the item is shorter than a passage or the
+cosine of ``COSINE`` or more, less for items shorter than a passage, are candidates. A copy may still stay below that, if the item is shorter than a passage or the
 benchmark larger than the space can tell apart; so the ``ANCHOR`` words in a row with the highest IDF of each item are looked
 up in the documents too, which hands every unchanged copy to the check. A candidate is confirmed by the longest common subsequence of the item's
 words and the words around the passage: long enough by itself, or shorter with the item's answer, its last words, in
@@ -33,7 +33,9 @@ PASSAGE, STEP = 32, 16
 #: Buckets of the hashed words; bounds the projection that is sent to the tasks (4 x RANK bytes per used bucket).
 DIMENSIONS = 1 << 18
 RANK, OVERSAMPLE, POWER_PASSES = 96, 16, 2
-COSINE = 0.7
+#: Least cosine of a candidate: for items of ``WHOLE`` words or more, and what shorter ones need less for each word that
+#: they lack, because the rest of a passage is then other text.
+COSINE, WHOLE, LESS_A_WORD = 0.7, 36, 0.016
 #: Share of an item's words in the common subsequence: alone, and together with the answer.
 SHARE, SHARE_WITH_ANSWER, ANSWER_SHARE = 0.8, 0.6, 0.8
 ANSWER_WORDS = 5
@@ -191,13 +193,14 @@ def common_subsequence(masks: dict[int, int], size: int, words: list[int]) -> in
 
 
 class Block(NamedTuple):
-    """Some benchmark items: ids, words, the latent vectors of their passages, and sorted anchors with their item and place in it."""
+    """Some benchmark items: ids, words, the latent vectors and least cosines of their passages, and sorted anchors with their item and place in it."""
 
     ids: list[int]
     sizes: list[int]
     masks: list[dict[int, int]]
     answers: list[dict[int, int]]
     owner: np.ndarray
+    bounds: np.ndarray
     vectors: np.ndarray
     anchors: np.ndarray
     anchor_items: np.ndarray
@@ -224,7 +227,7 @@ def match_piece(words: Words, space: Space, block: Block) -> list[list[dict]]:
     for low in range(0, len(first), 256):  # so many that the vectors stay in the cache
         part = slice(low, low + 256)
         cosines = space.project(known_rows, first[part], end[part]) @ block.vectors.T
-        rows, columns = np.nonzero(cosines >= COSINE)
+        rows, columns = np.nonzero(cosines >= block.bounds)
         for passage, column in zip((rows + low).tolist(), columns.tolist(), strict=True):
             text, item = int(owner[passage]), int(block.owner[column])
             room = block.sizes[item] // 2 + 4
@@ -303,7 +306,9 @@ def _block(ids: list[int], texts: list[str], space: Space) -> Block:
     masks = [word_masks(x) for x in lists]
     answers = [word_masks(x[-ANSWER_WORDS:]) for x in lists]
     vectors = space.project(space.rows_of(hashes), first, end) if len(first) else np.zeros((0, space.axes.shape[1]), np.float32)
-    return Block(ids, [len(x) for x in lists], masks, answers, owner, vectors, *item_anchors(words, hashes, space))
+    lacking = np.clip(WHOLE - words.counts, 0, WHOLE - STEP)
+    bounds = (COSINE - LESS_A_WORD * lacking)[owner].astype(np.float32)
+    return Block(ids, [len(x) for x in lists], masks, answers, owner, bounds, vectors, *item_anchors(words, hashes, space))
 
 
 def benchmark_matches(
