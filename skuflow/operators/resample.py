@@ -14,20 +14,39 @@ from skuflow.functions.draws import integer, normal, uniform
 from skuflow.functions.scalar import half_up, one_value
 from skuflow.operators.inventory import po_pricing
 from skuflow.operators.row_index import with_row_index
+from skuflow.session import checkpointed
 
 DEMAND_MEASURES = ("units_sold", "units_returned", "net_units", "revenue")
 
 
+def _months(demand: DataFrame) -> Column:
+    """The months from the first to the last of the table, as a scalar subquery."""
+    return one_value(demand, F.sequence(F.min("period"), F.max("period"), F.expr("interval 1 month")))
+
+
+def _first_names(demand: DataFrame) -> DataFrame:
+    return demand.groupBy("sku_id").agg(
+        F.min_by("product_name", "period").alias("product_name"), F.min_by("abc_class", "period").alias("abc_class")
+    )
+
+
 def month_sku_rows(demand: DataFrame) -> DataFrame:
     """Every SKU with every month from the first to the last of the table.
 
     Months come from a scalar subquery and a sequence per SKU; no table is crossed with another.
     """
-    span = one_value(demand, F.sequence(F.min("period"), F.max("period"), F.expr("interval 1 month")))
-    skus = demand.groupBy("sku_id").agg(
-        F.min_by("product_name", "period").alias("product_name"), F.min_by("abc_class", "period").alias("abc_class")
-    )
-    return skus.withColumn("period", F.explode(span))
+    return _first_names(demand).withColumn("period", F.explode(_months(demand)))
+
+
+def numbered_grid(demand: DataFrame) -> DataFrame:
+    """``month_sku_rows`` with ``row_id``, its place by month and SKU.
+
+    Only the SKUs are sorted; a row's place is its month's number times the SKUs, and its SKU's number.
+    """
+    skus = with_row_index(_first_names(demand), ["sku_id"], "sku_number")
+    every = skus.select("*", F.posexplode(_months(demand)).alias("month_number", "period"))
+    place = F.col("month_number").cast("long") * F.lit(skus.count()) + F.col("sku_number")
+    return every.withColumn("row_id", place).drop("month_number", "sku_number")
 
 
 def period_sku_grid(demand: DataFrame) -> DataFrame:
@@ -74,56 +93,75 @@ def bootstrap_po(orders: DataFrame, rows: int, seed: int = 42) -> DataFrame:
     )
 
 
-def copula_sample(demand: DataFrame, rows: int, seed: int = 42, knots: int = 256) -> DataFrame:
+def copula_sample(demand: DataFrame, rows: int, seed: int = 42) -> DataFrame:
     """``rows`` measure rows with the margins and rank correlation of the table (Gaussian copula).
 
-    Normal scores come from quantile tables of ``knots`` values per measure; the driver sees these and
-    the 4 × 4 correlation only.
+    Values are numbered in order by a distributed sort, once per measure, and written; equal values share their mean
+    rank, whose normal score is exact. A drawn share is the value at that share of the ranks, joined by number, so
+    the margins are those of the table at every share. The driver sees the 4 × 4 correlation only.
     """
     spark = demand.sparkSession
     names = list(DEMAND_MEASURES)
-    # The least and the largest value are knots too, so that the tails are drawn.
-    levels = [0.0, *((i + 0.5) / knots for i in range(knots)), 1.0]
-    sketch = demand.agg(*[F.percentile_approx(name, levels, 10000).alias(name) for name in names]).first()
-    margins = {name: [float(v) for v in sketch[name]] for name in names}
-    scores = np.array([_normal_quantile(min(max(level, 0.25 / knots), 1 - 0.25 / knots)) for level in levels])
-    scored = demand.select(*[_normal_score(F.col(name), margins[name], scores).alias(name) for name in names])
+    complete = demand.select(*[F.col(name).cast("double").alias(name) for name in names]).na.drop()
+    total = complete.count()
+    if not total:
+        return spark.range(0).select(F.col("id").alias("row_id"), *[F.lit(0.0).alias(name) for name in names])
+    ranked = {name: checkpointed(with_row_index(complete.select(name), [name], "rank")) for name in names}
+    scored = complete
+    for name in names:
+        share = (F.min("rank") + F.max("rank") + 1) / 2.0 / float(total)
+        shares = ranked[name].groupBy(name).agg(share.alias("share"))
+        scored = scored.join(shares.select(name, normal_score(F.col("share")).alias(f"score_{name}")), name)
     pairs = [(i, j) for i in range(len(names)) for j in range(i)]
-    row = scored.agg(*[F.corr(names[i], names[j]).alias(f"c{i}{j}") for i, j in pairs]).first()
+    # Nine decimals don't depend on the order of the sums.
+    row = scored.agg(*[half_up(F.corr(f"score_{names[i]}", f"score_{names[j]}"), 9).alias(f"c{i}{j}") for i, j in pairs]).first()
     correlation = np.eye(len(names))
     for i, j in pairs:
         value = row[f"c{i}{j}"]
         correlation[i, j] = correlation[j, i] = value if value is not None and math.isfinite(value) else 0.0
-    factor = np.linalg.cholesky(_nearest_definite(correlation))
+    factor = np.linalg.cholesky(_definite(correlation))
     base = spark.range(rows).withColumnRenamed("id", "row_id")
-    independent = base.select("row_id", *[normal(seed, F.col("row_id"), name).alias(f"z{i}") for i, name in enumerate(names)])
-    columns = []
+    drawn = base.select("row_id", *[normal(seed, F.col("row_id"), name).alias(f"z{i}") for i, name in enumerate(names)])
+    places = []
     for i, name in enumerate(names):
         mixed = sum((F.col(f"z{j}") * float(factor[i, j]) for j in range(i + 1)), F.lit(0.0))
-        share = _normal_share(mixed) * knots
-        # Knots lie half a step from either end and one step apart in between.
-        place = F.when(share < 0.5, share * 2).when(share > knots - 0.5, knots + (share - knots + 0.5) * 2).otherwise(share + 0.5)
-        columns.append(half_up(F.abs(_interpolated(place, margins[name]))).alias(name))
-    return independent.select("row_id", *columns)
+        places.append(F.least(F.floor(_normal_share(mixed) * float(total)), F.lit(total - 1)).alias(f"rank_{name}"))
+    drawn = drawn.select("row_id", *places)
+    for name in names:
+        value = ranked[name].select(F.col("rank").alias(f"rank_{name}"), half_up(F.abs(name)).alias(name))
+        drawn = drawn.join(value, f"rank_{name}")
+    return drawn.select("row_id", *names)
+
+
+# Coefficients of Acklam's rational approximation of the inverse normal distribution (error below 2e-9).
+NORMAL_MIDDLE = (
+    (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239),
+    (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0),
+)
+NORMAL_TAIL = (
+    (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783),
+    (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0),
+)
+NORMAL_EDGE = 0.02425
 
 
-def _normal_quantile(share: float) -> float:
-    low, high = -9.0, 9.0
-    for _ in range(80):
-        middle = (low + high) / 2
-        if 0.5 * math.erfc(-middle / math.sqrt(2)) < share:
-            low = middle
-        else:
-            high = middle
-    return (low + high) / 2
+def _polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
+    total = F.lit(coefficients[0])
+    for coefficient in coefficients[1:]:
+        total = total * x + coefficient
+    return total
 
 
-def _normal_score(value: Column, knots: list[float], scores: np.ndarray) -> Column:
-    """Normal score of the mid rank of ``value`` among the knots."""
-    below = F.size(F.filter(F.lit(knots), lambda knot: knot < value))
-    upto = F.size(F.filter(F.lit(knots), lambda knot: knot <= value))
-    middle = F.least(F.floor((below + upto) / 2.0), F.lit(len(knots) - 1))
-    return F.element_at(F.lit([float(s) for s in scores]), (middle + 1).cast("int"))
+def normal_score(share: Column) -> Column:
+    """The standard normal value below which a share between 0 and 1 lies."""
+    middle, (above, below) = share - 0.5, NORMAL_MIDDLE
+    central = _polynomial(above, middle * middle) * middle / _polynomial(below, middle * middle)
+
+    def tail(p: Column) -> Column:
+        q = F.sqrt(-2.0 * F.log(p))
+        return _polynomial(NORMAL_TAIL[0], q) / _polynomial(NORMAL_TAIL[1], q)
+
+    return F.when(share < NORMAL_EDGE, tail(share)).when(share > 1 - NORMAL_EDGE, -tail(1.0 - share)).otherwise(central)
 
 
 def _normal_share(value: Column) -> Column:
@@ -135,18 +173,11 @@ def _normal_share(value: Column) -> Column:
     return F.when(value >= 0, 1.0 - tail).otherwise(tail)
 
 
-def _interpolated(place: Column, knots: list[float]) -> Column:
-    last = len(knots) - 1
-    inside = F.greatest(F.least(place, F.lit(float(last))), F.lit(0.0))
-    low = F.floor(inside)
-    table = F.lit(knots)
-    start = F.element_at(table, (low + 1).cast("int"))
-    end = F.element_at(table, (F.least(low + 1, F.lit(last)) + 1).cast("int"))
-    return start + (end - start) * (inside - low)
-
-
-def _nearest_definite(matrix: np.ndarray) -> np.ndarray:
+def _definite(matrix: np.ndarray) -> np.ndarray:
+    """The matrix, or the nearest definite one if a combination of the measures is constant."""
     values, vectors = np.linalg.eigh(matrix)
+    if values.min() > 1e-9:
+        return matrix
     fixed = vectors @ np.diag(np.maximum(values, 1e-9)) @ vectors.T
     scale = np.sqrt(np.diag(fixed))
     return fixed / np.outer(scale, scale)
@@ -157,7 +188,7 @@ def extend_demand(demand: DataFrame, target_rows: int, seed: int = 42, method: s
 
     Rows are numbered by month and SKU; row i takes sample i. ``method`` is ``bootstrap`` or ``copula``.
     """
-    numbered = with_row_index(month_sku_rows(demand), ["period", "sku_id"], "row_id").where(F.col("row_id") < target_rows)
+    numbered = numbered_grid(demand).where(F.col("row_id") < target_rows)
     if method == "bootstrap":
         sample = bootstrap_demand(demand, target_rows, seed)
     elif method == "copula":

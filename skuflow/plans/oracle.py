@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from skuflow.functions import fixed_values as fv
+from skuflow.operators.resample import NORMAL_EDGE, NORMAL_MIDDLE, NORMAL_TAIL
 
 SKU_IN_TEXT = r"\bSKU-\d+\b"
 
@@ -829,6 +830,61 @@ SELECT *, {r('subtotal + gst', 2)} AS total FROM (
                    {r('price_low + ' + _share('price', 'row_id') + ' * (price_high - price_low)', 2)} AS unit_price
             FROM ({_drawn('fx_offers', 'supplier_id, sku_id', 'SELECT count(*) FROM fx_po')})))))"""
 
+# The Gaussian copula: mean ranks, inverse normal scores (Acklam), Cholesky factor by hand, values by rank.
+_MEASURES = ("units_sold", "units_returned", "net_units", "revenue")
+
+
+def _horner(coefficients: tuple[float, ...], x: str) -> str:
+    text = f"{coefficients[0]!r}::DOUBLE"
+    for coefficient in coefficients[1:]:
+        text = f"({text}) * ({x}) + {coefficient!r}::DOUBLE"
+    return f"({text})"
+
+
+def _score(p: str) -> str:
+    def tail(share: str) -> str:
+        q = f"sqrt(-2.0::DOUBLE * ln({share}))"
+        return f"{_horner(NORMAL_TAIL[0], q)} / {_horner(NORMAL_TAIL[1], q)}"
+
+    m = f"({p} - 0.5::DOUBLE)"
+    middle = f"{_horner(NORMAL_MIDDLE[0], f'{m} * {m}')} * {m} / {_horner(NORMAL_MIDDLE[1], f'{m} * {m}')}"
+    return f"CASE WHEN {p} < {NORMAL_EDGE}::DOUBLE THEN {tail(p)} WHEN {p} > {1 - NORMAL_EDGE!r}::DOUBLE THEN -({tail(f'(1.0::DOUBLE - {p})')}) ELSE {middle} END"
+
+
+for _name in _MEASURES:
+    VIEWS[f"ranked_{_name}"] = f"SELECT CAST({_name} AS DOUBLE) AS v, row_number() OVER (ORDER BY {_name}) - 1 AS place FROM fx_demand"
+    VIEWS[f"score_{_name}"] = f"SELECT v, {_score('p')} AS s FROM (SELECT v, (min(place) + max(place) + 1) / 2.0::DOUBLE / (SELECT CAST(count(*) AS DOUBLE) FROM fx_demand) AS p FROM ranked_{_name} GROUP BY v)"
+VIEWS["copula_scores"] = "SELECT a.s AS s0, b.s AS s1, c.s AS s2, d.s AS s3 FROM fx_demand x " + " ".join(
+    f"JOIN score_{name} {alias} ON {alias}.v = x.{name}" for name, alias in zip(_MEASURES, "abcd", strict=True))
+VIEWS["copula_c"] = "SELECT " + ", ".join(f"{r(f'corr(s{i}, s{j})', 9)} AS c{i}{j}" for i in range(4) for j in range(i)) + " FROM copula_scores"
+VIEWS["copula_l2"] = "SELECT *, c10 AS l10, sqrt(1.0::DOUBLE - c10 * c10) AS l11, c20 AS l20, c30 AS l30 FROM copula_c"
+VIEWS["copula_l3"] = "SELECT *, (c21 - l20 * l10) / l11 AS l21, (c31 - l30 * l10) / l11 AS l31 FROM copula_l2"
+VIEWS["copula_l4"] = "SELECT *, sqrt(1.0::DOUBLE - l20 * l20 - l21 * l21) AS l22 FROM copula_l3"
+VIEWS["copula_l5"] = "SELECT *, (c32 - l30 * l20 - l31 * l21) / l22 AS l32 FROM copula_l4"
+VIEWS["copula_factor"] = "SELECT *, sqrt(1.0::DOUBLE - l30 * l30 - l31 * l31 - l32 * l32) AS l33 FROM copula_l5"
+
+
+def _normal(purpose: str) -> str:
+    return f"sqrt(-2.0::DOUBLE * ln({_share(purpose + '/radius', 'row_id')})) * cos(2.0::DOUBLE * pi() * {_share(purpose + '/angle', 'row_id')})"
+
+
+def _below(value: str) -> str:
+    t = f"(1.0::DOUBLE / (1.0::DOUBLE + 0.2316419::DOUBLE * abs({value})))"
+    tail = (f"exp(-abs({value}) * abs({value}) / 2.0::DOUBLE) / sqrt(2.0::DOUBLE * pi()) * {t} * (0.319381530::DOUBLE + {t} * (-0.356563782::DOUBLE + {t} * (1.781477937::DOUBLE "
+            f"+ {t} * (-1.821255978::DOUBLE + {t} * 1.330274429::DOUBLE))))")
+    return f"CASE WHEN {value} >= 0 THEN 1.0::DOUBLE - {tail} ELSE {tail} END"
+
+
+VIEWS["copula_draws"] = "SELECT row_id, " + ", ".join(f"{_normal(name)} AS z{i}" for i, name in enumerate(_MEASURES)) + " FROM (SELECT unnest(range((SELECT count(*) FROM fx_demand))) AS row_id)"
+VIEWS["copula_mixed"] = """
+SELECT row_id, z0 AS m0, z0 * l10 + z1 * l11 AS m1, z0 * l20 + z1 * l21 + z2 * l22 AS m2, z0 * l30 + z1 * l31 + z2 * l32 + z3 * l33 AS m3
+FROM copula_draws CROSS JOIN copula_factor"""
+VIEWS["copula_places"] = "SELECT row_id, " + ", ".join(
+    f"least(CAST(floor(({_below(f'm{i}')}) * n) AS BIGINT), CAST(n AS BIGINT) - 1) AS k{i}" for i in range(4)
+) + " FROM copula_mixed, (SELECT CAST(count(*) AS DOUBLE) AS n FROM fx_demand)"
+_BODIES["copula_sample"] = "SELECT row_id, " + ", ".join(f"{r(f'abs({a}.v)')} AS {name}" for name, a in zip(_MEASURES, "abcd", strict=True)) + " FROM copula_places " + " ".join(
+    f"JOIN ranked_{name} {a} ON {a}.place = k{i}" for i, (name, a) in enumerate(zip(_MEASURES, "abcd", strict=True)))
+
 # The isolation forest, grown level by level: 200 trees of 256 rows, at most eight levels.
 _TREES, _LEVELS = 200, 8
 _X = [r(name, 6) for name in ("net_units", "lag_1", "roll_mean_3", "roll_std_3", "is_high_season")]

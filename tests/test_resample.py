@@ -1,5 +1,7 @@
 """Resampling: counts, bounds, moments and repeatability."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +76,31 @@ def test_synthetic_orders(spark):
     assert rows.where("unit_price < price_low or unit_price > price_high").count() == 0
     assert rows.where("abs(total - subtotal - gst) > 0.011 or abs(gst - 0.18 * subtotal) > 0.0051").count() == 0
     assert rows.where("po_date < '2022-01-01' or po_date > '2025-05-18'").count() == 0
+
+
+def test_normal_scores_are_inverse(spark):
+    shares = [1e-9, 0.001, 0.02, 0.0243, 0.3, 0.5, 0.77, 0.98, 0.99999]
+    found = spark.createDataFrame([(p,) for p in shares], "p double").select(resample.normal_score(F.col("p")).alias("z")).collect()
+    for share, row in zip(shares, found, strict=True):
+        assert 0.5 * math.erfc(-row.z / math.sqrt(2)) == pytest.approx(share, rel=1e-7)
+
+
+def test_copula_margins_are_those_of_the_table(spark, demand):
+    """Every drawn value stands in the table at the drawn share of its ranks: quantiles agree far closer than a sketch's."""
+    sample = resample.copula_sample(demand, 6000).toPandas()
+    source = demand.select(*resample.DEMAND_MEASURES).toPandas()
+    for name in resample.DEMAND_MEASURES:
+        own = np.floor(np.abs(source[name].astype(float)) + 0.5)
+        assert set(sample[name]) <= set(own)
+        for share in (0.05, 0.25, 0.5, 0.9, 0.99):
+            value = np.quantile(sample[name], share, method="lower")
+            assert (own < value).mean() - 0.03 <= share <= (own <= value).mean() + 0.03
+
+
+def test_grid_rows_are_numbered_by_month_and_sku(demand):
+    rows = [(r.period, r.sku_id) for r in resample.numbered_grid(demand).orderBy("row_id").collect()]
+    assert rows == sorted(rows) and len(rows) == resample.month_sku_rows(demand).count()
+
+
+def test_copula_of_no_rows(demand):
+    assert resample.copula_sample(demand.limit(0), 5).collect() == []
