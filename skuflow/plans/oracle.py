@@ -956,10 +956,61 @@ _BODIES["forest_score_histogram"] = _of_forest(_BODIES["score_histogram"])
 _BODIES["forest_top_anomalies"] = f"SELECT sku_id, product_name, {_P}, net_units, {r('roll_mean_3', 4)} AS roll_mean_3, {r('anomaly_score', 6)} AS anomaly_score FROM (SELECT * FROM forest_flagged ORDER BY anomaly_score, sku_id, period LIMIT 10)"
 _BODIES["forest_per_sku"] = f"SELECT sku_id, count(*) AS months, count(*) FILTER (is_anomaly) AS flagged, {r('min(anomaly_score)', 6)} AS lowest FROM forest_scored GROUP BY sku_id"
 
+# Boundary chunks: pieces by the first separator that occurs, level by level; runs of short pieces packed one chunk at a time.
+_MARKS = "[chr(10) || chr(10), chr(10), '.', ' ', '']"
+VIEWS["seg_0"] = "SELECT source, page, []::BIGINT[] AS path, text, 1 AS lowest FROM cleaned"
+for _level in range(5):
+    VIEWS[f"piece_{_level}"] = f"""
+SELECT source, page, path, sep, piece, i, length(piece) < {fv.CHUNK_CHARS} AS short FROM (
+  SELECT source, page, path, sep, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS i FROM (
+    SELECT source, page, path, sep, list_filter(
+      CASE WHEN mark = '' THEN list_transform(range(1, length(text) + 1), lambda c: substr(text, c, 1))
+           ELSE list_transform(string_split(text, mark), lambda x, c: CASE WHEN c = 1 THEN x ELSE mark || x END) END, lambda x: x <> '') AS pieces
+    FROM (SELECT *, {_MARKS}[sep] AS mark
+          FROM (SELECT *, list_filter(range(lowest, 6), lambda c: {_MARKS}[c] = '' OR contains(text, {_MARKS}[c]))[1] AS sep FROM seg_{_level}))))"""
+    VIEWS[f"seg_{_level + 1}"] = f"SELECT source, page, path || [i, 0] AS path, piece AS text, sep + 1 AS lowest FROM piece_{_level} WHERE NOT short"
+    VIEWS[f"run_{_level}"] = f"""
+SELECT source, page, path || [min(i)] AS path, list(piece ORDER BY i) AS pieces
+FROM (SELECT *, i - row_number() OVER (PARTITION BY source, page, path ORDER BY i) AS island FROM piece_{_level} WHERE short) GROUP BY source, page, path, island"""
+VIEWS["short_runs"] = " UNION ALL ".join(f"SELECT * FROM run_{level}" for level in range(5))
+VIEWS["measured_runs"] = """
+SELECT source, page, path, pieces, list_transform(range(0, len(pieces) + 1), lambda k: CAST(coalesce(list_sum(list_transform(pieces[1:k], lambda x: length(x))), 0) AS BIGINT)) AS p
+FROM short_runs"""
+_PACKED = f"""
+packed AS (
+  SELECT source, page, path, pieces, p, CAST(1 AS BIGINT) AS s, CAST(1 AS BIGINT) AS e, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS text, false AS done FROM measured_runs
+  UNION ALL
+  SELECT source, page, path, pieces, p,
+         CASE WHEN j IS NULL THEN s ELSE list_filter(range(s, j + 1), lambda t: p[j] - p[t] <= {fv.CHUNK_OVERLAP} AND (p[j] - p[t] = 0 OR p[j + 1] - p[t] <= {fv.CHUNK_CHARS}))[1] END,
+         coalesce(j, e) + 1, k + 1, trim(array_to_string(pieces[s:coalesce(j, len(pieces) + 1) - 1], ''), {TRIMMED}), j IS NULL
+  FROM (SELECT *, list_filter(range(greatest(e, s + 1), len(pieces) + 1), lambda c: p[c + 1] - p[s] > {fv.CHUNK_CHARS})[1] AS j FROM packed WHERE NOT done)
+)"""
+
+
+_NUMBERED = "SELECT source, page, text, row_number() OVER (PARTITION BY source, page ORDER BY path, k) - 1 AS i FROM packed WHERE text <> ''"
+_BOUNDARY_CHUNKS = re.sub(
+    r"FROM \(SELECT \*, unnest\(.*?\) AS i FROM numbered_chunks\)", "FROM numbered_chunks",
+    _chunk("numbered_chunks").replace("substring(text, 1 + 1400 * i, 1600) AS text", "text"), flags=re.S,
+)
+
+
+def _boundary(text: str) -> str:
+    """A query of fixed chunks with boundary chunks instead."""
+    names = [f"{name}_{level}" for level in range(5) for name in ("seg", "piece", "run")] + ["short_runs", "measured_runs"]
+    parts = ", ".join(f"{name} AS MATERIALIZED ({VIEWS[name]})" for name in names)
+    fixed = f"chunks AS MATERIALIZED ({VIEWS['chunks']})"
+    assert fixed in text
+    text = text.replace(fixed, f"{parts}, {_PACKED}, numbered_chunks AS MATERIALIZED ({_NUMBERED}), chunks AS MATERIALIZED ({_BOUNDARY_CHUNKS})")
+    return text if text.startswith("WITH RECURSIVE") else text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 ORACLE = {name: sql(body) for name, body in _BODIES.items() if body is not None}
+ORACLE["chunk_boundary"] = _boundary(sql("SELECT chunk_id, chunk_index, doc_type, length(text) AS n_chars, text FROM chunks"))
 _KEPT = f"""
 SELECT chunk_id FROM members WHERE ord = content_ord AND ord NOT IN ({_DROPPED})"""
 ORACLE["dedup_keep_first"] = _greedy(_KEPT)
 ORACLE["ingest"] = _within_collections(_greedy(f"""
 SELECT chunk_id, collected.collection, doc_type, CAST(1 AS BIGINT) AS version, md5(text) AS text_md5
 FROM collected WHERE chunk_id IN ({_KEPT})"""))
+ORACLE["ingest_boundary"] = _boundary(_within_collections(_greedy(f"""
+SELECT collection, count(*) AS chunk_count FROM collected WHERE chunk_id IN ({_KEPT}) GROUP BY collection""")))
