@@ -1150,6 +1150,17 @@ def q_answer_queries(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def q_answer_queries_trained(spark: SparkSession, folder: str) -> DataFrame:
+    """The answers with forecasts of the trained model and anomalies of the forest."""
+    demand = src.demand_history(spark, folder)
+    return answers.answer_queries(
+        _all_questions(spark, folder), demand, src.inventory(spark, folder), src.supplier_terms(spark, folder),
+        src.supplier_directory(spark, folder), src.supplier_sku(spark, folder), _chunks(spark, folder), SKU_IN_TEXT,
+        points=demand_model.forecast_model(_model(spark, folder), demand), scored=_forest_scores(spark, folder),
+    )
+
+
 # Resampling
 
 
