@@ -64,7 +64,9 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str
     """
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
     flags = trusted.select(F.col(id_col).alias("__id"), F.lit(True).alias("__trusted")).hint("shuffle_hash")
-    flagged = texts.join(flags, F.col("__doc") == F.col("__id"), "left").select("__text", "__trusted")
+    known = texts.where("__doc is not null").join(flags, F.col("__doc") == F.col("__id"), "left").select("__text", "__trusted")
+    # Rows without id match nothing; in the join one task would get them all.
+    flagged = known.unionByName(texts.where("__doc is null").select("__text", F.lit(None).cast("boolean").alias("__trusted")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)

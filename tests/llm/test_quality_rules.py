@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 import pyarrow as pa
 
 from skuflow.llm import quality_rules as rules
@@ -81,3 +82,14 @@ def test_span_hash_depends_on_bytes_only():
     data = np.frombuffer(b"abcdefghijk-abcdefghijk", np.uint8)
     a, b = span_hash(data, np.array([0, 12, 0]), np.array([11, 23, 10]))[[0, 1]]
     assert a == b and len(set(span_hash(data, np.arange(12), np.full(12, 12)).tolist())) == 12
+
+
+def test_rows_without_id_count_as_raw_only(spark):
+    rows = [(k if k % 3 else None, f"word{k % 7} word{k % 5} and more") for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    trusted = spark.createDataFrame([(k,) for k in (1, 2, 4, None)], "doc_id long")
+    counts = rules.ngram_counts(docs, rules.trusted_ids(trusted, "doc_id"), "doc_id", "text", rules.BUCKETS).collect()
+    alone = rules.ngram_counts(docs.where("doc_id in (1, 2, 4)"), rules.trusted_ids(trusted, "doc_id"), "doc_id", "text", rules.BUCKETS).collect()
+    every = rules.ngram_counts(docs.withColumn("doc_id", F.lit(1).cast("long")), rules.trusted_ids(trusted, "doc_id"), "doc_id", "text", rules.BUCKETS).collect()
+    assert {r.bucket: r.raw for r in counts} == {r.bucket: r.raw for r in every}
+    assert {r.bucket: r.target for r in counts if r.target} == {r.bucket: r.raw for r in alone}
