@@ -87,3 +87,53 @@ INTENT_KEYWORDS = {
         "strange", "unexpected", "flag", "detect", "problem", "issue",
     ],
 }
+
+# Fixed values. Texts of alerts, forecasts, stock, suppliers and answers; values stand in for the names in braces.
+REORDER_MESSAGE = "Stock {available} ≤ ROP {reorder_point}. Place order immediately ({status})."
+ANOMALY_MESSAGE = "Unusual demand in {month}: {units} units vs 3M avg {average}."
+FORECAST_HEAD = "Demand forecast for {sku} (next {horizon} months):\n{lines}"
+FORECAST_LINE = "  Month +{month}: {forecast} units  (90% CI: {lower} – {upper})"
+STOCK_TEXT = (
+    "Inventory — {sku} ({item}):\n"
+    "  On-Hand: {on_hand}  |  WIP: {wip}  |  In-Transit: {in_transit}\n"
+    "  Total Available: {available}  |  Reorder Point: {reorder_point}\n"
+    "  Days of Stock: {days}  |  Status: {status}\n"
+    "  Gap vs ROP: {gap} units  — {verdict}"
+)
+STOCK_VERDICTS = ("⚠️ REORDER NEEDED", "✓ OK")
+ROP_TEXT = (
+    "ROP Analysis — {sku}:\n"
+    "  Avg daily demand: {daily} units\n"
+    "  Lead time: {lead_time} days\n"
+    "  Safety stock (95% SL): {safety_stock} units\n"
+    "  Computed ROP: {rop} units\n"
+    "  Current available: {available} units\n"
+    "  {verdict}"
+)
+ROP_VERDICTS = ("⚠️ REORDER NOW", "✓ Stock OK")
+SUPPLIER_HEAD = "Supplier: {name} ({id})\n  City: {city}, {state}"
+RECOMMENDATION = "🏆 Recommended supplier for {sku}: {name} (Lead time: {lead_time} days, On-time rate: {on_time}%)"
+SCAN_LINE = "  • {sku} ({item}): Available={available}  ROP={reorder_point}  Gap={gap}"
+SCAN_HEADLINE = "⚠️  {count} SKU(s) at or below reorder point:"
+SCAN_NOTHING = "✓ All SKUs are above their reorder points. No immediate action needed."
+ANOMALY_SCAN_LINE = "  • {sku} ({item}) | Period: {month} | Units: {units} | 3M-Avg: {average} | Score: {score}"
+ANOMALY_SCAN = "🚨 {count} anomalous data point(s) detected:\n\n{lines}"
+ANOMALY_SCAN_NOTHING = "✓ No anomalies detected across all SKUs."
+SKU_ANOMALY_LINE = "  {month}: {units} units sold (3-month avg: {average}), score: {score}"
+SKU_ANOMALIES = "Anomalies detected for {sku}:\n{lines}"
+NO_SKU_ANOMALIES = "No anomalies detected for SKU {sku}."
+NO_FORECAST = "No forecast data available for SKU {sku}."
+NO_STOCK = "SKU {sku} not found in inventory."
+NO_HISTORY = "No demand history for {sku}."
+NO_SUPPLIER = "No supplier mapping found for the specified SKU."
+HISTORICAL_CONTEXT = "📄 Historical Context:\n{context}"
+DEMAND_ANSWER = "📊 Demand Forecast — {sku}\n\n{body}\n\n{context}"
+ANOMALY_ANSWER = "🔍 Anomaly Analysis\n\n{body}{context}"
+CONTEXT_BLOCK = "[Source {place}: {source} — Page {page}]\n{text}"
+
+# Fixed values. Search texts of the handlers.
+DEMAND_SEARCH = "demand history seasonal sales {sku}"
+REORDER_SEARCH = "purchase order {sku} reorder"
+REORDER_SEARCH_ALL = "low stock reorder"
+SUPPLIER_SEARCH = "supplier catalog pricing terms {sku} {question}"
+ANOMALY_SEARCH = "unusual demand spike stockout {sku} {question}"

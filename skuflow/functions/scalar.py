@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -51,6 +52,12 @@ def with_values(df: DataFrame, values: Column, name: str, use: Callable[[Column]
     return df.withColumn("_values", values).withColumn(name, use(F.col("_values"))).drop("_values")
 
 
+def filled(template: str, **values: Column) -> Column:
+    """A text with columns in place of its names in braces; null if one of them is."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[part] if place % 2 else F.lit(part) for place, part in enumerate(parts) if part])
+
+
 def one_value(df: DataFrame, aggregate: Column) -> Column:
     """An aggregate of ``df`` as a scalar subquery: one value, no join and no driver round trip."""
     return df.agg(aggregate.alias("value")).scalar()

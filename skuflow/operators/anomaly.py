@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skuflow.functions import fixed_values as fv
-from skuflow.functions.scalar import half_up, number_text, one_value, with_values
+from skuflow.functions.scalar import filled, half_up, number_text, one_value, with_values
 from skuflow.operators.features import sku_features
 from skuflow.operators.quantiles import exact_quantiles
 
@@ -123,9 +123,9 @@ def month_text(period: Column) -> Column:
 
 def anomaly_alerts(anomalies: DataFrame, count: int = fv.ALERT_ANOMALY_CAP) -> DataFrame:
     """Alerts of the first flagged rows."""
-    message = F.concat(
-        F.lit("Unusual demand in "), month_text(F.col("period")), F.lit(": "),
-        number_text(F.col("net_units")), F.lit(" units vs 3M avg "), number_text(F.col("roll_mean_3")), F.lit("."),
+    message = filled(
+        fv.ANOMALY_MESSAGE, month=month_text(F.col("period")), units=number_text(F.col("net_units")),
+        average=number_text(F.col("roll_mean_3")),
     )
     return first_anomalies(anomalies, count).select(
         "sku_id",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skuflow.functions import fixed_values as fv
-from skuflow.functions.scalar import half_up, number_text, one_value
+from skuflow.functions.scalar import filled, half_up, number_text, one_value
 from skuflow.operators.features import rolling_mean
 from skuflow.operators.profile import mape, recent_stats, rmse
 from skuflow.operators.row_index import with_row_index
@@ -70,15 +70,17 @@ def arrays_from_points(points: DataFrame) -> DataFrame:
 
 def forecast_text(points: DataFrame, horizon: int = 3) -> DataFrame:
     """Forecast text of each SKU from its points."""
-    line = F.concat(
-        F.lit("  Month +"), F.col("month_offset").cast("string"), F.lit(": "), number_text(F.col("forecast")),
-        F.lit(" units  (90% CI: "), number_text(F.col("lower_ci")), F.lit(" – "), number_text(F.col("upper_ci")), F.lit(")"),
+    line = filled(
+        fv.FORECAST_LINE, month=F.col("month_offset").cast("string"), forecast=number_text(F.col("forecast")),
+        lower=number_text(F.col("lower_ci")), upper=number_text(F.col("upper_ci")),
     )
     lines = points.groupBy("sku_id").agg(
         F.sort_array(F.collect_list(F.struct("month_offset", line.alias("line")))).alias("lines")
     )
-    head = F.concat(F.lit("Demand forecast for "), "sku_id", F.lit(f" (next {horizon} months):\n"))
-    return lines.select("sku_id", F.concat(head, F.array_join("lines.line", "\n")).alias("forecast_text"))
+    text = filled(
+        fv.FORECAST_HEAD, sku=F.col("sku_id"), horizon=F.lit(str(horizon)), lines=F.array_join("lines.line", "\n")
+    )
+    return lines.select("sku_id", text.alias("forecast_text"))
 
 
 def holdout_split(features: DataFrame, months: int = 3) -> DataFrame:

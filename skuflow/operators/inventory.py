@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skuflow.functions import fixed_values as fv
-from skuflow.functions.scalar import half_up, number_text, signed_text
+from skuflow.functions.scalar import filled, half_up, number_text, signed_text
 
 
 def filter_sku(df: DataFrame, sku_id: str) -> DataFrame:
@@ -25,9 +25,9 @@ def reorder_severity(gap: Column) -> Column:
 
 def reorder_alerts(inventory: DataFrame) -> DataFrame:
     """One alert per SKU at or below its reorder point."""
-    message = F.concat(
-        F.lit("Stock "), number_text(F.col("total_available")), F.lit(" ≤ ROP "), number_text(F.col("reorder_point")),
-        F.lit(". Place order immediately ("), F.coalesce("status", F.lit("")), F.lit(")."),
+    message = filled(
+        fv.REORDER_MESSAGE, available=number_text(F.col("total_available")), reorder_point=number_text(F.col("reorder_point")),
+        status=F.coalesce("status", F.lit("")),
     )
     return reorder_scan(inventory).select(
         "sku_id",
@@ -45,17 +45,13 @@ def stock_check(inventory: DataFrame) -> DataFrame:
     """Gap to the reorder point, an alert flag and the stock text of every SKU."""
     gap = F.col("total_available") - F.col("reorder_point")
     needs_order = gap <= 0
-    text = F.concat(
-        F.lit("Inventory — "), "sku_id", F.lit(" ("), "item_name", F.lit("):\n"),
-        F.lit("  On-Hand: "), F.col("qty_on_hand").cast("string"),
-        F.lit("  |  WIP: "), F.col("qty_wip").cast("string"),
-        F.lit("  |  In-Transit: "), F.col("qty_in_transit").cast("string"),
-        F.lit("\n  Total Available: "), F.col("total_available").cast("string"),
-        F.lit("  |  Reorder Point: "), F.col("reorder_point").cast("string"),
-        F.lit("\n  Days of Stock: "), number_text(F.col("days_of_stock"), 1),
-        F.lit("  |  Status: "), "status",
-        F.lit("\n  Gap vs ROP: "), signed_text(gap), F.lit(" units  — "),
-        F.when(needs_order, "⚠️ REORDER NEEDED").otherwise("✓ OK"),
+    needed, fine = fv.STOCK_VERDICTS
+    text = filled(
+        fv.STOCK_TEXT, sku=F.col("sku_id"), item=F.col("item_name"), on_hand=F.col("qty_on_hand").cast("string"),
+        wip=F.col("qty_wip").cast("string"), in_transit=F.col("qty_in_transit").cast("string"),
+        available=F.col("total_available").cast("string"), reorder_point=F.col("reorder_point").cast("string"),
+        days=number_text(F.col("days_of_stock"), 1), status=F.col("status"), gap=signed_text(gap),
+        verdict=F.when(needs_order, needed).otherwise(fine),
     )
     return inventory.select(
         "sku_id", "item_name", "total_available", "reorder_point",
@@ -116,14 +112,12 @@ def reorder_points(demand_stats: DataFrame, lead_times: DataFrame, inventory: Da
 
 def rop_text(rop: DataFrame) -> DataFrame:
     """Text of the reorder-point analysis."""
-    text = F.concat(
-        F.lit("ROP Analysis — "), "sku_id",
-        F.lit(":\n  Avg daily demand: "), number_text(F.col("avg_daily"), 1),
-        F.lit(" units\n  Lead time: "), number_text(F.col("lead_time_days")),
-        F.lit(" days\n  Safety stock (95% SL): "), number_text(F.col("safety_stock")),
-        F.lit(" units\n  Computed ROP: "), number_text(F.col("rop")),
-        F.lit(" units\n  Current available: "), number_text(F.col("current_available")),
-        F.lit(" units\n  "), F.when(F.col("reorder_now"), "⚠️ REORDER NOW").otherwise("✓ Stock OK"),
+    now, fine = fv.ROP_VERDICTS
+    text = filled(
+        fv.ROP_TEXT, sku=F.col("sku_id"), daily=number_text(F.col("avg_daily"), 1),
+        lead_time=number_text(F.col("lead_time_days")), safety_stock=number_text(F.col("safety_stock")),
+        rop=number_text(F.col("rop")), available=number_text(F.col("current_available")),
+        verdict=F.when(F.col("reorder_now"), now).otherwise(fine),
     )
     return rop.select("sku_id", text.alias("rop_text"))
 

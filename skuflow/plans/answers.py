@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skuflow.functions import fixed_values as fv
-from skuflow.functions.scalar import number_text, one_value, signed_text
+from skuflow.functions.scalar import filled, number_text, one_value, signed_text
 from skuflow.operators.anomaly import (
     anomaly_features, first_anomalies, first_anomalies_per_sku, flagged, month_text, zscore_scores,
 )
@@ -25,47 +25,44 @@ from skuflow.session import checkpointed
 
 def reorder_scan_lines(inventory: DataFrame) -> DataFrame:
     """One text line per SKU at or below its reorder point."""
-    line = F.concat(
-        F.lit("  • "), "sku_id", F.lit(" ("), "item_name", F.lit("): Available="), number_text(F.col("total_available")),
-        F.lit("  ROP="), number_text(F.col("reorder_point")), F.lit("  Gap="), signed_text(F.col("gap")),
+    line = filled(
+        fv.SCAN_LINE, sku=F.col("sku_id"), item=F.col("item_name"), available=number_text(F.col("total_available")),
+        reorder_point=number_text(F.col("reorder_point")), gap=signed_text(F.col("gap")),
     )
     return reorder_scan(inventory).select("sku_id", line.alias("line"))
 
 
 def reorder_scan_headline(inventory: DataFrame) -> Column:
     count = one_value(reorder_scan(inventory), F.count("*"))
-    return F.when(
-        count == 0, "✓ All SKUs are above their reorder points. No immediate action needed."
-    ).otherwise(F.concat(F.lit("⚠️  "), count.cast("string"), F.lit(" SKU(s) at or below reorder point:")))
+    return F.when(count == 0, fv.SCAN_NOTHING).otherwise(filled(fv.SCAN_HEADLINE, count=count.cast("string")))
 
 
 def anomaly_scan_text(anomalies: DataFrame) -> Column:
     """Count of flagged rows and the first ones, as one text."""
-    line = F.concat(
-        F.lit("  • "), "sku_id", F.lit(" ("), F.substring(F.coalesce("product_name", F.lit("")), 1, 20),
-        F.lit(") | Period: "), month_text(F.col("period")), F.lit(" | Units: "), number_text(F.col("net_units")),
-        F.lit(" | 3M-Avg: "), number_text(F.col("roll_mean_3")), F.lit(" | Score: "), number_text(F.col("anomaly_score"), 3),
+    line = filled(
+        fv.ANOMALY_SCAN_LINE, sku=F.col("sku_id"), item=F.substring(F.coalesce("product_name", F.lit("")), 1, 20),
+        month=month_text(F.col("period")), units=number_text(F.col("net_units")), average=number_text(F.col("roll_mean_3")),
+        score=number_text(F.col("anomaly_score"), 3),
     )
     shown = first_anomalies(anomalies, fv.SCAN_ANOMALY_CAP).select("sku_id", "period", line.alias("line"))
     lines = one_value(shown, F.array_join(F.sort_array(F.collect_list(F.struct("sku_id", "period", "line")))["line"], "\n"))
     count = one_value(anomalies, F.count("*"))
-    return F.when(count == 0, "✓ No anomalies detected across all SKUs.").otherwise(
-        F.concat(F.lit("🚨 "), count.cast("string"), F.lit(" anomalous data point(s) detected:\n\n"), lines)
+    return F.when(count == 0, fv.ANOMALY_SCAN_NOTHING).otherwise(
+        filled(fv.ANOMALY_SCAN, count=count.cast("string"), lines=lines)
     )
 
 
 def sku_anomaly_text(anomalies: DataFrame) -> DataFrame:
     """Text of the first flagged months of every SKU that has any."""
-    line = F.concat(
-        F.lit("  "), month_text(F.col("period")), F.lit(": "), number_text(F.col("net_units")),
-        F.lit(" units sold (3-month avg: "), number_text(F.col("roll_mean_3")), F.lit("), score: "),
-        number_text(F.col("anomaly_score"), 3),
+    line = filled(
+        fv.SKU_ANOMALY_LINE, month=month_text(F.col("period")), units=number_text(F.col("net_units")),
+        average=number_text(F.col("roll_mean_3")), score=number_text(F.col("anomaly_score"), 3),
     )
     lines = first_anomalies_per_sku(anomalies).groupBy("sku_id").agg(
         F.array_join(F.sort_array(F.collect_list(F.struct("place", line.alias("line"))))["line"], "\n").alias("lines")
     )
     return lines.select(
-        "sku_id", F.concat(F.lit("Anomalies detected for "), "sku_id", F.lit(":\n"), "lines").alias("anomaly_text")
+        "sku_id", filled(fv.SKU_ANOMALIES, sku=F.col("sku_id"), lines=F.col("lines")).alias("anomaly_text")
     )
 
 
@@ -149,18 +146,18 @@ def _answered(rows: DataFrame, answer: Column) -> DataFrame:
 
 def _demand_answers(asked: DataFrame, texts: DataFrame, sku: Column) -> DataFrame:
     rows = _with_text(_of(asked, "demand"), texts)
-    body = F.coalesce("forecast_text", F.concat(F.lit("No forecast data available for SKU "), sku, F.lit(".")))
-    context = F.concat(F.lit("📄 Historical Context:\n"), F.substring("context", 1, 400))
-    full = F.concat(F.lit("📊 Demand Forecast — "), sku, F.lit("\n\n"), body, F.lit("\n\n"), context)
+    body = F.coalesce("forecast_text", filled(fv.NO_FORECAST, sku=sku))
+    context = filled(fv.HISTORICAL_CONTEXT, context=F.substring("context", 1, 400))
+    full = filled(fv.DEMAND_ANSWER, sku=sku, body=body, context=context)
     return _answered(rows, F.btrim(full, F.lit(" \t\n\r\f")))
 
 
 def _reorder_answers(asked: DataFrame, stock: DataFrame, rop: DataFrame, headline: Column, sku: Column) -> DataFrame:
     rows = _with_text(_with_text(_of(asked, "reorder"), stock), rop)
     one = F.concat(
-        F.coalesce("stock_text", F.concat(F.lit("SKU "), sku, F.lit(" not found in inventory."))),
+        F.coalesce("stock_text", filled(fv.NO_STOCK, sku=sku)),
         F.lit("\n\n"),
-        F.coalesce("rop_text", F.concat(F.lit("No demand history for "), sku, F.lit("."))),
+        F.coalesce("rop_text", filled(fv.NO_HISTORY, sku=sku)),
     )
     return _answered(rows, F.when(sku == "", headline).otherwise(one))
 
@@ -174,14 +171,14 @@ def _supplier_answers(asked: DataFrame, terms: DataFrame, directory: DataFrame,
     first_text = supplier_text(terms, directory, listed).select("supplier_text").scalar()
     rows = _with_text(_of(asked, "supplier"), supplier_text(terms, directory, offers))
     text = F.when(F.col("target_sku") == "", first_text).otherwise(F.col("supplier_text"))
-    return _answered(rows, F.coalesce(text, F.lit("No supplier mapping found for the specified SKU.")))
+    return _answered(rows, F.coalesce(text, F.lit(fv.NO_SUPPLIER)))
 
 
 def _anomaly_answers(asked: DataFrame, everywhere: DataFrame, of_skus: DataFrame, sku: Column) -> DataFrame:
     rows = _with_text(_of(asked, "anomaly"), sku_anomaly_text(of_skus))
-    one = F.coalesce("anomaly_text", F.concat(F.lit("No anomalies detected for SKU "), sku, F.lit(".")))
+    one = F.coalesce("anomaly_text", filled(fv.NO_SKU_ANOMALIES, sku=sku))
     body = F.when(sku == "", anomaly_scan_text(everywhere)).otherwise(one)
     context = F.when(F.col("context") == fv.NO_DOCUMENTS, "").otherwise(
-        F.concat(F.lit("\n\n📄 Historical Context:\n"), F.substring("context", 1, 500))
+        F.concat(F.lit("\n\n"), filled(fv.HISTORICAL_CONTEXT, context=F.substring("context", 1, 500)))
     )
-    return _answered(rows, F.concat(F.lit("🔍 Anomaly Analysis\n\n"), body, context))
+    return _answered(rows, filled(fv.ANOMALY_ANSWER, body=body, context=context))
