@@ -95,3 +95,24 @@ def test_repeated_page_keeps_first_chunk_per_id(spark):
     pages = spark.createDataFrame([("PO_1.pdf", 0, "b text"), ("PO_1.pdf", 0, "a text"), ("PO_2.pdf", 0, "c")], PAGES)
     rows = sorted((r.chunk_id, r.text) for r in ingest.chunks_of(pages).collect())
     assert rows == [("PO_1.pdf_p0_c0", "a text"), ("PO_2.pdf_p0_c0", "c")]
+
+
+def test_a_text_is_split_once(spark):
+    """Every mention of the words would split the text again, five shingles' words each."""
+    rows = spark.createDataFrame([("a", "x y z")], "chunk_id string, text string")
+    for column in (documents.shingle_array(F.col("text")), documents.shingle_hashes(F.col("text"))):
+        plan = rows.select(column.alias("found"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == 1
+
+
+def test_signatures_of_repeated_ids_and_missing_texts(spark):
+    texts = [("a", "one two three four five six"), ("a", "Seven"), ("b", ""), ("c", None), ("d", "one two three four five six seven")]
+    rows = spark.createDataFrame(texts, "chunk_id string, text string")
+    found = {r.chunk_id: r.signature for r in documents.minhash_signature(rows, 7).collect()}
+    numbers = documents.shingle_rows(rows).select("chunk_id", documents.shingle_number(F.col("shingle")).alias("x")).collect()
+    assert set(found) == {"a", "b", "d"}
+    for name, signature in found.items():
+        own = [r.x for r in numbers if r.chunk_id == name]
+        assert signature == [min((x * a + b) % documents.MINHASH_PRIME for x in own) for a, b in documents.minhash_factors(7)]
+    values = np.array([0, 1, 2**31 - 2, 2**31 - 1, 2**31, 2 * (2**31 - 1), 2**62 - 1])
+    assert documents._modulo(values.copy()).tolist() == (values % documents.MINHASH_PRIME).tolist()
