@@ -10,18 +10,21 @@ sets are cut into blocks, and each query block meets each corpus block in a task
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 QUERY_BLOCK_ROWS = 8192
 QUERY_BLOCK_BYTES = 64 << 20
 CORPUS_BLOCK_ROWS = 65536
 CORPUS_BLOCK_BYTES = 128 << 20
-_MATRIX_CELLS = 4_000_000
-_EXACT_CELLS = 4_000_000
+_MATRIX_CELLS = 1_000_000
+_EXACT_CELLS = 1_000_000
 
 
 def _best(candidates: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -29,8 +32,25 @@ def _best(candidates: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered[ordered.groupby("query_id", sort=False).cumcount() < k]
 
 
-def _points(rows: pd.DataFrame) -> np.ndarray:
-    return np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+class Vectors(NamedTuple):
+    """Ids, points as rows of an array, and groups of a block."""
+
+    ids: np.ndarray
+    points: np.ndarray
+    group: np.ndarray | None
+
+    @classmethod
+    def of_pandas(cls, rows: pd.DataFrame, name: str) -> Vectors:
+        group = rows["group"].to_numpy() if "group" in rows else None
+        return cls(rows[name].to_numpy(), np.stack(rows["embedding"].to_numpy()), group)
+
+    @classmethod
+    def of_arrow(cls, rows: pa.Table, name: str) -> Vectors:
+        vectors = rows["embedding"].combine_chunks()
+        if vectors.null_count or len(pc.unique(pc.list_value_length(vectors))) != 1:
+            raise ValueError("vectors must be of one length and not null")
+        group = rows["group"].to_numpy() if "group" in rows.column_names else None
+        return cls(rows[name].to_numpy(), vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1), group)
 
 
 def _exact(left: np.ndarray, right: np.ndarray, left_at: np.ndarray, right_at: np.ndarray) -> np.ndarray:
@@ -43,36 +63,52 @@ def _exact(left: np.ndarray, right: np.ndarray, left_at: np.ndarray, right_at: n
     return out
 
 
-def _block_candidates(queries: pd.DataFrame, corpus: pd.DataFrame, k: int, match: bool) -> Iterator[pd.DataFrame]:
-    """The best ``k`` rows of each query in pieces of the corpus."""
-    points, query_ids = _points(queries), queries["query_id"].to_numpy()
+def _best_of_block(queries: Vectors, corpus: Vectors, k: int, best: pd.DataFrame | None = None) -> pd.DataFrame | None:
+    """The best ``k`` rows of each query among ``best`` and the corpus, which is read in pieces.
+
+    Rows beyond a query's k-th best so far are never candidates, so that few are held.
+    """
+    points, query_ids = queries.points.astype(np.float64), queries.ids
     lengths = (points * points).sum(axis=1)
     # A product of d terms is off by at most about d + 2 roundings of values of this size.
     rounding = 2.0 * (points.shape[1] + 4) * np.finfo(float).eps
-    step = max(1, _MATRIX_CELLS // max(1, len(queries)))
-    for start in range(0, len(corpus), step):
-        rows = corpus.iloc[start:start + step]
-        others = _points(rows)
+    step = max(1, _MATRIX_CELLS // max(1, len(points)))
+    place = pd.Index(query_ids) if len(query_ids) else None
+    limit = _limits(best, place, len(points), k)
+    for start in range(0, len(corpus.ids), step):
+        others = corpus.points[start:start + step].astype(np.float64)
         other_lengths = (others * others).sum(axis=1)
         middle = lengths[:, None] + other_lengths[None, :] - 2.0 * points @ others.T
         margin = rounding * (np.sqrt(lengths)[:, None] + np.sqrt(other_lengths)[None, :]) ** 2
         high = middle + margin
-        if match:
-            high[queries["group"].to_numpy()[:, None] != rows["group"].to_numpy()[None, :]] = np.inf
-        near = np.isfinite(high)
-        if high.shape[1] > k:
+        if queries.group is not None:
+            high[queries.group[:, None] != corpus.group[start:start + step][None, :]] = np.inf
+        near = np.isfinite(high) & (middle - margin <= limit[:, None])
+        if high.shape[1] > k and not np.isfinite(limit).all():
             near &= middle - margin <= np.partition(high, k - 1, axis=1)[:, k - 1, None]
         query_at, row_at = np.nonzero(near)
-        yield _best(
-            pd.DataFrame(
-                {
-                    "query_id": query_ids[query_at],
-                    "match_id": rows["match_id"].to_numpy()[row_at],
-                    "distance": _exact(points, others, query_at, row_at),
-                }
-            ),
-            k,
+        if not len(query_at) and best is not None:
+            continue
+        found = pd.DataFrame(
+            {
+                "query_id": query_ids[query_at],
+                "match_id": corpus.ids[start:start + step][row_at],
+                "distance": _exact(points, others, query_at, row_at),
+            }
         )
+        best = _best(found if best is None else pd.concat([best, found]), k)
+        limit = _limits(best, place, len(points), k)
+    return best
+
+
+def _limits(best: pd.DataFrame | None, place: pd.Index | None, queries: int, k: int) -> np.ndarray:
+    """The distance of each query's k-th best row; infinite where it has fewer, and where query ids repeat."""
+    limit = np.full(queries, np.inf)
+    if best is not None and len(best) and place is not None and place.is_unique:
+        kth = best[best.groupby("query_id", sort=False).cumcount() == k - 1]
+        at = place.get_indexer(kth["query_id"])
+        limit[at[at >= 0]] = kth["distance"].to_numpy()[at >= 0]
+    return limit
 
 
 def best_matches(queries: DataFrame, corpus: DataFrame, k: int, match: bool, block_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
@@ -102,10 +138,10 @@ def _against_broadcast(queries: DataFrame, corpus: DataFrame, k: int, match: boo
         block = shared.value
         if block.empty:
             return
-        best = None
+        asked, best = Vectors.of_pandas(block, "query_id"), None
         for batch in batches:
-            for found in _block_candidates(block, batch, k, match):
-                best = found if best is None else _best(pd.concat([best, found]), k)
+            if not batch.empty:
+                best = _best_of_block(asked, Vectors.of_pandas(batch, "match_id"), k, best)
         if best is not None:
             yield best
 
@@ -126,11 +162,12 @@ def _block_by_block(
         "corpus_block", F.pmod(F.xxhash64("match_id"), F.lit(corpus_blocks)).cast("int")
     ).withColumn("query_block", every_query_block)
 
-    def search(block: pd.DataFrame, rows_of_block: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "match_id": [], "distance": []})
-        if block.empty or rows_of_block.empty:
-            return empty
-        return _best(pd.concat(list(_block_candidates(block, rows_of_block, k, match))), k)
+    def search(block: pa.Table, rows_of_block: pa.Table) -> pa.Table:
+        kinds = pa.schema([block.schema.field("query_id"), rows_of_block.schema.field("match_id"), pa.field("distance", pa.float64())])
+        if not block.num_rows or not rows_of_block.num_rows:
+            return kinds.empty_table()
+        best = _best_of_block(Vectors.of_arrow(block, "query_id"), Vectors.of_arrow(rows_of_block, "match_id"), k)
+        return pa.Table.from_pandas(best, kinds, preserve_index=False)
 
     keys = ["query_block", "corpus_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, schema)
