@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from skuflow.llm.text_arrays import Texts, mix, pieces, span_hash
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
-#: Results of merges that a Python worker keeps, and bytes that it decodes at a time.
-MEMORY, DECODED = 200_000, 4 << 20
+#: Results of merges that a Python worker keeps; ids that it looks up and bytes that it decodes at a time.
+MEMORY, LOOKED_UP, DECODED = 200_000, 1 << 18, 4 << 20
 _CODE_POINTS = 0x110000
 
 
@@ -241,32 +241,38 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
     return docs.mapInArrow(run, f"{columns}`{ids_col}` array<int>")
 
 
+def decode_rows(batch: pa.RecordBatch, v: Vocabulary, ids_col: str, bytes_col: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch with the bytes of their ids, so many rows at a time that working arrays stay small."""
+    given = batch.column(ids_col)
+    lists = given.fill_null([]) if given.null_count else given
+    every = lists.flatten().to_numpy(zero_copy_only=False)
+    ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    at = 0
+    while at < batch.num_rows:  # some ids and some bytes at a time, one row at least
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + LOOKED_UP, "right")) - 1)
+        ids = every[ends[at] : ends[upto]]
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(v.token_sizes) or not v.token_sizes[ids].all()):
+            raise ValueError("an id that the vocabulary lacks")
+        through = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(v.token_sizes[ids], out=through[1:])
+        bounds = through[ends[at : upto + 1] - ends[at]]
+        upto = min(upto, at + max(1, int(np.searchsorted(bounds, DECODED, "right")) - 1))
+        own = bounds[: upto - at + 1]
+        if own[-1] >= 1 << 31:
+            raise ValueError("a row of more than 2 GiB")
+        raw = _spread(v.token_bytes, v.token_ends, v.token_sizes, ids[: ends[upto] - ends[at]])
+        out = pa.Array.from_buffers(pa.binary(), upto - at, [None, pa.py_buffer(own.astype(np.int32)), pa.py_buffer(raw.tobytes())])
+        yield pa.RecordBatch.from_arrays([*batch.slice(at, upto - at).columns, out], [*batch.schema.names, bytes_col])
+        at = upto
+
+
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes that each row's ids stand for."""
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
         for batch in batches:
-            given = batch.column(ids_col)
-            lists = given.fill_null([]) if given.null_count else given
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
-            if len(ids) and (ids.min() < 0 or ids.max() >= len(v.token_sizes) or not v.token_sizes[ids].all()):
-                raise ValueError("an id that the vocabulary lacks")
-            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            through = np.zeros(len(ids) + 1, np.int64)
-            np.cumsum(v.token_sizes[ids], out=through[1:])
-            bounds = through[ends]
-            at = 0
-            while at < batch.num_rows:  # some bytes at a time, one row at least
-                upto = max(at + 1, int(np.searchsorted(bounds, bounds[at] + DECODED, "right")) - 1)
-                raw = _spread(v.token_bytes, v.token_ends, v.token_sizes, ids[ends[at] : ends[upto]])
-                own = bounds[at : upto + 1] - bounds[at]
-                if own[-1] >= 1 << 31:
-                    raise ValueError("a row of more than 2 GiB")
-                out = pa.Array.from_buffers(pa.binary(), upto - at, [None, pa.py_buffer(own.astype(np.int32)), pa.py_buffer(raw.tobytes())])
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, upto - at).columns, out], [*batch.schema.names, bytes_col])
-                at = upto
+            yield from decode_rows(batch, shared.value, ids_col, bytes_col)
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{columns}, `{bytes_col}` binary")

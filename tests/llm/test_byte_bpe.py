@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -56,6 +57,29 @@ def test_round_trip_of_a_table(spark, vocabulary, library):
     assert byte_bpe.encode(docs.limit(0), vocabulary).collect() == []
 
 
+def test_decoding_looks_up_some_ids_at_a_time(vocabulary):
+    rng = np.random.default_rng(3)
+    sizes = [*rng.integers(0, 3000, 1500), 0, 2 * byte_bpe.LOOKED_UP, 0, 0]
+    ids = rng.integers(0, 256, sum(sizes)).astype(np.int32)
+    bounds = np.append(0, np.cumsum(sizes))
+    lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), lists], ["doc_id", "ids"]).slice(1)
+    tracemalloc.start()
+    at = 1
+    for part in byte_bpe.decode_rows(batch, vocabulary, "ids", "decoded"):
+        for row in part.to_pylist():
+            assert row["doc_id"] == at
+            assert row["decoded"] == b"".join(vocabulary.token_bytes[vocabulary.token_ends[i] - 1 : vocabulary.token_ends[i]].tobytes() for i in ids[bounds[at] : bounds[at + 1]])
+            at += 1
+        # Arrays of eight bytes for every id of the batch would need more.
+        most = tracemalloc.get_traced_memory()[1]
+        if len(part) > 1:
+            assert most < 8 * 2 * len(ids), most
+        tracemalloc.reset_peak()
+    tracemalloc.stop()
+    assert at == len(sizes)
+
+
 def test_query(spark, library):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     rows = QUERIES["op7_byte_bpe"](spark, SMALL).collect()
