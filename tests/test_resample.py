@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from skuflow.functions.draws import integer, normal, uniform
 from skuflow.operators import resample
+from skuflow.operators.row_index import with_row_index
+from skuflow.plans.queries import QUERIES
 from skuflow.sources import tables
 from tests.conftest import SMALL
 
@@ -104,3 +106,43 @@ def test_grid_rows_are_numbered_by_month_and_sku(demand):
 
 def test_copula_of_no_rows(demand):
     assert resample.copula_sample(demand.limit(0), 5).collect() == []
+
+
+@pytest.mark.parametrize("name", ["bootstrap_demand", "copula_sample", "extend_demand", "sink_csv"])
+def test_demand_is_computed_once(spark, monkeypatch, name):
+    seen, real = spark.sparkContext.accumulator(0), tables.demand_history
+
+    def counted(spark, folder):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        rows = real(spark, folder)
+        return rows.mapInArrow(run, rows.schema)
+
+    monkeypatch.setattr(tables, "demand_history", counted)
+    QUERIES[name](spark, SMALL).count()
+    assert seen.value == real(spark, SMALL).count()
+
+
+def test_rows_of_a_frequent_value_are_ranked_by_many_tasks(spark, monkeypatch):
+    largest = []
+
+    def watched(df, order, name="row_index"):
+        out = with_row_index(df, order, name)
+        largest.append(out.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(resample, "with_row_index", watched)
+    monkeypatch.setattr(resample, "DEMAND_MEASURES", ("units_returned", "units_sold"))
+    demand = spark.range(0, 8000, 1, 4).select(
+        F.when(F.col("id") % 50 == 0, F.col("id")).otherwise(0).cast("double").alias("units_returned"), F.col("id").cast("double").alias("units_sold")
+    )
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = resample.copula_sample(demand, 500).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert len(rows) == 500 and largest[0] < 0.9 * 8000, largest
