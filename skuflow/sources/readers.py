@@ -67,20 +67,21 @@ def _source_of(path: Column) -> Column:
 
 
 def read_documents(
-    spark: SparkSession, directory: str, extension: str = ".txt", page_break: str = "\f"
+    spark: SparkSession, directory: str, extension: str = ".txt", page_break: str = "\f", nested: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Text files of a folder as ``(pages, rejects)``.
 
     One page per form feed. The source is a file's name, or that of its folder where ``sinks.save_documents`` wrote it. A file whose bytes are not UTF-8 goes to ``rejects`` and the others are
-    kept; a folder without matching files raises ``FileNotFoundError``.
+    kept; a folder without matching files raises ``FileNotFoundError``. With ``nested``, files of all subfolders count and Spark
+    needn't find out columns from folder names; that is meant for what ``sinks.save_documents`` wrote.
     """
     files = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", f"*{extension}")
+        .options(pathGlobFilter=f"*{extension}", recursiveFileLookup=nested)
         .load(directory)
         .select(_source_of(F.col("path")).alias("source"), "path", "content")
     )
-    if files.select("path").isEmpty():
+    if not files.select("path").take(1):
         raise FileNotFoundError(f"no {extension} files in {directory}")
     # try_validate_utf8 gives null on bytes that are not UTF-8.
     decoded = files.withColumn("body", F.try_validate_utf8(F.col("content").cast("string")))

@@ -80,6 +80,51 @@ def test_documents_need_files(spark, tmp_path):
         readers.read_documents(spark, str(tmp_path))
 
 
+def test_many_documents_lie_in_few_folders(spark, tmp_path):
+    n = 3 * sinks.SOURCE_GROUPS
+    pages = spark.range(2 * n).selectExpr(f"concat('s', id % {n}, '.txt') source", f"id div {n} page", "concat('text ', id) text")
+    path = tmp_path / "documents"
+    sinks.save_documents(pages, str(path))
+    assert len([x for x in path.iterdir() if x.is_dir()]) <= sinks.SOURCE_GROUPS
+    assert len([x for x in path.rglob("*") if x.is_file()]) == n  # no checksums, no drafts
+    read, rejects = readers.read_documents(spark, str(path), nested=True)
+    kept = sorted((r.source, r.page, r.text) for r in read.where("text != ''").collect())
+    assert kept == sorted((f"s{i % n}.txt", i // n, f"text {i}") for i in range(2 * n))
+    assert rejects.isEmpty()
+
+
+def test_documents_written_by_tasks_are_those_of_sparks_writer(spark, tmp_path, monkeypatch):
+    names = ["a.txt", "B 1", "50%", "x/y", "k=v:w", "q?#*'\"", "[b]{c}^\\", "tab\there", "Ünï", "", None]
+    rows = [(name, page, f"{name} {page}" if page != 2 else None) for page in (3, 1, 2) for name in names]
+    pages = spark.createDataFrame(rows, "source string, page int, text string")
+    spoiled = pages.limit(1).selectExpr("'bad' source", "0 page", "cast(X'41FFFE' as string) text")
+    written = {}
+    for kind in ("tasks", "spark"):
+        path = tmp_path / kind
+        sinks.save_documents(pages.unionByName(spoiled), str(path))
+        files = [x for x in path.rglob("*.txt") if x.is_file() and not x.name.startswith(".")]
+        written[kind] = sorted((str(x.parent.relative_to(path)), x.read_bytes()) for x in files)
+        flat, nested = ([x.select("source").collect() for x in readers.read_documents(spark, str(path), nested=n)] for n in (False, True))
+        assert [sorted(map(str, x)) for x in flat] == [sorted(map(str, x)) for x in nested]
+        assert [r.source for r in nested[1]] == ["bad"]
+        monkeypatch.setattr(sinks, "local_path", lambda spark, path: None)
+    assert written["tasks"] == written["spark"]
+    assert len(written["tasks"]) == len(names) + 1
+
+
+def test_documents_are_never_written_over(spark, tmp_path):
+    pages = spark.createDataFrame([("a", 0, "x")], "source string, page int, text string")
+    sinks.save_documents(pages, str(tmp_path / "d"))
+    with pytest.raises(FileExistsError):
+        sinks.save_documents(pages, str(tmp_path / "d"))
+
+
+def test_no_documents_are_an_empty_folder(spark, tmp_path):
+    sinks.save_documents(spark.createDataFrame([], "source string, page int, text string"), str(tmp_path / "d"))
+    with pytest.raises(FileNotFoundError):
+        readers.read_documents(spark, str(tmp_path / "d"), nested=True)
+
+
 def test_explode_catalog(spark):
     catalogs = spark.createDataFrame(
         [("S1", [("A", 3.0), ("B", 4.0)]), ("S2", [])], "supplier_id string, products array<struct<sku:string,price:double>>"
