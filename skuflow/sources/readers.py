@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from skuflow.session import compute_partitions
 from skuflow.sources import schemas
 
+#: Tasks that read a folder of files, times the shuffle partitions, at most.
+READ_TASKS = 16
+
 
 def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     # Columns are matched by header name, so files may hold them in any order or hold fewer. All files of a
@@ -66,14 +70,14 @@ def _source_of(path: Column) -> Column:
     return F.when(folder != "", folder).otherwise(F.element_at(F.split(path, "/"), -1))
 
 
-def read_documents(
+def read_pages(
     spark: SparkSession, directory: str, extension: str = ".txt", page_break: str = "\f", nested: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """Text files of a folder as ``(pages, rejects)``.
+) -> DataFrame:
+    """Text files of a folder, each opened once: one row per page, and one with a ``reason`` for a file that can't be read.
 
-    One page per form feed. The source is a file's name, or that of its folder where ``sinks.save_documents`` wrote it. A file whose bytes are not UTF-8 goes to ``rejects`` and the others are
-    kept; a folder without matching files raises ``FileNotFoundError``. With ``nested``, files of all subfolders count and Spark
-    needn't find out columns from folder names; that is meant for what ``sinks.save_documents`` wrote.
+    One page per form feed. The source is a file's name, or that of its folder where ``sinks.save_documents`` wrote it. A folder
+    without matching files raises ``FileNotFoundError``. With ``nested``, files of all subfolders count and Spark needn't find
+    out columns from folder names; that is meant for what ``sinks.save_documents`` wrote.
     """
     files = (
         spark.read.format("binaryFile")
@@ -83,13 +87,23 @@ def read_documents(
     )
     if not files.select("path").take(1):
         raise FileNotFoundError(f"no {extension} files in {directory}")
+    # Spark counts a small file as megabytes, which makes a task of a few of them.
+    dealt = files.coalesce(READ_TASKS * compute_partitions(spark))
     # try_validate_utf8 gives null on bytes that are not UTF-8.
-    decoded = files.withColumn("body", F.try_validate_utf8(F.col("content").cast("string")))
-    rejects = decoded.where(F.col("body").isNull()).select("source", "path", F.lit("not UTF-8 text").alias("reason"))
-    pages = decoded.where(F.col("body").isNotNull()).select(
-        "source", "path", F.posexplode(F.split("body", page_break)).alias("page", "text")
+    body = F.try_validate_utf8(F.col("content").cast("string"))
+    return dealt.withColumn("body", body).select(
+        "source", "path", F.posexplode_outer(F.split("body", page_break)).alias("page", "text"),
+        F.when(F.col("body").isNull(), "not UTF-8 text").alias("reason"),
     )
-    return pages, rejects
+
+
+def read_documents(
+    spark: SparkSession, directory: str, extension: str = ".txt", page_break: str = "\f", nested: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """``read_pages`` as ``(pages, rejects)``: a file whose bytes are not UTF-8 goes to ``rejects`` and the others are kept."""
+    read = read_pages(spark, directory, extension, page_break, nested)
+    rejects = read.where(F.col("reason").isNotNull()).select("source", "path", "reason")
+    return read.where(F.col("reason").isNull()).drop("reason"), rejects
 
 
 def explode_catalog(catalogs: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from skuflow.operators.documents import clean_pages
 from skuflow.operators.suppliers import sku_bridge, sku_lead_time
+from skuflow.plans import queries
 from skuflow.sources import readers, sinks
 
 
@@ -112,6 +114,25 @@ def test_documents_written_by_tasks_are_those_of_sparks_writer(spark, tmp_path,
     assert len(written["tasks"]) == len(names) + 1
 
 
+def test_documents_are_opened_once_by_bounded_tasks(spark, tmp_path, monkeypatch):
+    for i in range(40):
+        (tmp_path / f"{i}.txt").write_bytes(b"\xff" if i % 10 == 0 else f"text {i}\f ".encode())
+    monkeypatch.setattr(readers, "READ_TASKS", 1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        read = readers.read_pages(spark, str(tmp_path))
+        assert read.rdd.getNumPartitions() <= 8
+        found = sorted((int(r.source[:-4]), r.page, r.text, r.reason) for r in clean_pages(read, also=F.col("reason").isNotNull()).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == [(i, None, None, "not UTF-8 text") if i % 10 == 0 else (i, 0, f"text {i}", None) for i in range(40)]
+
+
+def test_scan_documents_reads_its_files_in_one_scan(spark):
+    plan = queries.QUERIES["scan_documents"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("binaryFile") == 1
+
+
 def test_documents_are_never_written_over(spark, tmp_path):
     pages = spark.createDataFrame([("a", 0, "x")], "source string, page int, text string")
     sinks.save_documents(pages, str(tmp_path / "d"))
